@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import mixing, packing, quality_rules
+from evalloom.llm import html_extract, mixing, packing, quality_rules, warc
 from evalloom.llm.common import materialize, table
 
 
@@ -15,6 +15,11 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -27,9 +32,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
+    "op2_warc_round_trip": op2_warc_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
+    "op8_extract_html": op8_extract_html,
 }
 ORACLE_SQL: dict[str, str] = {}
