@@ -28,6 +28,8 @@ from pyspark.sql import types as T
 from evalloom.llm.common import materialize, private, text_or_empty, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Largest per-source or per-shard table (about 100 bytes a row) that is broadcast.
+BROADCAST_ROWS = 20_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -117,6 +119,8 @@ def mix(
     block = int(max(1, min([max_block, *(t // 256 for t in goal if t > 0)])))
     plan_schema = T.StructType([T.StructField("none", T.BooleanType()), T.StructField("name", T.StringType()), T.StructField("cells", T.LongType()), T.StructField("shards", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
     plan = spark.createDataFrame([(f[0], f[1], cells[f[:2]], shards[f[:2]], f[3], t) for f, t in zip(found, goal, strict=True)], plan_schema).select(F.struct("none", "name").alias(src), F.col("cells").alias(n_cells), F.col("shards").alias(n_shards), F.col("source_size").alias(source_size_), F.col("target").alias(target_))
+    if len(found) <= BROADCAST_ROWS:  # hot sources then need no shuffle; with more sources none is hot enough to matter
+        plan = F.broadcast(plan)
     # one row a cell: its tokens, and where it begins in its shard
     in_cell = light.join(plan.select(src, n_cells, n_shards), src).withColumn(cell, F.pmod(F.col(key), F.col(n_cells)))
     totals = in_cell.groupBy(src, cell, F.pmod(F.col(cell), F.col(n_shards)).alias(shard)).agg(F.sum(size_).alias(tokens_))
@@ -135,6 +139,7 @@ def mix(
         rows += [(f[0], f[1], j, -(-s // block), q, (seed * 1_000_003 + j * 7919) % max(1, -(-s // block))) for (j, s), q in zip(own, quotas, strict=True)]
     quota_schema = "none boolean, name string, shard long, n long, q long, u long"
     quota = spark.createDataFrame(rows, quota_schema).select(F.struct("none", "name").alias(src), *[F.col(x).alias(y) for x, y in (("shard", shard), ("n", n_), ("q", q_), ("u", u_))])
+    quota = F.broadcast(quota) if len(rows) <= BROADCAST_ROWS else quota
     before = Window.partitionBy(src, shard).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn(before_, F.coalesce(F.sum(tokens_).over(before), F.lit(0))).join(quota, [src, shard]).select(src, cell, before_, n_, q_, u_)
 
