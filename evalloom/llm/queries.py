@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import html_extract, mixing, packing, quality_rules, warc
+from evalloom.llm import html_extract, mixing, packing, quality_classifier, quality_rules, warc
 from evalloom.llm.common import materialize, table
 
 
@@ -36,11 +36,17 @@ def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.score(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_warc_round_trip": op2_warc_round_trip,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,
     "op8_extract_html": op8_extract_html,
+    "op9_classify_quality": op9_classify_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
