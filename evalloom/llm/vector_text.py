@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE = 1 << 20
+MOST_TEXTS = 60_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -81,7 +82,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, Words]]:
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1), at + MOST_TEXTS)
         own = offsets[at : end + 1] - offsets[at]
         yield at, _words(data[offsets[at] : offsets[end]], own)
         at = end
@@ -105,34 +106,42 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
+SET_BITS = 48
+
+
 def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(shingle hashes, first): the distinct shingles of each text, ascending, text ``d`` from first[d] to first[d + 1].
 
-    A text with fewer words than ``size`` has its whole sequence as one shingle, one without words has none.
+    A text with fewer words than ``size`` has its whole sequence as one shingle, one without words has none. Hashes have
+    48 bits, so that one sort of 64-bit numbers, the text's place above the hash, orders all texts of a slice.
     """
+    key, of = shingle_hashes(words, size)
+    both = np.sort((of.astype(np.uint64) << np.uint64(SET_BITS)) | key)
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    both = both[new]
+    first = np.searchsorted(both, np.arange(len(words.counts) + 1, dtype=np.uint64) << np.uint64(SET_BITS))
+    return both & np.uint64((1 << SET_BITS) - 1), first
+
+
+def shingle_hashes(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of every shingle, repeats included, in no order."""
     h = words.hashes()
     counts = words.counts
-    n = len(h)
-    key = np.zeros(max(n - size + 1, 0), np.uint64)
+    n = max(len(h) - size + 1, 0)
+    key = np.zeros(n, np.uint64)
     for k in range(size):
-        key += h[k : n - size + 1 + k] * _PLACES[k] if n >= size else 0
-    key = mix64(key)
+        key += h[k : k + n] * _PLACES[k]
     doc = np.repeat(np.arange(len(counts)), counts)
-    whole = doc[: len(key)] == doc[size - 1 :] if n >= size else np.zeros(0, bool)
-    key, of = key[whole], doc[: len(whole)][whole]
+    whole = doc[:n] == doc[size - 1 : size - 1 + n]
+    key, of = key[whole], doc[:n][whole]
     few = np.flatnonzero((counts > 0) & (counts < size))
     if len(few):
-        extra = np.array([mix64(np.array([(h[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64))[0] for a, b in zip(words.first[few], words.first[few + 1], strict=True)], np.uint64)
+        lengths = counts[few]
+        at = words.first[few]
+        extra = lengths.astype(np.uint64)
+        for k in range(size - 1):
+            has = lengths > k
+            extra[has] += h[at[has] + k] * _PLACES[k]
         key, of = np.concatenate([key, extra]), np.concatenate([of, few])
-    order = np.lexsort((key, of)) if len(few) else _sort_within(key, of)
-    key, of = key[order], of[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-    key, of = key[new], of[new]
-    return key, np.searchsorted(of, np.arange(len(counts) + 1))
-
-
-def _sort_within(key: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Order by (of, key) where ``of`` ascends already: a sort by key and a stable one by text."""
-    by_key = np.argsort(key)
-    return by_key[np.argsort(of[by_key], kind="stable")]
+    return mix64(key) >> np.uint64(64 - SET_BITS), of
