@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
+from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
 from evalloom.llm.common import materialize, table
 
 
@@ -50,6 +50,10 @@ def op9_classify_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -59,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_score_toxicity": op7_score_toxicity,
     "op8_extract_html": op8_extract_html,
     "op9_classify_quality": op9_classify_quality,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
