@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
+from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, warc
 from evalloom.llm.common import materialize, table
 
 
@@ -20,6 +20,10 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -57,6 +61,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_warc_round_trip": op2_warc_round_trip,
+    "op3_token_files": op3_token_files,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mix_sources": op5_mix_sources,
     "op6_quality_rules": op6_quality_rules,

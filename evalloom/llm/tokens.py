@@ -6,6 +6,8 @@ Vocabulary files are named by parameter and found on every node by ``public_toke
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
@@ -39,15 +41,21 @@ def byte_level_encoder(vocabulary: str = "byte_bpe_50k.json", ranks: str | None
     return encode
 
 
+# The split of word_bpe_49k.json, for small-letter texts of the first 256 code points.
+_LETTERS, _NUMBERS, _BLANKS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t\n\x0b\x0c\r\x85\xa0"
+_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+
+
 class WordCache:
-    """ids of whole texts by a vocabulary that drops white space, from the ids of their distinct words.
+    """ids of whole texts by a vocabulary that drops white space and case, from the ids of their distinct parts.
 
-    The pre-tokenizer of such a vocabulary never joins characters across a space or a line feed, so a text's ids are those
-    of its space-separated parts in turn. The tokenizers library encodes each distinct part once; at most ``most`` parts
-    are remembered.
+    The vocabulary's own split cuts a text into parts that are encoded apart from each other, so a text's ids are those of
+    its parts in turn. Texts of the first 256 code points, which its normalization leaves alone but for case, are split
+    here, and the tokenizers library encodes each distinct part once; at most ``most`` parts are remembered. It encodes
+    all other texts, and those that may hold special tokens, whole.
     """
 
-    def __init__(self, vocabulary: str = "word_bpe_49k.json", most: int = 150_000):
+    def __init__(self, vocabulary: str = "word_bpe_49k.json", most: int = 400_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -55,16 +63,36 @@ class WordCache:
         self.known: dict[str, bytes] = {}
         self.most = most
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian uint16 bytes."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+        texts = list(texts)
+        parts: list[list[str] | None] = []
+        other: list[str] = []
+        for t in texts:
+            try:
+                t.encode("latin-1")
+                simple = "<|" not in t
+            except UnicodeEncodeError:
+                simple = False
+            parts.append(_SPLIT.findall(t.lower()) if simple else None)
+            if not simple:
+                other.append(t)
         known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(new) > self.most:
+        if len(known) > self.most:
             known.clear()
-            new = list({w for p in parts for w in p})
+        new = list({w for p in parts if p is not None for w in p if w not in known})
         for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u2").tobytes()
-        return [b"".join([known[w] for w in p]) for p in parts]
+            known.update(zip(new[i : i + 4096], self._ids(new[i : i + 4096]), strict=True))
+        whole = iter(self._ids(other))
+        get = known.__getitem__
+        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
+
+
+@lru_cache(maxsize=2)
+def word_cache(vocabulary: str) -> WordCache:
+    """One for each Python worker: what one task has learned serves the next."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+    return WordCache(vocabulary)
