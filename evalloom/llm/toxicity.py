@@ -24,9 +24,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -275,20 +277,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50)
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 3, held: int = 1, most_labelled: int = 6000, least_documents: int = 4, least_weight: float = 1.5, most_features: int = 50_000, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+@dataclass
+class Fitted:
+    """A trained score: broadcast character model and lexicon, weights; or one score for all."""
+
+    model: Broadcast | None
+    lexicon: Broadcast | None
+    weights: np.ndarray | None
+    flat: float = 0.0
+
+    def scorer(self) -> Scorer | None:
+        return Scorer(self.model.value, self.lexicon.value) if self.model is not None else None
+
+    def scores(self, scorer: Scorer | None, texts: pa.Array) -> np.ndarray:
+        if scorer is None:
+            return np.full(len(texts), self.flat)
+        x = np.array([scorer.hits(t.as_py() or "") for t in texts]).reshape(len(texts), 5)
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = 3, held: int = 1, most_labelled: int = 6000, least_documents: int = 4, least_weight: float = 1.5, most_features: int = 50_000) -> Fitted:
+    """Train on ``docs`` and the labels of all folds but ``held``."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = remainder(F.col("doc_id"), folds)
-    held_out = F.coalesce(fold == held, F.lit(True)).alias("held_out")
     taught = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold != held)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = taught.filter("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).unionByName(taught.filter("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled))
     ids = [(r["doc_id"], r["y"]) for r in chosen.collect()]
     classes = {y for _, y in ids}
     if len(classes) < 2:
-        flat = F.lit(float(next(iter(classes), 0)))
-        return docs.select("doc_id", held_out, flat.alias("score"), (flat >= threshold).cast("int").alias("predicted"))
+        return Fitted(None, None, None, float(next(iter(classes), 0)))
     sample = F.broadcast(spark.createDataFrame(ids, "doc_id long, y int"))  # at most 2 x most_labelled rows
     half = (F.xxhash64("doc_id", F.lit(3)) % 4 == 0).alias("second")
     seen = materialize(docs.join(sample, "doc_id").select("text", "y", half), "labelled").repartition(max(1, min(24, len(ids) // 400)))
@@ -321,19 +340,38 @@ def score(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
     rows = seen.filter("second").select("y", "text").mapInArrow(hits, "y int, x array<double>").collect()
     if len({r["y"] for r in rows}) < 2:
         rows = seen.select("y", "text").mapInArrow(hits, "y int, x array<double>").collect()
-    weights = logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float))
+    if len({r["y"] for r in rows}) < 2:  # labelled ids that the documents do not hold
+        return Fitted(None, None, None, float(rows[0]["y"]) if rows else 0.0)
+    return Fitted(model, known, logistic(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value, known.value)
+
+def score(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held: int = 1, threshold: float = 0.7, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    fitted = fit(docs, labels, folds=folds, held=held, **options)
+    held_out = F.coalesce(remainder(F.col("doc_id"), folds) == held, F.lit(True)).alias("held_out")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = fitted.scorer()
         for batch in batches:
-            x = np.array([scorer.hits(t.as_py() or "") for t in batch.column(1)]).reshape(batch.num_rows, 5)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fitted.scores(scorer, batch.column(1)))], names=["doc_id", "score"])
 
-    out = docs.mapInArrow(scored, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def filter_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, **options) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with their columns; scored where they are read."""
+    fitted = fit(docs, labels, **options)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = fitted.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array(fitted.scores(scorer, batch.column(place)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def lexicon_of(a_of: dict[str, int], b_of: dict[str, int], n_toxic: int, n_plain: int, least: float) -> dict[str, float]:
     """Features whose log odds, each count moved two deviations against them, are ``least`` at the least."""
     out = {}
