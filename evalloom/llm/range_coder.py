@@ -25,14 +25,20 @@ import numpy as np
 MAGIC = b"CMRC"
 HEAD = struct.Struct("<4sHHQIII")
 BLOCK, LANES = 2048, 3072
-_BITS, _RATE = 11, 5
-_CLASSES, _LEAST, _TOTAL = 16, 70, 1 << 15
-_FLOOR = 256
-_SPAN = 65536 - 3 * _FLOOR
-_TARGET = np.array([[j * _LEAST if j <= s else _TOTAL - (_CLASSES - j) * _LEAST for j in range(_CLASSES + 1)] for s in range(_CLASSES)], np.int32)
-_START = np.array([j * _TOTAL // _CLASSES for j in range(_CLASSES + 1)], np.int32)
-_TRUST = np.array([600, 16000, 40000, 56000], np.int32)
+_BITS, _RATE = 10, 5
+_CLASSES, _LEAST = 16, 35
+_ORDER0 = 14  # bits of the class distribution
+_MIX = 15  # bits of the mixing weights
+_WHOLE = (1 << _MIX) - 1
+_FLOOR = 128
+_SPAN = (1 << _MIX) - 3 * _FLOOR
+#: Upper ends of the classes after each class has been seen for ever, and at the start.
+_TARGET = np.array([[(j + 1) * _LEAST if j < s else (1 << _ORDER0) - (_CLASSES - 1 - j) * _LEAST for j in range(_CLASSES)] for s in range(_CLASSES)], np.int16)
+_START = np.array([(j + 1) * (1 << _ORDER0) // _CLASSES for j in range(_CLASSES)], np.int16)
+_TRUST = np.array([300, 8000, 20000, 28000], np.int32)
 _LOW32 = (1 << 32) - 1
+_BASE = (1 << np.arange(_CLASSES + 1)).astype(np.int64)
+_CLASS = (np.frexp(np.arange(65537, dtype=np.float64))[1] - 1).astype(np.int64)  # bit length - 1
 
 
 class Model:
@@ -43,10 +49,10 @@ class Model:
         lanes = np.arange(n)
         self.at = lanes << _BITS
         self.at_weight = lanes << 4
-        self.followers = [np.zeros(n << _BITS, np.int32) for _ in range(2)]  # of one symbol, of two: symbol << 2 | confidence
+        self.one_before = np.zeros(n << _BITS, np.int32)  # of the last symbol: follower << 2 | confidence
+        self.two_before = np.zeros(n << _BITS, np.int32)
         two, one = np.repeat(_TRUST, 4), np.tile(_TRUST, 4)
-        self.two = np.tile(two, n)
-        self.one = np.tile(((65535 - two) * one.astype(np.int64) >> 16).astype(np.int32), n)
+        self.weights = np.tile((two << 16) | ((_WHOLE - two) * one >> _MIX), n)  # of order 2 and of order 1
         self.classes = np.tile(_START, (n, 1))
         self.last = np.zeros(n, np.uint32)
         self.before = np.zeros(n, np.uint32)
@@ -57,37 +63,50 @@ class Model:
         self.at, self.at_weight, self.last, self.before, self.classes = self.at[:n], self.at_weight[:n], self.last[:n], self.before[:n], self.classes[:n]
 
     def predict(self) -> None:
-        """The predictions of both orders, and how much of 65536 each gets."""
+        """The predictions of both orders, and how much of 2**15 each gets."""
         h1 = self.last * np.uint32(0x9E3779B1)
-        h2 = h1 + self.before * np.uint32(0x85EBCA6B)
-        h2 ^= h2 >> np.uint32(15)
-        h2 *= np.uint32(0x2C1B3C6D)
+        h2 = (h1 ^ (h1 >> np.uint32(15))) + self.before * np.uint32(0x85EBCA6B)
         self.slot1 = self.at + (h1 >> np.uint32(32 - _BITS))
         self.slot2 = self.at + (h2 >> np.uint32(32 - _BITS))
-        self.entry1, self.entry2 = self.followers[0].take(self.slot1), self.followers[1].take(self.slot2)
-        self.guess1, self.guess2 = self.entry1 >> 2, self.entry2 >> 2
-        self.sure1, self.sure2 = self.entry1 & 3, self.entry2 & 3
-        self.slot_w = self.at_weight + ((self.sure2 << 2) | self.sure1)
-        self.w2, self.w1 = self.two.take(self.slot_w), self.one.take(self.slot_w)
-        self.f2 = ((self.w2.astype(np.int64) * _SPAN) >> 16) + _FLOOR
-        self.f1 = ((self.w1.astype(np.int64) * _SPAN) >> 16) + _FLOOR
+        entry1, entry2 = self.one_before.take(self.slot1), self.two_before.take(self.slot2)
+        self.guess1, self.guess2 = entry1 >> 2, entry2 >> 2
+        entry1 &= 3
+        entry2 &= 3
+        self.sure1, self.sure2 = entry1, entry2
+        self.slot_w = self.at_weight + ((entry2 << 2) | entry1)
+        w = self.weights.take(self.slot_w)
+        self.w2, self.w1 = w >> 16, w & 0xFFFF
+        self.f2 = ((self.w2 * _SPAN) >> _MIX) + _FLOOR
+        self.both = ((self.w1 * _SPAN) >> _MIX) + self.f2 + _FLOOR
 
-    def learn(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit1`` is without ``hit2``."""
-        shifted = (x << 2) + 1
-        self.followers[1][self.slot2] = shifted + hit2 * (self.sure2 - (self.sure2 == 3))
-        also = self.guess1 == x
-        self.followers[0][self.slot1] = shifted + also * (self.sure1 - (self.sure1 == 3))
-        self.two[self.slot_w] = self.w2 + ((hit2 * np.int32(65535) - self.w2) >> _RATE)
-        self.one[self.slot_w] = self.w1 + ((hit1 * np.int32(65535) - self.w1) >> _RATE)
+    def learn(self, x: np.ndarray, hit2: np.ndarray, also1: np.ndarray, hit1: np.ndarray) -> None:
+        """``also1``: order 1 was right; ``hit1``: it was and order 2 was not."""
+        entry = (x << 2) + 1
+        self.two_before[self.slot2] = entry + hit2 * np.minimum(self.sure2, 2)
+        self.one_before[self.slot1] = entry + also1 * np.minimum(self.sure1, 2)
+        w2 = self.w2 + ((hit2 * np.int32(_WHOLE) - self.w2) >> _RATE)
+        w1 = self.w1 + ((hit1 * np.int32(_WHOLE) - self.w1) >> _RATE)
+        self.weights[self.slot_w] = (w2 << 16) | w1
         self.before, self.last = self.last, x.astype(np.uint32)
 
+    def class_ends(self, k: np.ndarray) -> np.ndarray:
+        return self.classes.take(k, axis=0)
 
-def _class_table(top: int) -> np.ndarray:
-    return (np.frexp(np.arange(top + 1, dtype=np.float64))[1] - 1).astype(np.int32)  # bit length - 1
+    def learn_classes(self, k: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
+        step = _TARGET.take(c, axis=0)
+        step -= rows
+        step >>= _RATE
+        rows += step
+        self.classes[k] = rows
 
 
-_CLASS = _class_table(65536)
+def _interval(rows: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of class c of each row."""
+    line = np.arange(0, rows.size, _CLASSES) + c
+    flat = rows.ravel()
+    end = flat.take(line).astype(np.int64)
+    start = flat.take(line - 1) * (c > 0)
+    return start, end - start
 
 
 def encode_blocks(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,67 +114,61 @@ def encode_blocks(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     steps, n = x.shape
     m = Model(n)
     low, span = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
-    room = 2 * steps + 8  # symbols of over 32 bits are rare, the room is checked
+    room = 9 * steps // 4 + 16  # a symbol takes 33 bits at most
     out = np.zeros((n, room), np.int32)
-    flat, row = out.ravel(), np.arange(n) * room
-    place = np.zeros(n, np.int64)
+    flat, place = out.ravel(), np.arange(n) * room
+    live = n
     for t in range(steps):
-        live = int(np.searchsorted(-lengths, -t, "left"))
+        while live and lengths[live - 1] <= t:
+            live -= 1
         if live < m.n:
             m.shrink(live)
-        if not live:
-            break
-        lo, sp = low[:live], span[:live]
+        lo, sp, at = low[:live], span[:live], place[:live]
         s = x[t, :live]
         m.predict()
         hit2 = m.guess2 == s
-        hit1 = (m.guess1 == s) & ~hit2
-        both = m.f2 + m.f1
-        start = np.where(hit2, 0, np.where(hit1, m.f2, both))
-        size = np.where(hit2, m.f2, np.where(hit1, m.f1, 65536 - both))
-        sp >>= 16
+        also1 = m.guess1 == s
+        hit1 = also1 > hit2
+        start = np.where(hit2, 0, np.where(hit1, m.f2, m.both))
+        size = np.where(hit2, m.f2, np.where(hit1, m.both, 1 << _MIX)) - start
+        sp >>= _MIX
         lo += sp * start
         sp *= size
-        k = np.flatnonzero(~(hit2 | hit1))
+        k = np.flatnonzero(~(hit2 | also1))
         if len(k):
-            sym = s[k]
+            sym = s.take(k)
             c = _CLASS.take(sym)
-            rows = m.classes.take(k, axis=0)
-            line = np.arange(len(k)) * (_CLASSES + 1) + c
-            a = rows.ravel().take(line)
-            b = rows.ravel().take(line + 1)
-            r = sp[k] >> 15
-            l2 = lo[k] + r * a
-            r *= b - a
+            rows = m.class_ends(k)
+            a, b = _interval(rows, c)
+            r = sp.take(k) >> _ORDER0
+            l2 = lo.take(k) + r * a
+            r *= b
             r >>= c
-            l2 += r * (sym - (1 << c.astype(np.int64)))
+            l2 += r * (sym - _BASE.take(c))
             lo[k] = l2
             sp[k] = r
-            rows += (_TARGET.take(c, axis=0) - rows) >> _RATE
-            m.classes[k] = rows
-        while True:
-            k = np.flatnonzero(sp <= 1 << 32)
-            if not len(k):
-                break
-            p = place[k]
-            if p.max() >= room - 4:
-                out = np.concatenate([out, np.zeros_like(out)], axis=1)
-                room *= 2
-                flat, row = out.ravel(), np.arange(n) * room
+            m.learn_classes(k, rows, c)
+        # one digit of every block is written; it stays where the range has become small
+        short = sp <= 1 << 32
+        flat[at] = lo >> 32
+        at += short
+        np.copyto(lo, (lo & _LOW32) << 16, where=short)
+        np.copyto(sp, sp << 16, where=short)
+        while len(k := np.flatnonzero(sp <= 1 << 32)):
             v = lo[k]
-            flat[row[k] + p] = v >> 32
-            place[k] = p + 1
+            flat[at[k]] = v >> 32
+            at[k] += 1
             lo[k] = (v & _LOW32) << 16
             sp[k] <<= 16
-        m.learn(s, hit2, hit1)
+        m.learn(s, hit2, also1, hit1)
     for _ in range(3):
-        out[np.arange(n), place] = low >> 32
+        flat[place] = low >> 32
         low = (low & _LOW32) << 16
         place += 1
     while (over := out >> 16).any():  # carries
         out &= 0xFFFF
         out[:, :-1] += over[:, 1:]
-    return out, place
+    return out, place - np.arange(n) * room
 
 
 def decode_blocks(digits: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -164,58 +177,58 @@ def decode_blocks(digits: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     m = Model(n)
     x = np.zeros((steps, n), np.int32)
     digits = np.concatenate([digits.astype(np.int64), np.zeros(8, np.int64)])
-    at = starts.astype(np.int64)
-    code = (digits[at] << 32) | (digits[at + 1] << 16) | digits[at + 2]
-    at = at + 3
+    place = starts.astype(np.int64)
+    code = (digits[place] << 32) | (digits[place + 1] << 16) | digits[place + 2]
+    place = place + 3
     span = np.full(n, 1 << 48, np.int64)
+    live = n
     for t in range(steps):
-        live = int(np.searchsorted(-lengths, -t, "left"))
+        while live and lengths[live - 1] <= t:
+            live -= 1
         if live < m.n:
             m.shrink(live)
-        co, sp = code[:live], span[:live]
+        co, sp, at = code[:live], span[:live], place[:live]
         m.predict()
-        both = m.f2 + m.f1
-        sp >>= 16
-        # exact: quotients stay below 2**16 and products below 2**49
-        v = np.minimum((co / sp).astype(np.int64), 65535)
+        sp >>= _MIX
+        # quotients of such integers are exact when rounded down: they stay below 2**16, their products below 2**49
+        v = (co / sp).astype(np.int32)
         hit2 = v < m.f2
-        hit1 = (v < both) & ~hit2
-        start = np.where(hit2, 0, np.where(hit1, m.f2, both))
-        size = np.where(hit2, m.f2, np.where(hit1, m.f1, 65536 - both))
+        hit1 = (v < m.both) > hit2
+        miss = v >= m.both
+        start = np.where(hit2, 0, np.where(hit1, m.f2, m.both))
+        size = np.where(hit2, m.f2, np.where(hit1, m.both, 1 << _MIX)) - start
         co -= sp * start
         sp *= size
         s = np.where(hit2, m.guess2, m.guess1)
-        k = np.flatnonzero(~(hit2 | hit1))
+        k = np.flatnonzero(miss)
         if len(k):
-            r = sp[k] >> 15
-            c0 = co[k]
-            v = np.minimum((c0 / r).astype(np.int32), _TOTAL - 1)
-            rows = m.classes.take(k, axis=0)
-            c = (rows[:, 1:_CLASSES] <= v[:, None]).sum(axis=1, dtype=np.int32)
-            line = np.arange(len(k)) * (_CLASSES + 1) + c
-            a = rows.ravel().take(line)
-            b = rows.ravel().take(line + 1)
+            r = sp.take(k) >> _ORDER0
+            c0 = co.take(k)
+            v = np.minimum((c0 / r).astype(np.int16), (1 << _ORDER0) - 1)
+            rows = m.class_ends(k)
+            below = (rows <= v[:, None]).view(np.uint64)  # 16 bytes of 0 or 1 a row; a product adds up eight
+            c = (((below[:, 0] + below[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+            a, b = _interval(rows, c)
             c0 -= r * a
-            r *= b - a
+            r *= b
             r >>= c
-            first = 1 << c.astype(np.int64)
+            first = _BASE.take(c)
             off = np.minimum((c0 / r).astype(np.int64), first - 1)
             c0 -= r * off
             s[k] = first + off
             co[k] = c0
             sp[k] = r
-            rows += (_TARGET.take(c, axis=0) - rows) >> _RATE
-            m.classes[k] = rows
-        while True:
-            k = np.flatnonzero(sp <= 1 << 32)
-            if not len(k):
-                break
-            p = at[k]
-            co[k] = (co[k] << 16) | digits.take(p)
-            at[k] = p + 1
+            m.learn_classes(k, rows, c)
+        short = sp <= 1 << 32
+        np.copyto(co, (co << 16) | digits.take(at), where=short)
+        np.copyto(sp, sp << 16, where=short)
+        at += short
+        while len(k := np.flatnonzero(sp <= 1 << 32)):
+            co[k] = (co[k] << 16) | digits.take(at[k])
+            at[k] += 1
             sp[k] <<= 16
         x[t, :live] = s
-        m.learn(s, hit2, hit1)
+        m.learn(s, hit2, m.guess1 == s, hit1)
     return x
 
 
