@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import words
+from evalloom.session import materialize
 
 
 def pseudo_embedding(text: Column, dim: int = 384) -> Column:
@@ -56,7 +57,8 @@ def bm25(pairs: DataFrame, query_id: str, query: str, item_id: str, text: str, p
     Negative idf becomes ``epsilon`` times the mean idf; repeated query words count again; ties keep the prior order.
     """
     p = pairs.select(F.col(query_id).alias("q_"), F.col(item_id).alias("i_"), F.col(prior).alias("prior_"), words(query).alias("asked_"), words(text).alias("said_"))
-    p = p.withColumn("length_", F.size("said_"))
+    # read six times below: written once, so retrieval before it runs once
+    p = materialize(p.withColumn("length_", F.size("said_")), "bm25")
     sizes = p.groupBy("q_").agg(F.count("*").alias("n_"), F.avg("length_").alias("mean_"))
     tf = p.select("q_", "i_", F.explode("said_").alias("t_")).groupBy("q_", "i_", "t_").agg(F.count("*").alias("tf_"))
     df = tf.groupBy("q_", "t_").agg(F.count("*").alias("df_")).join(sizes, "q_")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evalloom.functions import prompts, redaction, routing, scores
 from evalloom.functions.text import estimated_tokens, field_text, redaction_tokens
 from evalloom.operators import chunking, logs, models, retrieval, stats
+from evalloom.session import materialize
 
 # Configurations, field lists, tables without cells.
 EXTRACT_CONFIGS = (("A", False, "A", "cheap"), ("B", False, "B", "cheap"), ("D", True, "A", "cheap"), ("B+D", True, "B", "cheap"), ("D-strong", True, "A", "strong"))
@@ -100,6 +101,7 @@ def track2(contracts: DataFrame, top_k: int = 8, configs: DataFrame | None = Non
     asked = questions(contracts).withColumn("query_id", F.xxhash64("case_id", "question")).withColumn("query_vec", retrieval.pseudo_embedding(F.concat(F.lit("query: "), F.col("question"))))
     pairs = asked.join(chunks.select("case_id", "chunk_id", "ordinal", F.col("text").alias("chunk"), "vec"), "case_id")
     near = logs.top_matches(pairs.withColumn("distance", retrieval.squared_distance(F.col("vec"), F.col("query_vec"))), ["query_id"], [F.col("distance"), F.col("chunk_id")], top_k).drop("vec", "query_vec")
+    near = materialize(near, "retrieved")  # used by the ranking and by the lists
     ranked = retrieval.bm25(near.withColumn("prior", F.struct("distance", "chunk_id")), "query_id", "question", "chunk_id", "chunk", "prior").select("query_id", "chunk_id", F.col("rank").alias("bm25_rank"))
     listed = near.join(ranked, ["query_id", "chunk_id"]).groupBy("query_id", "case_id", "question", "answer", "is_refusable")
     order = lambda first: F.transform(F.sort_array(F.collect_list(F.struct(*first, F.col("chunk_id"), F.col("chunk").alias("text")))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text")))

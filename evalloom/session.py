@@ -1,13 +1,15 @@
-"""What a Spark session needs before operators with Python bodies run on its executors."""
+"""Code on the executors, and tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -24,3 +26,37 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, Path(root.name) / p.relative_to(root))
     context.addPyFile(archive)
     context._evalloom_shipped = True
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = jvm_dir.get() if jvm_dir.isDefined() else None
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="evalloom-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    path = f"{shared_dir(spark)}/evalloom/{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may be gone; the folder belongs to the job and can be swept later
+        pass
+
+
+def materialize(df: DataFrame, kind: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = new_path(spark, kind)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
