@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import materialize
-from evalloom.llm.connected import components
+from evalloom.llm.connected import Union, components
 from evalloom.llm.vector_text import SET_BITS, mix64, shingle_hashes, shingles, slices
 from evalloom.session import ship
 
 _ODD = (mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
-#: Min-hashes by the share of common shingles: up to a quarter, up to a half or more; and of whole sets beyond a half.
-FEW, MANY, WHOLE = 19, 30, 16
+#: (largest share f of common shingles, min-hashes): without its common shingles a linked pair keeps a similarity of
+#: (0.75 - f) / (1 - f) at least, and so many min-hashes all differ with a probability of a few billionths.
+STEPS = ((0.02, 14), (0.1, 15), (0.25, 18), (1.0, 30))
+MANY, WHOLE = STEPS[-1][1], 16
 
 
 def common_shingles(docs: DataFrame, size: int, share: float, least: int, most: int, chunk: int = 16 << 20) -> np.ndarray:
@@ -153,22 +155,6 @@ class Tree:
                 stack += [(a, y) for y in below_b if self.possible(a, y)]
 
 
-class Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-
 def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
     """doc_id, n, two numbers that identify the set, keys (buckets), bits and map of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
@@ -200,21 +186,18 @@ def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                     warm[maybe] = often[np.minimum(np.searchsorted(often, values[maybe]), len(often) - 1)] == values[maybe]
                 doc = np.repeat(np.arange(len(n)), n)
                 cold, cold_n = values[~warm], np.bincount(doc[~warm], minlength=len(n))
-                cold_first = np.concatenate([[0], np.cumsum(cold_n)])
                 share = 1 - cold_n / np.maximum(n, 1)
                 has = np.flatnonzero(cold_n > 0)
-                few = minima(cold, cold_first, has, range(FEW))
-                some = np.flatnonzero(share[has] > 0.25)
-                part_doc = has[some]
                 keys: list = [None] * len(n)
-                for d, row in zip(has.tolist(), few.tolist(), strict=True):
-                    keys[d] = row
-                if len(part_doc):
-                    mask = np.isin(doc[~warm], part_doc)
-                    sub_n = cold_n[part_doc]
-                    more = minima(cold[mask], np.concatenate([[0], np.cumsum(sub_n)]), np.arange(len(part_doc)), range(FEW, MANY))
-                    for d, row in zip(part_doc.tolist(), more.tolist(), strict=True):
-                        keys[d] = keys[d] + row
+                done = 0
+                for top, many in STEPS:  # the functions each step adds, for the texts that need them
+                    own = has if not done else has[share[has] > least]
+                    if len(own):
+                        mask = np.isin(doc[~warm], own) if done else slice(None)
+                        own_first = np.concatenate([[0], np.cumsum(cold_n[own])])
+                        for d, row in zip(own.tolist(), minima(cold[mask], own_first, np.arange(len(own)), range(done, many)).tolist(), strict=True):
+                            keys[d] = (keys[d] or []) + row
+                    done, least = many, top
                 mostly = np.flatnonzero((share > 0.5) & (n > 0))
                 if len(mostly):
                     mask = np.isin(doc, mostly)
@@ -238,11 +221,12 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tup
     """Rows of equal first ``keys`` columns, from batches sorted by these."""
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and row[:keys] != held[0][:keys]:
-                yield held
-                held = []
-            held.append(row)
+        for at in range(0, batch.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                if held and row[:keys] != held[0][:keys]:
+                    yield held
+                    held = []
+                held.append(row)
     if held:
         yield held
 
@@ -253,12 +237,12 @@ def _pair_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def coarse_links(nodes: DataFrame, percent: int, bucket_rows: int) -> DataFrame:
     """(a, b): links enough to connect all nodes that may be similar."""
-    keyed = materialize(nodes.select(F.explode("keys").alias("key"), "node", "n"), "keys")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("least")).filter(F.col("rows") > 1)
-    shared = materialize(keyed.join(counts, "key"), "buckets")
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("least")).filter(F.col("rows") > 1), "buckets")
+    shared = materialize(screened(keyed, "key", counts.select("key")).join(counts, "key"), "shared")
     wide = shared.filter(F.col("rows") > bucket_rows).select(F.col("node").alias("a"), F.col("least").alias("b")).filter("a <> b")
-    small = shared.filter(F.col("rows") <= bucket_rows)
-    placed = small.select("key", "node", "n").join(nodes.select("node", "map"), "node").select("key", "node", "n", "map")
+    small = shared.filter(F.col("rows") <= bucket_rows).select("key", "node")
+    placed = small.join(nodes.select("node", "n", "map"), "node").select("key", "node", "n", "map")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -278,16 +262,27 @@ def coarse_links(nodes: DataFrame, percent: int, bucket_rows: int) -> DataFrame:
 
     parts = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     near = placed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
-    return near.unionByName(wide).distinct()
+    return near.unionByName(wide)
 
 
 SETS = "grp long, blk long, node long, n long, values binary"
 JOINED = "grp long, blk long, node long, n long, values binary, root long"
 
 
+def pack48(values: np.ndarray) -> bytes:
+    """48-bit numbers in six bytes each."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack48(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _join_block(rows: list[tuple], percent: int, classes: list[int] | None = None) -> Union:
     """Exact links of a block's rows (grp, blk, node, n, values); rows of one class count as joined."""
-    arrays = [np.frombuffer(r[4], "<u8") for r in rows]
+    arrays = [unpack48(r[4]) for r in rows]
     bits = [bitmap_bits(len(a)) for a in arrays]
     union = Union(len(rows))
     if classes:
@@ -328,19 +323,30 @@ def _sets(size: int):
         for batch in batches:
             for at, w in slices(batch.column(2)):
                 values, first = shingles(w, size)
-                raw = [values[a:b].astype("<u8").tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                raw = [pack48(values[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 k = len(raw)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), batch.column(1).slice(at, k), pa.array(np.diff(first)), pa.array(raw, pa.binary())], schema=schema)
 
     return run
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
-    """(a, b) links that connect exactly the similar nodes of each group (node, grp)."""
+def screened(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 25) -> DataFrame:
+    """The rows whose ``column`` may be among ``wanted`` (one column of longs): most others stay out of the shuffle of the
+    join that decides. A bitmap of hashes is broadcast, 2**bits bits at the most however many are wanted."""
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
+    within = lambda p: p.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), within(F.col("p_")))
+    words = wanted.select(place(wanted.columns[0]).alias("p_")).groupBy(F.shiftright("p_", 6).alias("word_")).agg(F.bit_or(one).alias("bits_"))
+    found = rows.withColumn("p_", place(column)).join(F.broadcast(words), F.shiftright("p_", 6) == F.col("word_"))
+    return found.filter(F.call_function("shiftright", F.col("bits_"), within(F.col("p_"))).bitwiseAND(F.lit(1).cast("long")) == 1).drop("p_", "word_", "bits_")
+
+
+def exact_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
+    """(id, component): the classes of similar nodes of each group (node, grp)."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     wanted = groups.select(F.col("node").alias("doc_id"), "grp")
-    texts = docs.join(wanted, "doc_id")
+    texts = screened(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
     items = texts.select("grp", F.col("doc_id").alias("node"), "text").mapInArrow(_sets(size), "grp long, node long, n long, values binary")
     links, level = [], 0
     sets = None
@@ -363,11 +369,12 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, percent: int, blo
     for more in links[1:]:
         found = found.unionByName(more)
     found = materialize(found, "links")
-    rest = _between_blocks(sets, found, percent, block_rows, parts)
-    return found if rest is None else found.unionByName(rest)
+    class_of = components(found)
+    rest = _between_blocks(sets, class_of, percent, block_rows, parts)
+    return class_of if rest is None else components(class_of.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
 
-def _between_blocks(sets: DataFrame, links: DataFrame, percent: int, block_rows: int, parts: int) -> DataFrame | None:
+def _between_blocks(sets: DataFrame, class_of: DataFrame, percent: int, block_rows: int, parts: int) -> DataFrame | None:
     """Links between nodes of different classes in groups of more than one block, or None where no such group is left.
 
     A large class has blocks of its own, small ones share blocks; pairs of blocks that hold one and the same class are left
@@ -376,7 +383,6 @@ def _between_blocks(sets: DataFrame, links: DataFrame, percent: int, block_rows:
     wide = materialize(sets.filter("blk > 0").select("grp").distinct(), "wide")
     if wide.isEmpty():
         return None
-    class_of = components(links)
     light = sets.select("grp", "node").join(wide, "grp", "left_semi").join(class_of.select(F.col("id").alias("node"), "component"), "node", "left")
     light = materialize(light.select("grp", "node", F.coalesce("component", "node").alias("cls")), "classes")
     mixed = light.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("grp")
@@ -413,9 +419,8 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 75, share: float =
     nodes = known.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("map").alias("map"))
     nodes = materialize(nodes.filter("node is not null"), "nodes")
     near = components(coarse_links(nodes, percent, bucket_rows))
-    groups = materialize(near.select(F.col("id").alias("node"), F.col("component").alias("grp")), "groups")
-    links = exact_links(docs, groups, size, percent, block_rows)
-    found = components(links)
+    groups = near.select(F.col("id").alias("node"), F.col("component").alias("grp"))
+    found = exact_classes(docs, groups, size, percent, block_rows)
     node_of = nodes.select(*identity, "node").join(found.select(F.col("id").alias("node"), "component"), "node", "left")
     node_of = node_of.select(*identity, F.coalesce("component", "node").alias("component_id"))
     out = known.select("doc_id", *identity).join(node_of, identity, "left")
