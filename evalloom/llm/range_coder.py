@@ -176,7 +176,7 @@ def decode_blocks(digits: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
     n, steps = len(lengths), int(lengths.max(initial=0))
     m = Model(n)
     x = np.zeros((steps, n), np.int32)
-    digits = np.concatenate([digits.astype(np.int64), np.zeros(8, np.int64)])
+    digits = np.concatenate([digits.astype(np.int64), np.zeros(8, np.int64)])  # a damaged block may ask for more: clipped
     place = starts.astype(np.int64)
     code = (digits[place] << 32) | (digits[place + 1] << 16) | digits[place + 2]
     place = place + 3
@@ -220,11 +220,11 @@ def decode_blocks(digits: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
             sp[k] = r
             m.learn_classes(k, rows, c)
         short = sp <= 1 << 32
-        np.copyto(co, (co << 16) | digits.take(at), where=short)
+        np.copyto(co, (co << 16) | digits.take(at, mode="clip"), where=short)
         np.copyto(sp, sp << 16, where=short)
         at += short
         while len(k := np.flatnonzero(sp <= 1 << 32)):
-            co[k] = (co[k] << 16) | digits.take(at[k])
+            co[k] = (co[k] << 16) | digits.take(at[k], mode="clip")
             at[k] += 1
             sp[k] <<= 16
         x[t, :live] = s

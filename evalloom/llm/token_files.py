@@ -90,7 +90,7 @@ class FileReader:
     def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(doc id, start in the file, ids) of every document; holds one segment and one document at a time."""
         at, start = HEAD.size, 0
-        have: list[np.ndarray] = []
+        have = [np.zeros(0, np.uint16)]
         room = read = 0
         for doc, n in zip(self.doc_ids.tolist(), self.lengths.tolist(), strict=True):
             while room < n:
