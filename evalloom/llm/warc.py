@@ -224,18 +224,22 @@ def _read(whole: bool):
                 with store.open_input_file(path) as source:
                     reader = RangeReader(source, row["start"], row["end"])
                     first = row.get("from")
-                    first = reader.first() if first is None else first
-                    at, rows, held = first, [], 0
-                    for offset, at, head, block in reader.records(first):  # noqa: B007
-                        digest = head.get("warc-payload-digest", "").partition(":")[2]
-                        if head["warc-type"] == "response" and sha1_base32(block) != digest:
-                            raise ValueError(f"payload of {row['path']} at {offset} does not match its digest")
-                        rows.append((row["path"], row["start"], row["end"], None, None, offset, head["warc-type"], number(head.get("x-page-id")), number(head.get("x-payload-length")), digest, number(head.get("x-refers-to-page-id")), head.get("warc-target-uri"), block if whole else None))
-                        held += len(block)
-                        if held > 8 << 20 or len(rows) >= 4096:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                            rows, held = [], 0
-                    rows.append((row["path"], row["start"], row["end"], first, at, None, None, None, None, None, None, None, None))
+                    first = reader.first() if first is None else first if first < row["end"] else None
+                    at, rows, held, damage = first, [], 0, None
+                    try:
+                        for offset, after, head, block in reader.records(first):
+                            digest = head.get("warc-payload-digest", "").partition(":")[2]
+                            if head.get("warc-type") == "response" and sha1_base32(block) != digest:
+                                raise ValueError(f"the payload at byte {offset} does not match its digest")
+                            rows.append((row["path"], row["start"], row["end"], None, None, offset, head.get("warc-type"), number(head.get("x-page-id")), number(head.get("x-payload-length")), digest, number(head.get("x-refers-to-page-id")), head.get("warc-target-uri"), block if whole else None))
+                            at = after
+                            held += len(block)
+                            if held > 8 << 20 or len(rows) >= 4096:
+                                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                                rows, held = [], 0
+                    except ValueError as e:  # a real one only if the chain led here: told apart when all ranges are read
+                        damage = str(e)
+                    rows.append((row["path"], row["start"], row["end"], first, at, None, damage, None, None, None, None, None, None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -261,14 +265,17 @@ def _broken_chains(got: DataFrame) -> DataFrame | None:
 
     One row a range; a range without a record of its own passes the place on. The windows are per file.
     """
-    marks = got.filter("offset is null").select("path", "start", "end", "first", "last")
+    marks = got.filter("offset is null").select("path", "start", "end", "first", "last", F.col("record_type").alias("damage"))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     due = marks.withColumn("due", F.coalesce(F.max("last").over(before), F.lit(0)))
     begun = F.when(F.col("due") < F.col("end"), F.col("due"))  # else a record covers the whole range, or the file is over
-    wrong = due.filter(~F.col("first").eqNullSafe(begun))
+    wrong = due.filter(~F.col("first").eqNullSafe(begun) | F.col("damage").isNotNull())
     least = wrong.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("start"))).filter("k = 1")
-    fixed = least.select("path", "start", "end", F.col("due").alias("from"))
-    return None if fixed.isEmpty() else materialize(fixed, "warc-again")
+    fixed = materialize(least.select("path", "start", "end", F.col("due").alias("from"), F.col("first").eqNullSafe(begun).alias("led_here"), "damage"), "warc-again")
+    real = fixed.filter("led_here").select("path", "damage").take(1)
+    if real:
+        raise ValueError(f"{real[0]['path']}: {real[0]['damage']}")
+    return None if fixed.isEmpty() else fixed.select("path", "start", "end", "from")
 
 
 def round_trip(pages: DataFrame, *, least: int = 0, split: int = 4 << 20, file_rows: int = 20_000) -> DataFrame:

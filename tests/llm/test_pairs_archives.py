@@ -219,3 +219,13 @@ def test_damage_is_reported():
     reader = warc.RangeReader(pa.BufferReader(bytes(data)), 0, len(data))
     with pytest.raises(ValueError, match="damaged"):
         list(reader.records(reader.first()))
+
+
+def test_damage_fails_the_read(spark, tmp_path):
+    data = bytearray(b"".join(warc.encode_record(i, "u", bytes(500), base64.b32encode(hashlib.sha1(bytes(500)).digest()).decode(), None, "d") for i in range(9)))
+    data[len(data) // 2] ^= 255
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(bytes(data))
+    manifest = spark.createDataFrame([(str(path), len(data), 9)], "path string, bytes long, records long")
+    with pytest.raises(ValueError, match="x.warc.gz"):
+        warc.read_archives(manifest, split=400)
