@@ -70,4 +70,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_classify_quality": op9_classify_quality,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL twins: the definitions, by plain joins. The other operators' results (packings, files, learned scores, sketches, seeded
+#: draws, trees) are held against brute force, round trips and held-out labels in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS h FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY 1)
+SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id FROM m LEFT JOIN n ON n.doc_id = id""",
+    "op6_quality_rules": r"""
+WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM (SELECT doc_id, i, w[i:i + 2] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w))),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE c > 1) GROUP BY 1),
+b AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / n_words AS x1, n_repeat_words / n_words AS x2, n_dup_lines / greatest(n_words / 10, 1) AS x3, word_chars / n_words AS x4 FROM b),
+q AS (SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, quantile_disc(x1, [0.25, 0.75]) AS q1, quantile_disc(x2, [0.25, 0.75]) AS q2, quantile_disc(x3, [0.25, 0.75]) AS q3, quantile_disc(x4, [0.25, 0.75]) AS q4
+  FROM m WHERE NOT base_failed AND n_words > 0 GROUP BY ROLLUP (lang, source)),
+f AS (SELECT p.lang, p.source, CASE WHEN p.n >= 30 THEN p.q1 WHEN l.n >= 30 THEN l.q1 ELSE e.q1 END AS q1, CASE WHEN p.n >= 30 THEN p.q2 WHEN l.n >= 30 THEN l.q2 ELSE e.q2 END AS q2,
+  CASE WHEN p.n >= 30 THEN p.q3 WHEN l.n >= 30 THEN l.q3 ELSE e.q3 END AS q3, CASE WHEN p.n >= 30 THEN p.q4 WHEN l.n >= 30 THEN l.q4 ELSE e.q4 END AS q4
+  FROM q p JOIN q l ON p.level = 0 AND l.level = 1 AND p.lang IS NOT DISTINCT FROM l.lang JOIN q e ON e.level = 3)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words > 0 AND coalesce(x1 <= q1[2] + greatest(4 * (q1[2] - q1[1]), 0.3) AND x2 <= q2[2] + greatest(4 * (q2[2] - q2[1]), 0.42)
+  AND x3 <= q3[2] + greatest(4 * (q3[2] - q3[1]), 0.3) AND x4 <= q4[2] + greatest(4 * (q4[2] - q4[1]), 2.0) AND x4 >= q4[1] - greatest(4 * (q4[2] - q4[1]), 2.0), true) AS kept
+FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source""",
+    "op10_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT r.id, l.b FROM r JOIN l ON r.c = l.a),
+m AS (SELECT id, min(c) AS c FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT id AS vec_id, coalesce(k.n, 0) AS n_links, c AS component_id, id = c AS kept FROM m LEFT JOIN k ON k.a = id""",
+}
