@@ -12,8 +12,23 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Limits of an Arrow batch: rows here are documents, and 10,000 of them (Spark's default) can be gigabytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application; they need no installed copy of it."""
+    """Send this package to the executors, once per application; they need no installed copy of it.
+
+    The session's Arrow batches are kept small where it asks for larger ones: memory of Python bodies is then bounded by a
+    few documents, not by the table.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            said = spark.conf.get(name).lower().removesuffix("b")
+        except Exception:  # a version of Spark without this setting
+            continue
+        if not said.isdigit() or not 0 < int(said) <= most:
+            spark.conf.set(name, str(most))
     context = spark.sparkContext
     if getattr(context, "_evalloom_shipped", False):
         return
