@@ -330,15 +330,28 @@ def _sets(size: int):
     return run
 
 
-def screened(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 25) -> DataFrame:
-    """The rows whose ``column`` may be among ``wanted`` (one column of longs): most others stay out of the shuffle of the
-    join that decides. A bitmap of hashes is broadcast, 2**bits bits at the most however many are wanted."""
+def with_screen(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> DataFrame:
+    """Add ``maybe_``: whether ``column`` may be among ``wanted`` (one column of longs). A bitmap of hashes is broadcast,
+    2**bits bits at the most however many are wanted; where it is crowded it only says maybe more often."""
     place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
     within = lambda p: p.bitwiseAND(F.lit(63)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), within(F.col("p_")))
     words = wanted.select(place(wanted.columns[0]).alias("p_")).groupBy(F.shiftright("p_", 6).alias("word_")).agg(F.bit_or(one).alias("bits_"))
-    found = rows.withColumn("p_", place(column)).join(F.broadcast(words), F.shiftright("p_", 6) == F.col("word_"))
-    return found.filter(F.call_function("shiftright", F.col("bits_"), within(F.col("p_"))).bitwiseAND(F.lit(1).cast("long")) == 1).drop("p_", "word_", "bits_")
+    found = rows.withColumn("p_", place(column)).join(F.broadcast(words), F.shiftright("p_", 6) == F.col("word_"), "left")
+    hit = F.call_function("shiftright", F.coalesce("bits_", F.lit(0).cast("long")), within(F.col("p_"))).bitwiseAND(F.lit(1).cast("long")) == 1
+    return found.withColumn("maybe_", hit).drop("p_", "word_", "bits_")
+
+
+def screened(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 25) -> DataFrame:
+    """The rows whose ``column`` may be among ``wanted``: most others stay out of the shuffle of the join that decides."""
+    return with_screen(rows, column, wanted, bits).filter("maybe_").drop("maybe_")
+
+
+def without(rows: DataFrame, column: str, dropped: DataFrame, bits: int = 25) -> DataFrame:
+    """The rows whose ``column`` is not among ``dropped``; only those that may be are shuffled."""
+    marked = with_screen(rows, column, dropped, bits)
+    checked = marked.filter("maybe_").drop("maybe_").join(dropped.select(F.col(dropped.columns[0]).alias("dropped_")), F.col(column) == F.col("dropped_"), "left_anti")
+    return marked.filter("not maybe_").drop("maybe_").unionByName(checked)
 
 
 def exact_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
@@ -431,7 +444,8 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """One row of each class, that of the smallest doc_id, with the columns of ``docs``; documents without words all stay."""
     found = classes(docs.select("doc_id", "text"), **options)
     found = materialize(found, "jaccard-classes")
-    stay = found.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select("doc_id").distinct()
-    kept = docs.join(stay.withColumnRenamed("doc_id", "stay_"), F.col("doc_id").eqNullSafe(F.col("stay_")), "left_semi")
+    # ids clash with no column: the struct holds the row
+    rows = docs.select(F.col("doc_id").cast("long").alias("id_"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+    kept = without(rows, "id_", found.filter("doc_id <> component_id").select("doc_id").distinct()).select("row_.*")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
