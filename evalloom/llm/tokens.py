@@ -6,6 +6,7 @@ Vocabulary files are named by parameter and found on every node by ``public_toke
 from __future__ import annotations
 
 import base64
+import json
 import os
 from collections.abc import Callable, Iterable
 from functools import lru_cache
@@ -20,21 +21,26 @@ def byte_level_encoder(vocabulary: str = "byte_bpe_50k.json", ranks: str | None
     Special tokens in a text get their ids, as the tokenizers library gives them; none is added.
     """
     import public_tokenizers
-    from tokenizers import Tokenizer
 
-    plain = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    @lru_cache(maxsize=1)
+    def plain():  # noqa: ANN202  loaded where a text needs it only
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(public_tokenizers.path(vocabulary))
+
     if ranks is None:
-        return lambda text: np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+        return lambda text: np.array(plain().encode(text, add_special_tokens=False).ids, np.uint32)
     import tiktoken
 
-    special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
+    with open(public_tokenizers.path(vocabulary), encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
     with open(public_tokenizers.path(ranks), "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
-            return np.array(plain.encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.array(plain().encode(text, add_special_tokens=False).ids, np.uint32)
         return np.frombuffer(fast._core_bpe.encode_to_tiktoken_buffer(text, set()), np.uint32)
 
     return encode
