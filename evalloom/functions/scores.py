@@ -49,21 +49,36 @@ def exact_match(pred: Column, ref: Column) -> Column:
     return F.when(normal_text(pred) == normal_text(ref), 1.0).otherwise(0.0)
 
 
+def _numbered(array: Column) -> Column:
+    """The elements of an array of strings, each with its number among its equals: a set that stands for the multiset.
+
+    A sort brings equals together; run starts and lengths come from neighbours, so the work is linear but for the sort.
+    """
+
+    def of(s: Column) -> Column:
+        at = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda b: F.flatten(F.transform(b, lambda i, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(b, k + 1), F.size(s)) - i), lambda j: F.concat(F.get(s, i), F.lit("\0"), j.cast("string")))))
+        return F.transform(F.array(starts), run)[0]
+
+    return F.transform(F.array(F.sort_array(array)), of)[0]
+
+
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays: sorted runs are compared, nothing is exploded."""
-    sorted_a, sorted_b = F.array_sort(a), F.array_sort(b)
-    kinds = F.array_intersect(sorted_a, sorted_b)
-    n = F.transform(kinds, lambda k: F.least(_count(sorted_a, lambda x: x == k), _count(sorted_b, lambda x: x == k)))
-    return F.aggregate(n, F.lit(0), lambda s, x: s + x)
+    """Size of the multiset intersection of two arrays of strings; nothing is exploded."""
+    return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
-def token_f1(pred: Column, ref: Column, cased: bool = False) -> Column:
+def token_f1(pred: Column, ref: Column, cased: bool = False, places: int = 4, rounding: Callable[[Column, int], Column] = F.bround) -> Column:
     p, r = tokens(pred, cased), tokens(ref, cased)
-    same = multiset_overlap(p, r)
-    precision, recall = same / F.greatest(F.size(p), F.lit(1)), same / F.greatest(F.size(r), F.lit(1))
-    both, one = (F.size(p) == 0) & (F.size(r) == 0), (F.size(p) == 0) | (F.size(r) == 0)
-    pick = lambda x: F.when(both, 1.0).when(one, 0.0).otherwise(F.bround(x, 4))
-    return F.struct(pick(_f1(precision, recall)).alias("token_f1"), pick(precision).alias("token_precision"), pick(recall).alias("token_recall"))
+
+    def scored(s: Column) -> Column:
+        precision, recall = s["same"] / F.greatest(s["p"], F.lit(1)), s["same"] / F.greatest(s["r"], F.lit(1))
+        pick = lambda x: F.when((s["p"] == 0) & (s["r"] == 0), 1.0).when((s["p"] == 0) | (s["r"] == 0), 0.0).otherwise(rounding(x, places))
+        return F.struct(pick(_f1(precision, recall)).alias("token_f1"), pick(precision).alias("token_precision"), pick(recall).alias("token_recall"))
+
+    # bound once: three results use the overlap
+    return F.transform(F.array(F.struct(F.size(p).alias("p"), F.size(r).alias("r"), multiset_overlap(p, r).alias("same"))), scored)[0]
 
 
 def refusal_accuracy(refused: Column, is_refusable: Column) -> Column:

@@ -267,16 +267,8 @@ def _token_f1_sql(cased: bool) -> str:
 
 
 def _token_f1(cased: bool):  # noqa: ANN202
-    # three places: half-even and half-up rounding of four places may differ in a tie
-    return lambda spark, sf: turn_pairs(spark, sf).select("conv_id", "turn", _plain_f1(cased).alias("token_f1"))
-
-
-def _plain_f1(cased: bool):  # noqa: ANN202
-    p, r = text.tokens("text", cased), text.tokens("next", cased)
-    same = scores.multiset_overlap(p, r)
-    a, b = same / F.greatest(F.size(p), F.lit(1)), same / F.greatest(F.size(r), F.lit(1))
-    none, one = (F.size(p) == 0) & (F.size(r) == 0), (F.size(p) == 0) | (F.size(r) == 0)
-    return F.when(none, 1.0).when(one, 0.0).otherwise(F.round(2 * a * b / F.greatest(a + b, F.lit(1e-9)), 3))
+    # three places, half up: half-even rounding of four places may differ from SQL's in a tie
+    return lambda spark, sf: turn_pairs(spark, sf).select("conv_id", "turn", scores.token_f1(F.col("text"), F.col("next"), cased, 3, F.round)["token_f1"].alias("token_f1"))
 
 
 query(_token_f1_sql(False), "token_f1")(_token_f1(False))
