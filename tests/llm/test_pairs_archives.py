@@ -152,6 +152,22 @@ def test_embeddings_are_brute_force(spark, seed, block):
     assert embedding_dedup.near_duplicates(df.filter("vec_id = 5000")).count() == 1
 
 
+@pytest.mark.parametrize("way", ["small", "few partners", "many visits", "no cap"])
+def test_rare_and_loose_links_are_found(spark, way):
+    rng = np.random.default_rng(4)
+    x = embedding_dedup.unit(rng.normal(size=(4000, 64)))
+    pairs = 60 if way in {"small", "few partners"} else 1500
+    side = rng.normal(size=(pairs, 64))
+    side = embedding_dedup.unit(side - (side * x[:pairs]).sum(axis=1)[:, None] * x[:pairs])
+    x[-pairs:] = 0.953 * x[:pairs] + np.sqrt(1 - 0.953**2) * side  # cosines just above the threshold
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    visiting = {"exact_rows": 0, "queries": 1000, "least_found": 100}
+    options = {"small": {}, "few partners": visiting, "many visits": {**visiting, "most_cells": 8}, "no cap": {**visiting, "most_cells": 10**9}}[way]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, sample_rows=200, cell_rows=1, **options).collect()}
+    found = sum(got[i] == 1 and got[4000 - pairs + i] == 1 for i in range(pairs)) / pairs
+    assert found >= 0.999 if way == "no cap" else found == 1
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(1)
     index = embedding_dedup.MultiIndex.fit(embedding_dedup.unit(rng.normal(size=(300, 8))), 9, 1)
