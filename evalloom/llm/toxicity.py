@@ -51,8 +51,14 @@ EDGE = ".,;:?\"'()[]{}…-_*#%&=~<>|^/\\`«»“”‘’„–—"
 SUBSTITUTE, DROP_SIGN, DROP_SEPARATOR, WILD, REPEAT, SPLIT = 1.0, 9.0, 0.3, 3.5, 0.2, 2.5
 _ODD = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1|(.)\2.*(.)\3.*(.)\4")
 _SIGN_RUN = re.compile(r"^[$#*%&@!+|]{2,}|[$#*%&@!+|]{2,}$|!+$")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t ]\S){2,}(?!\S)")
-_ADDRESS = re.compile(r"@.*\.|://|^www\.|^[\d.,:/-]+$")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+_ADDRESS = re.compile(r"^[\w+-]+(?:\.[\w+-]+)*@(?:[a-z0-9-]+\.)+[a-z]{2,}$|^(?:https?|ftps?|file|wss?|ssh|git|s3a?|gs|hdfs)://[\w.-]|^www\.[a-z0-9-]+\.[a-z]{2,}")
+_NUMBER = re.compile(r"^[+-]?[$€£¥]?\d[\d\s.,:/-]*[%+$€£¥]?$")
+
+
+def letters_in(text: str) -> int:
+    """How many characters are letters or may stand for one."""
+    return sum(c.isalpha() or c in STANDS_FOR or c == "*" for c in text)
 
 
 def _code_table() -> np.ndarray:
@@ -197,19 +203,16 @@ class Reader:
         odd = _ODD.search(core)
         if not odd:
             return (core,) if core else ()
-        letters = sum(map(str.isalpha, core))
-        if len(core) < 3 or letters < 2 or 3 * letters < len(core) or len(core) > 64 or _ADDRESS.search(core):
+        if letters_in(core) < 3 or _NUMBER.search(core) or _ADDRESS.search(core):
             return (core,)
         return tuple(dict.fromkeys((core, *self.channel.restore(core).split())))
 
     def spaced(self, text: str) -> list[str]:
         out: list[str] = []
         for m in _SPACED.finditer(text):
-            run = m[0].lower()
-            for at in range(0, len(run), 64):
-                part = run[at : at + 72]  # long runs in overlapping parts
-                if sum(map(str.isalpha, part)) >= 3:
-                    out += self.channel.restore(part).split()
+            run = " ".join(m[0].lower().split())
+            if letters_in(run) >= 3 and not _NUMBER.search(run):
+                out += self.channel.restore(run).split()
         return out
 
 

@@ -173,6 +173,20 @@ def test_restoring():
     assert reader.word("4380628581791761") == ("4380628581791761",) and reader.word("a@b.com") == ("a@b.com",) and reader.word("***") == ()
 
 
+def test_heavy_disguises_are_restored():
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["the", "idiot", "trash", "pathetic", "loser", "a", "person", "said", "that"]) for _ in range(4000))
+    reader = toxicity.Reader(toxicity.model_of(toxicity.count_trigrams([text]).astype(float)))
+    long = "1" + "." * 40 + "d" + "." * 40 + "10t"
+    for seen, meant in {"1d107": "idiot", "!d!07": "idiot", "1.d.1.0.t": "idiot", "1-d-1-0-t": "idiot", "t.r.@.s.h": "trash", "p.@.t.h.e.t.i.c": "pathetic", "1####d####1####0####t": "idiot", long: "idiot"}.items():
+        assert meant in reader.word(seen), seen
+    for seen, meant in {"1 d 1 0 t": "idiot", "7 r 4 5 h": "trash", "l 0 5 3 r": "loser", "i  d  i  o  t": "idiot", "i\nd\n\ni\no\nt": "idiot", "a p " * 40 + "t r a s h": "trash"}.items():
+        assert meant in " ".join(reader.spaced(f"you {seen} now")), seen
+    for plain in ("a.b@c.example.org", "https://a.b/c@d.e", "www.site.com/x", "$400", "12:30", "2024-01-02"):
+        assert len(reader.word(plain)) == 1, plain
+    assert reader.spaced("1 2 3 4 5") == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div class="logo">Site</div></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies, please accept them all now.</div>
 <div id="wrap"><div class="sidebar"><p>Popular stories, that you should read, are listed here for you.</p></div>
