@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import words
-from evalloom.session import materialize
+from evalloom.session import materialize, new_path, numbered
 
 
 def pseudo_embedding(text: Column, dim: int = 384) -> Column:
@@ -42,10 +42,35 @@ def vector_top_k(queries: DataFrame, items: DataFrame, k: int, same: str | None
     """
     if queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} queries; search in blocks")
+    return _nearest(queries, items, k, same, metric)
+
+
+def vector_top_k_in_blocks(queries: DataFrame, items: DataFrame, k: int, same: str | None = None, metric: str = "l2", most_queries: int = 10_000) -> DataFrame:
+    """As ``vector_top_k``, for any number of queries: a block of at most ``most_queries`` after the other is broadcast.
+
+    Rows that share a query_id may lie in two blocks, so what the blocks find is ranked once more.
+    """
+    if queries.limit(most_queries + 1).count() <= most_queries:
+        return _nearest(queries, items, k, same, metric)
+    spark = queries.sparkSession
+    dealt = materialize(numbered(queries, F.col("query_id").asc_nulls_last()), "queries")
+    path = new_path(spark, "nearest")
+    for at in range(0, dealt.count(), most_queries):
+        block = dealt.filter(F.col("place").between(at, at + most_queries - 1)).drop("place")
+        found = _nearest(block, items, k, same, metric)
+        found.write.mode("append").parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    return _ranked(found.drop("rank"), k)
+
+
+def _nearest(queries: DataFrame, items: DataFrame, k: int, same: str | None, metric: str) -> DataFrame:
     q = F.broadcast(queries)
     pairs = items.join(q, same) if same else items.crossJoin(q)
     far = squared_distance(F.col("vec"), F.col("query_vec")) if metric == "l2" else 1 - dot(F.col("vec"), F.col("query_vec"))
-    scored = pairs.select("query_id", "item_id", far.alias("distance"))
+    return _ranked(pairs.select("query_id", "item_id", far.alias("distance")), k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     near = Window.partitionBy("query_id").orderBy("distance", "item_id")
     # Spark turns rank limits of this form into a partial top-k before the exchange
     return scored.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)

@@ -320,7 +320,7 @@ def search(spark, sf, same=None, k=8):  # noqa: ANN001, ANN201
     e = table(spark, sf, "embeddings")
     more = ["label"] if same else []
     q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), *more)
-    return retrieval.vector_top_k(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), *more), k, same)
+    return retrieval.vector_top_k_in_blocks(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), *more), k, same)
 
 
 @query(TOP_SQL.format(on="true") + "SELECT query_id, item_id, round(distance, 5) AS distance, rank FROM r WHERE rank <= 8")

@@ -9,7 +9,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Limits of an Arrow batch: rows here are documents, and 10,000 of them (Spark's default) can be gigabytes.
@@ -75,3 +76,17 @@ def materialize(df: DataFrame, kind: str) -> DataFrame:
     path = new_path(spark, kind)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: Column) -> DataFrame:
+    """Rows with their ``place`` (from 0) in that order: ranges are sorted apart; a count for each range reaches the driver."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), order).sortWithinPartitions(order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(ranges.select("*", F.spark_partition_id().alias("range_"), within.alias("within_")), "numbered")
+    before, starts = 0, []
+    for r in sorted(rows.groupBy("range_").agg(F.count("*").alias("n")).collect()):
+        starts.append((r["range_"], before))
+        before += r["n"]
+    starts = F.broadcast(spark.createDataFrame(starts, "range_ int, start_ long"))
+    return rows.join(starts, "range_").withColumn("place", F.col("start_") + F.col("within_")).drop("range_", "start_", "within_")

@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evalloom.operators import chunking, logs, models, pareto, retrieval, sampling, stats
+from evalloom.plans import registry
 
 
 def test_frontier_golden(spark):
@@ -162,6 +163,19 @@ def test_too_many_queries_are_refused(spark):
         retrieval.vector_top_k(q, items, 1, most_queries=2)
 
 
+def test_more_queries_than_a_broadcast_holds(spark, tmp_path):
+    q = spark.createDataFrame([(i % 6, [float(i)], i % 2) for i in range(9)], "query_id int, query_vec array<double>, side int")
+    items = spark.createDataFrame([(i, [i * 0.7], i % 2) for i in range(40)], "item_id int, vec array<double>, side int")
+    for same in (None, "side"):
+        rows = [sorted(map(tuple, f(q if same else q.drop("side"), items if same else items.drop("side"), 3, same, most_queries=n).select("query_id", "item_id", "distance", "rank").collect())) for f, n in ((retrieval.vector_top_k, 9), (retrieval.vector_top_k_in_blocks, 2))]
+        assert rows[0] == rows[1] and len(rows[0]) == 18
+    # the registered query beyond 10,000 queries: each shares its label with 20 vectors
+    e = spark.range(200_060).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("embedding"), (F.col("id") - F.col("id") % 20).alias("label"))
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.search(spark, str(tmp_path), "label")
+    assert got.filter("item_id = query_id + rank - 1 and distance = (rank - 1) * (rank - 1)").count() == got.count() == 8 * 10_003
+
+
 def test_bootstrap(spark):
     df = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 2).alias("d"))
     r = stats.bootstrap_interval(df, "d").first()
