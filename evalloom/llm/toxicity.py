@@ -50,6 +50,7 @@ SEPARATORS = frozenset(".-_*'~^`·•,:/\\=")
 EDGE = ".,;:?\"'()[]{}…-_*#%&=~<>|^/\\`«»“”‘’„–—"
 SUBSTITUTE, DROP_SIGN, DROP_SEPARATOR, WILD, REPEAT, SPLIT = 1.0, 9.0, 0.3, 3.5, 0.2, 2.5
 _ODD = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1|(.)\2.*(.)\3.*(.)\4")
+_DOUBLED = re.compile(r"(.)\1")
 _SIGN_RUN = re.compile(r"^[$#*%&@!+|]{2,}|[$#*%&@!+|]{2,}$|!+$")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _ADDRESS = re.compile(r"^[\w+-]+(?:\.[\w+-]+)*@(?:[a-z0-9-]+\.)+[a-z]{2,}$|^(?:https?|ftps?|file|wss?|ssh|git|s3a?|gs|hdfs)://[\w.-]|^www\.[a-z0-9-]+\.[a-z]{2,}")
@@ -207,6 +208,9 @@ class Reader:
             return (core,)
         return tuple(dict.fromkeys((core, *self.channel.restore(core).split())))
 
+    def undoubled(self, word: str) -> list[str]:
+        return self.channel.restore(word).split()
+
     def spaced(self, text: str) -> list[str]:
         out: list[str] = []
         for m in _SPACED.finditer(text):
@@ -243,7 +247,12 @@ class Scorer:
         return max((self.lexicon.get(f, 0.0) for f in beginnings(word)), default=0.0) if len(word) >= 3 else 0.0
 
     def raw_weight(self, raw: str) -> float:
-        return max(map(self.weight, self.reader.read(raw)), default=0.0)
+        read = self.reader.read(raw)
+        best = max(map(self.weight, read), default=0.0)
+        if not best and len(read) == 1 and read[0].isalpha() and _DOUBLED.search(read[0]):
+            # letters said twice may be a disguise, too: looked up once more as the lattice reads them
+            best = max(map(self.weight, self.reader.undoubled(read[0])), default=0.0)
+        return best
 
     def hits(self, text: str) -> list[float]:
         """log hits, log distinct hits, hits a hundred words, largest and mean weight."""

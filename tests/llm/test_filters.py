@@ -187,6 +187,15 @@ def test_heavy_disguises_are_restored():
     assert reader.spaced("1 2 3 4 5") == []
 
 
+def test_doubled_letters_are_looked_up():
+    rng = random.Random(1)
+    text = " ".join(rng.choice(["the", "idiot", "clown", "damn", "little", "good", "person", "said", "that"]) for _ in range(4000))
+    model = toxicity.model_of(toxicity.count_trigrams([text]).astype(float))
+    scorer = toxicity.Scorer(model, {"idiot$": 3.0, "clown$": 2.0, "damn$": 2.5})
+    assert [scorer.raw_weight(w) for w in ("iidiot", "idiott", "ccllown", "daamn", "Daamn!", "idiot")] == [3.0, 3.0, 2.0, 2.5, 2.5, 3.0]
+    assert [scorer.raw_weight(w) for w in ("little", "good", "person")] == [0.0, 0.0, 0.0]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div class="logo">Site</div></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies, please accept them all now.</div>
 <div id="wrap"><div class="sidebar"><p>Popular stories, that you should read, are listed here for you.</p></div>
