@@ -15,6 +15,7 @@ from evalloom.functions import prompts, redaction, routing, scores, text
 from evalloom.operators import chunking, logs, models, pareto, retrieval, sampling, stats
 from evalloom.plans import tracks
 from evalloom.sources import documents as scans
+from evalloom.session import numbered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -280,9 +281,10 @@ ASCII_SQL = "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
 @query(f"SELECT item_id, round(levenshtein(a, b) / length(b), 6) AS cer FROM (SELECT item_id, {ASCII_SQL} AS a, lead({ASCII_SQL}) OVER (ORDER BY item_id) AS b FROM benchmark) WHERE length(a) > 0 AND length(b) > 0")
 def cer_ascii(spark, sf):  # noqa: ANN001, ANN201
     b = table(spark, sf, "benchmark").select("item_id", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("a"))
-    # ids are dense, so the next item is an equi-join and no global window is needed
-    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("a").alias("b"))
-    return b.join(nxt, "item_id").filter("length(a) > 0 and length(b) > 0").select("item_id", F.round(text.error_rate("a", "b"), 6).alias("cer"))
+    # the next item is an equi-join of places, which have no gaps; no global window is needed
+    b = numbered(b, F.col("item_id").asc_nulls_last())
+    nxt = b.select((F.col("place") - 1).alias("place"), F.col("a").alias("b"))
+    return b.join(nxt, "place").filter("length(a) > 0 and length(b) > 0").select("item_id", F.round(text.error_rate("a", "b"), 6).alias("cer"))
 
 
 PART_MAPS = "p_partkey, p_brand, p_type, p_size"

@@ -176,6 +176,13 @@ def test_more_queries_than_a_broadcast_holds(spark, tmp_path):
     assert got.filter("item_id = query_id + rank - 1 and distance = (rank - 1) * (rank - 1)").count() == got.count() == 8 * 10_003
 
 
+def test_next_item_after_a_gap_in_the_ids(spark, tmp_path):
+    rows = [(3, "abcd"), (10, "abce"), (11, ""), (40, "x"), (41, "xy"), (-5, "abc")]
+    spark.createDataFrame(rows, "item_id long, text string").repartition(3).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.cer for r in registry.cer_ascii(spark, str(tmp_path)).collect()}
+    assert got == {-5: 0.25, 3: 0.25, 40: 0.5}
+
+
 def test_bootstrap(spark):
     df = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 2).alias("d"))
     r = stats.bootstrap_interval(df, "d").first()
