@@ -39,7 +39,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
-#: No SQL: learned scores and genetic packing. Tests hold each stage against a brute-force version.
+#: No SQL: learned scores and genetic packing. Tests hold the stages against plain versions, but mixing only to known ids.
 ORACLE_SQL = None
 
 

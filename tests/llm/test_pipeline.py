@@ -1,9 +1,15 @@
 """The pipeline's stages against plain versions on the smallest tables, and the registered queries."""
 
+import math
+from collections import Counter
+
 import corpus_pipeline
 import pytest
+from evalloom.llm import quality_rules, toxicity
 from evalloom.llm.queries import QUERIES
 
+from tests.llm.test_filters import measures
+from tests.llm.test_packing_tokens import check_pack
 from tests.llm.test_pairs_archives import brute
 
 
@@ -28,6 +34,30 @@ def test_stages(stages):
     assert packed.groupBy("sequence_id").sum("length").filter("`sum(length)` > 1024").count() == 0
 
 
+def test_stages_drop_nothing_else(spark, small, stages):
+    docs, good, clean, _, mixed, packed = stages
+    rules, rows = quality_rules.Rules(), []
+    for r in docs.collect():
+        n, chars, signs, lines, repeats = measures(r.text)
+        ratios = (signs / n, repeats / n, lines / max(n / 10, 1), chars / n) if n else None
+        rows.append((r, ratios, n >= rules.min_words and 100 * repeats <= rules.max_repeat_percent * n))
+    keeps = []
+    for r, ratios, base in rows:
+        own = [[x for d, x, ok in rows if ok and same(d)] for same in (lambda d: (d.lang, d.source) == (r.lang, r.source), lambda d: d.lang == r.lang, lambda d: True)]
+        own = next((g for g in own if len(g) >= rules.min_group), own[-1])
+        inside = base
+        for k, slack in enumerate((rules.symbol_slack, rules.repeat_slack, rules.line_slack, rules.length_slack)):
+            values = sorted(x[k] for x in own)
+            low, high = (values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.75))
+            room = max(rules.spread * (high - low), slack)
+            inside = inside and ratios[k] <= high + room and (k < 3 or ratios[k] >= low - room)
+        keeps += [r.doc_id] if inside else []
+    assert Counter(keeps) == Counter(r.doc_id for r in good.collect())
+    scores = toxicity.score(good, spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic")).collect()
+    assert Counter(r.doc_id for r in scores if r.score < 0.7) == Counter(r.doc_id for r in clean.collect())
+    check_pack(mixed, packed.collect())
+
+
 def test_run(spark, small, stages):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules" and corpus_pipeline.run(spark, small).count() == stages[-1].count()
 
