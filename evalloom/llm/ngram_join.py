@@ -5,8 +5,10 @@ Documents link when their sets of word shingles have a Jaccard similarity of ``p
 1. Buckets. Documents with equal sets become one node first. A node goes to the buckets of its min-hashes; shingles that a
    large share of the documents have (a bounded list found in a first pass) are left out of these, so a common passage fills
    no bucket. The number of min-hashes grows with the share of a document that is left out, so that a pair that links
-   misses all common buckets with a probability under 1e-9. Documents made of common shingles also use min-hashes of the
-   whole set.
+   misses all common buckets with a probability of a few billionths. Documents made of common shingles also use min-hashes
+   of the whole set. With ``keys="prefix"`` buckets are exact instead: a node goes to those of its rarest shingles, as many
+   as a linked partner cannot all lack (a quarter of the set, some ten times the keys). Buckets that hold the same nodes
+   are one.
 2. Signature trees in each bucket: leaves are bitmaps of the nodes' shingles, inner nodes OR them and keep the range of set
    sizes; the dual traversal drops a pair of tree nodes whose largest possible overlap cannot reach the similarity. What is
    left connects nodes into groups; a bucket beyond ``bucket_rows`` connects all its nodes without looking.
@@ -43,8 +45,12 @@ from evalloom.session import ship
 _ODD = (mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 #: (largest share f of common shingles, min-hashes): without its common shingles a linked pair keeps a similarity of
 #: (0.75 - f) / (1 - f) at least, and so many min-hashes all differ with a probability of a few billionths.
-STEPS = ((0.02, 14), (0.1, 15), (0.25, 18), (1.0, 30))
+STEPS = ((0.02, 14), (0.1, 15), (0.25, 18), (0.5, 28), (1.0, 42))
+#: Beyond this share min-hashes of the whole set serve as well: linked pairs below it miss 42 buckets with 0.625 ** 42.
+MOSTLY = 0.6
 MANY, WHOLE = STEPS[-1][1], 16
+#: A screen is a broadcast bitmap of eight bits a wanted key, up to this many; with more wanted keys there is none.
+SCREEN_BITS = 28
 
 
 def common_shingles(docs: DataFrame, size: int, share: float, least: int, most: int, chunk: int = 16 << 20) -> np.ndarray:
@@ -155,8 +161,11 @@ class Tree:
                 stack += [(a, y) for y in below_b if self.possible(a, y)]
 
 
-def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
-    """doc_id, n, two numbers that identify the set, keys (buckets), bits and map of every document."""
+def signatures(docs: DataFrame, size: int, common: np.ndarray, percent: int = 75, keys: str = "minima") -> DataFrame:
+    """doc_id, n, two numbers that identify the set, keys (buckets) and bitmap of every document."""
+    if keys not in ("minima", "prefix"):
+        raise ValueError(f"keys are minima or prefix, not {keys}")
+    prefixed = keys == "prefix"
     shared = docs.sparkSession.sparkContext.broadcast(common)
     kinds = "doc_id long, n long, id1 long, id2 long, keys array<long>, map binary"
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()), ("keys", pa.list_(pa.int64())), ("map", pa.binary())])
@@ -185,6 +194,11 @@ def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                 if len(maybe):
                     warm[maybe] = often[np.minimum(np.searchsorted(often, values[maybe]), len(often) - 1)] == values[maybe]
                 doc = np.repeat(np.arange(len(n)), n)
+                maps = [_packed(values[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                columns = [batch.column(0).slice(at, len(n)), pa.array(n), pa.array(ids[0]), pa.array(ids[1])]
+                if prefixed:
+                    yield pa.RecordBatch.from_arrays([*columns, _rarest(values, warm, doc, first, percent), pa.array(maps, pa.binary())], schema=schema)
+                    continue
                 cold, cold_n = values[~warm], np.bincount(doc[~warm], minlength=len(n))
                 share = 1 - cold_n / np.maximum(n, 1)
                 has = np.flatnonzero(cold_n > 0)
@@ -198,18 +212,32 @@ def signatures(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                         for d, row in zip(own.tolist(), minima(cold[mask], own_first, np.arange(len(own)), range(done, many)).tolist(), strict=True):
                             keys[d] = (keys[d] or []) + row
                     done, least = many, top
-                mostly = np.flatnonzero((share > 0.5) & (n > 0))
+                mostly = np.flatnonzero((share > MOSTLY) & (n > 0))
                 if len(mostly):
                     mask = np.isin(doc, mostly)
                     whole = minima(values[mask], np.concatenate([[0], np.cumsum(n[mostly])]), np.arange(len(mostly)), range(MANY, MANY + WHOLE))
                     for d, row in zip(mostly.tolist(), whole.tolist(), strict=True):
                         keys[d] = (keys[d] or []) + row
-                maps = [_packed(values[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n), pa.array(ids[0]), pa.array(ids[1]), pa.array([k or [] for k in keys], pa.list_(pa.int64())), pa.array(maps, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([k or [] for k in keys], pa.list_(pa.int64())), pa.array(maps, pa.binary())], schema=schema)
 
     return docs.mapInArrow(run, kinds)
 
 
+def _rarest(values: np.ndarray, warm: np.ndarray, doc: np.ndarray, first: np.ndarray, percent: int) -> pa.Array:
+    """The first n - ceil(percent n / 100) + 1 shingles of each set, common ones last, else in the order of scrambled hashes.
+
+    Two sets that link overlap in ceil(percent n / 100) shingles at the least, so under one order of all shingles the first
+    shingle that both have is among these of either.
+    """
+    scrambled = mix64(values * _ODD[0])
+    order = np.lexsort((scrambled, warm, doc))
+    n = np.diff(first)
+    many = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
+    rank = np.arange(len(values)) - np.repeat(first[:-1], n)
+    kept = scrambled[order][rank < np.repeat(many, n)].view(np.int64)
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(many)]).astype(np.int32), pa.array(kept))
+
+
 def _packed(values: np.ndarray) -> bytes:
     bits = bitmap_bits(len(values))
     flags = np.zeros(bits, np.uint8)
@@ -241,8 +269,13 @@ def coarse_links(nodes: DataFrame, percent: int, bucket_rows: int) -> DataFrame:
     counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("least")).filter(F.col("rows") > 1), "buckets")
     shared = materialize(screened(keyed, "key", counts.select("key")).join(counts, "key"), "shared")
     wide = shared.filter(F.col("rows") > bucket_rows).select(F.col("node").alias("a"), F.col("least").alias("b")).filter("a <> b")
-    small = shared.filter(F.col("rows") <= bucket_rows).select("key", "node")
-    placed = small.join(nodes.select("node", "n", "map"), "node").select("key", "node", "n", "map")
+    # near copies meet in many buckets, which mostly hold the same nodes: one of these is enough
+    who = F.xxhash64("node")
+    small = shared.filter(F.col("rows") <= bucket_rows)
+    prints = small.groupBy("key").agg(F.count("*").alias("n_"), F.min("node").alias("lo_"), F.max("node").alias("hi_"), F.bit_xor(who).alias("xor_"), F.sum(F.shiftright(who, 16)).alias("sum_"))
+    buckets = materialize(prints.groupBy("n_", "lo_", "hi_", "xor_", "sum_").agg(F.min("key").alias("key")).select("key"), "bucket-keys")
+    small = materialize(screened(small, "key", buckets).join(buckets, "key").select("key", "node"), "bucket-nodes")
+    placed = small.join(screened(nodes.select("node", "n", "map"), "node", small.select("node").distinct()), "node").select("key", "node", "n", "map")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
@@ -331,8 +364,8 @@ def _sets(size: int):
 
 
 def with_screen(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> DataFrame:
-    """Add ``maybe_``: whether ``column`` may be among ``wanted`` (one column of longs). A bitmap of hashes is broadcast,
-    2**bits bits at the most however many are wanted; where it is crowded it only says maybe more often."""
+    """Add ``maybe_``: whether ``column`` may be among ``wanted`` (one column of longs), by a broadcast bitmap of 2**bits
+    bits."""
     place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
     within = lambda p: p.bitwiseAND(F.lit(63)).cast("int")
     one = F.call_function("shiftleft", F.lit(1).cast("long"), within(F.col("p_")))
@@ -342,15 +375,27 @@ def with_screen(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> D
     return found.withColumn("maybe_", hit).drop("p_", "word_", "bits_")
 
 
-def screened(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 25) -> DataFrame:
-    """The rows whose ``column`` may be among ``wanted``: most others stay out of the shuffle of the join that decides."""
-    return with_screen(rows, column, wanted, bits).filter("maybe_").drop("maybe_")
+def _screen_bits(wanted: DataFrame) -> int | None:
+    """Eight bits for each of ``wanted`` (a table that is cheap to count), or None where the bitmap would be too large."""
+    bits = max(10, (8 * wanted.count()).bit_length())
+    return bits if bits <= SCREEN_BITS else None
+
+
+def screened(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be among ``wanted``: most others stay out of the shuffle of the join that decides. With
+    more wanted values than a screen takes, all rows."""
+    bits = _screen_bits(wanted)
+    return rows if bits is None else with_screen(rows, column, wanted, bits).filter("maybe_").drop("maybe_")
 
 
-def without(rows: DataFrame, column: str, dropped: DataFrame, bits: int = 25) -> DataFrame:
+def without(rows: DataFrame, column: str, dropped: DataFrame) -> DataFrame:
     """The rows whose ``column`` is not among ``dropped``; only those that may be are shuffled."""
+    bits = _screen_bits(dropped)
+    other = dropped.select(F.col(dropped.columns[0]).alias("dropped_"))
+    if bits is None:
+        return rows.join(other, F.col(column) == F.col("dropped_"), "left_anti")
     marked = with_screen(rows, column, dropped, bits)
-    checked = marked.filter("maybe_").drop("maybe_").join(dropped.select(F.col(dropped.columns[0]).alias("dropped_")), F.col(column) == F.col("dropped_"), "left_anti")
+    checked = marked.filter("maybe_").drop("maybe_").join(other, F.col(column) == F.col("dropped_"), "left_anti")
     return marked.filter("not maybe_").drop("maybe_").unionByName(checked)
 
 
@@ -412,7 +457,8 @@ def _between_blocks(sets: DataFrame, class_of: DataFrame, percent: int, block_ro
     pairs = blocks.alias("x").join(blocks.select("grp", F.col("blk").alias("other"), F.col("only").alias("other_only")).alias("y"), "grp")
     pairs = pairs.filter("blk <= other and not (only is not null and only <=> other_only)").select("grp", "blk", "other")
     sides = pairs.select("grp", "blk", F.struct("blk", "other").alias("pair")).unionByName(pairs.filter("blk <> other").select("grp", F.col("other").alias("blk"), F.struct("blk", "other").alias("pair")))
-    rows = light.join(sides, ["grp", "blk"]).join(sets.select("node", "n", "values"), "node").select("grp", F.col("pair.blk").alias("p"), F.col("pair.other").alias("q"), "node", "n", "values", "cls")
+    own = screened(sets.select("node", "n", "values"), "node", light.select("node"))
+    rows = light.join(sides, ["grp", "blk"]).join(own, "node").select("grp", F.col("pair.blk").alias("p"), F.col("pair.other").alias("q"), "node", "n", "values", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in groups_of(batches, 3):
@@ -422,22 +468,25 @@ def _between_blocks(sets: DataFrame, class_of: DataFrame, percent: int, block_ro
     return materialize(rows.repartition(parts, "grp", "p", "q").sortWithinPartitions("grp", "p", "q").mapInArrow(run, "a long, b long"), "between")
 
 
-def classes(docs: DataFrame, *, size: int = 5, percent: int = 75, share: float = 0.005, least_common: int = 200, most_common: int = 200_000, bucket_rows: int = 256, block_rows: int = 200) -> DataFrame:
+def classes(docs: DataFrame, *, size: int = 5, percent: int = 75, keys: str = "minima", share: float = 0.005, least_common: int = 200, most_common: int = 200_000, bucket_rows: int = 256, block_rows: int = 200) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     common = common_shingles(docs, size, share, least_common, most_common)
-    known = materialize(signatures(docs, size, common), "signatures")
+    known = materialize(signatures(docs, size, common, percent, keys), "signatures")
     identity = ["n", "id1", "id2"]
-    nodes = known.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("map").alias("map"))
-    nodes = materialize(nodes.filter("node is not null"), "nodes")
+    light = known.select("doc_id", *identity)
+    same = light.filter("n > 0").groupBy(*identity).agg(F.min("doc_id").alias("node"))
+    member = materialize(light.join(same, identity, "left").select("doc_id", "n", "id1", "node"), "members")
+    # bitmaps and keys of copies are left where they are: one document stands for all with its set
+    copies = materialize(member.filter("n > 0 and doc_id <> node").select(F.xxhash64("doc_id", "id1").alias("copy")).distinct(), "copies")
+    known = known.filter("n > 0 and doc_id is not null").withColumn("copy", F.xxhash64("doc_id", "id1"))
+    nodes = without(known, "copy", copies).select(F.col("doc_id").alias("node"), "n", "keys", "map")
     near = components(coarse_links(nodes, percent, bucket_rows))
     groups = near.select(F.col("id").alias("node"), F.col("component").alias("grp"))
     found = exact_classes(docs, groups, size, percent, block_rows)
-    node_of = nodes.select(*identity, "node").join(found.select(F.col("id").alias("node"), "component"), "node", "left")
-    node_of = node_of.select(*identity, F.coalesce("component", "node").alias("component_id"))
-    out = known.select("doc_id", *identity).join(node_of, identity, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = member.join(found.select(F.col("id").alias("node"), "component"), "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
@@ -446,6 +495,7 @@ def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     found = materialize(found, "jaccard-classes")
     # ids clash with no column: the struct holds the row
     rows = docs.select(F.col("doc_id").cast("long").alias("id_"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
-    kept = without(rows, "id_", found.filter("doc_id <> component_id").select("doc_id").distinct()).select("row_.*")
+    dropped = materialize(found.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-dropped")
+    kept = without(rows, "id_", dropped).select("row_.*")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])

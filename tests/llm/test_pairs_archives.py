@@ -65,7 +65,7 @@ def copies(seed, n_groups=12):
     return out
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"bucket_rows": 2, "block_rows": 3}), (3, {"bucket_rows": 3, "block_rows": 2, "share": 0.05, "least_common": 3}), (4, {"block_rows": 4, "bucket_rows": 1})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"bucket_rows": 2, "block_rows": 3}), (3, {"bucket_rows": 3, "block_rows": 2, "share": 0.05, "least_common": 3}), (4, {"block_rows": 4, "bucket_rows": 1}), (5, {"keys": "prefix"}), (6, {"keys": "prefix", "share": 0.05, "least_common": 3, "bucket_rows": 3, "block_rows": 2})])
 def test_jaccard_is_brute_force(spark, seed, options):
     rows = copies(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -75,6 +75,30 @@ def test_jaccard_is_brute_force(spark, seed, options):
     assert {i: n for i, (n, _) in got.items()} == {i: len(shingles(t)) for i, t in rows}
 
 
+@pytest.mark.parametrize("keys", ["minima", "prefix"])
+def test_template_in_all_documents(spark, keys):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    template = [word() for _ in range(60)]
+    rows = []
+    for i in range(60):  # the template is 40 to 90 % of a document, the rest its own or its pair's
+        own = [word() for _ in range(rng.choice([8, 20, 40, 80]))] if i % 2 == 0 else rows[-1][1].split()[60:]
+        rows.append((i, " ".join(template + own[: len(own) - rng.randint(0, 3)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(df, keys=keys, share=0.2, least_common=5, bucket_rows=8, block_rows=5).collect()}
+    assert got == brute(rows)
+
+
+def test_screens(spark, monkeypatch):
+    rows, some = spark.range(1000).selectExpr("id", "id % 7 as x"), spark.range(0, 1000, 10).selectExpr("id as k")
+    assert {r.id for r in ngram_join.screened(rows, "id", some).collect()} >= set(range(0, 1000, 10))
+    expected = sorted(set(range(1000)) - set(range(0, 1000, 10)))
+    assert sorted(r.id for r in ngram_join.without(rows, "id", some).collect()) == expected
+    monkeypatch.setattr(ngram_join, "SCREEN_BITS", 4)  # more values than a screen takes
+    assert ngram_join.screened(rows, "id", some).count() == 1000
+    assert sorted(r.id for r in ngram_join.without(rows, "id", some).collect()) == expected
+
+
 def test_jaccard_edges(docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = ngram_join.classes(docs).collect()
