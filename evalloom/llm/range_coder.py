@@ -5,8 +5,8 @@ all blocks of a segment in one step. In each block
 * order 2 and order 1 predict an id each: the one that followed the last two ids (the last id) before, with a confidence from
   how often it did;
 * weights, one set for each pair of confidences and adapted after every id, mix these predictions with order 0;
-* order 0 predicts every id: an adaptive distribution over 16 frequency classes, even within a class. Ids are ranked by their
-  counts in the segment first, and a class is a power of two of ranks.
+* order 0 predicts every id: an adaptive distribution over 16 frequency classes, which learns every id, even within a class.
+  Ids are ranked by their counts in the segment first, and a class is a power of two of ranks.
 The mixed probabilities drive a range coder with 48 bits of range and 16-bit digits; carries are added when a block is done.
 
 Segment layout, little-endian: b"CMRC", version u16, block length u16, ids u64, distinct ids u32, length u32 of the rank table,
@@ -18,11 +18,10 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC = b"CMRC"
+MAGIC, VERSION = b"CMRC", 2
 HEAD = struct.Struct("<4sHHQIII")
 BLOCK, LANES = 2048, 3072
 _BITS, _RATE = 10, 5
@@ -89,24 +88,20 @@ class Model:
         self.weights[self.slot_w] = (w2 << 16) | w1
         self.before, self.last = self.last, x.astype(np.uint32)
 
-    def class_ends(self, k: np.ndarray) -> np.ndarray:
-        return self.classes.take(k, axis=0)
+    def interval(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of class c of each block."""
+        line = self.at_weight + c  # a block has as many weights as classes
+        flat = self.classes.ravel()
+        end = flat.take(line).astype(np.int64)
+        line -= 1
+        start = flat.take(line, mode="clip") * (c > 0)
+        return start, end - start
 
-    def learn_classes(self, k: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
+    def learn_classes(self, c: np.ndarray) -> None:
         step = _TARGET.take(c, axis=0)
-        step -= rows
+        step -= self.classes
         step >>= _RATE
-        rows += step
-        self.classes[k] = rows
-
-
-def _interval(rows: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of class c of each row."""
-    line = np.arange(0, rows.size, _CLASSES) + c
-    flat = rows.ravel()
-    end = flat.take(line).astype(np.int64)
-    start = flat.take(line - 1) * (c > 0)
-    return start, end - start
+        self.classes += step
 
 
 def encode_blocks(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,20 +129,19 @@ def encode_blocks(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
         sp >>= _MIX
         lo += sp * start
         sp *= size
-        k = np.flatnonzero(~(hit2 | also1))
-        if len(k):
-            sym = s.take(k)
-            c = _CLASS.take(sym)
-            rows = m.class_ends(k)
-            a, b = _interval(rows, c)
-            r = sp.take(k) >> _ORDER0
-            l2 = lo.take(k) + r * a
-            r *= b
-            r >>= c
-            l2 += r * (sym - _BASE.take(c))
-            lo[k] = l2
-            sp[k] = r
-            m.learn_classes(k, rows, c)
+        # order 0, for all blocks at once; those with a hit leave their ranges as they are
+        miss = ~(hit2 | also1)
+        c = _CLASS.take(s)
+        a, b = m.interval(c)
+        r = sp >> _ORDER0
+        a = r * a
+        r *= b
+        r >>= c
+        a += r * (s - _BASE.take(c))
+        a *= miss
+        lo += a
+        np.copyto(sp, r, where=miss)
+        m.learn_classes(c)
         # one digit of every block is written; it stays where the range has become small
         short = sp <= 1 << 32
         flat[at] = lo >> 32
@@ -200,25 +194,22 @@ def decode_blocks(digits: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -
         co -= sp * start
         sp *= size
         s = np.where(hit2, m.guess2, m.guess1)
-        k = np.flatnonzero(miss)
-        if len(k):
-            r = sp.take(k) >> _ORDER0
-            c0 = co.take(k)
-            v = np.minimum((c0 / r).astype(np.int16), (1 << _ORDER0) - 1)
-            rows = m.class_ends(k)
-            below = (rows <= v[:, None]).view(np.uint64)  # 16 bytes of 0 or 1 a row; a product adds up eight
-            c = (((below[:, 0] + below[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
-            a, b = _interval(rows, c)
-            c0 -= r * a
-            r *= b
-            r >>= c
-            first = _BASE.take(c)
-            off = np.minimum((c0 / r).astype(np.int64), first - 1)
-            c0 -= r * off
-            s[k] = first + off
-            co[k] = c0
-            sp[k] = r
-            m.learn_classes(k, rows, c)
+        # order 0, for all blocks at once; those with a hit keep what they have
+        r = sp >> _ORDER0
+        v = np.minimum(co / r, (1 << _ORDER0) - 1).astype(np.int16)
+        below = (m.classes <= v[:, None]).view(np.uint64)  # 16 bytes of 0 or 1 a row; a product adds up eight
+        c = (((below[:, 0] + below[:, 1]) * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(np.int64)
+        a, b = m.interval(c)
+        c0 = co - r * a
+        r *= b
+        r >>= c
+        first = _BASE.take(c)
+        off = np.minimum(c0 / r, first - 1).astype(np.int32)
+        c0 -= r * off
+        np.copyto(co, c0, where=miss)
+        np.copyto(sp, r, where=miss)
+        np.copyto(s, first + off, where=miss, casting="same_kind")
+        m.learn_classes(np.where(miss, c, _CLASS.take(s)))
         short = sp <= 1 << 32
         np.copyto(co, (co << 16) | digits.take(at, mode="clip"), where=short)
         np.copyto(sp, sp << 16, where=short)
@@ -241,7 +232,7 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
     rank[order] = np.arange(1, len(order) + 1)
     n = -(-len(ids) // block)
     table = zlib.compress(order.astype("<u2").tobytes(), 6)
-    head = HEAD.pack(MAGIC, 1, block, len(ids), len(order), len(table), n)
+    head = HEAD.pack(MAGIC, VERSION, block, len(ids), len(order), len(table), n)
     if not n:
         return head + table
     padded = np.zeros(n * block, np.int32)
@@ -258,7 +249,7 @@ def encode_segment(ids: np.ndarray, block: int = BLOCK) -> bytes:
 def decode_segment(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, int]:
     """The ids of the segment at ``at`` and where it ends. A damaged block raises ValueError."""
     magic, version, block, total, distinct, size, n = HEAD.unpack_from(data, at)
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != VERSION:
         raise ValueError(f"no segment at byte {at}")
     at += HEAD.size
     order = np.frombuffer(zlib.decompress(data[at : at + size]), "<u2")
@@ -281,8 +272,3 @@ def decode_segment(data: bytes | memoryview, at: int = 0) -> tuple[np.ndarray, i
             raise ValueError(f"block {i} does not match its checksum")
         parts.append(own)
     return np.concatenate(parts), at
-
-
-def segments(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> Iterator[bytes]:
-    for i in range(0, len(ids), block * lanes):
-        yield encode_segment(ids[i : i + block * lanes], block)

@@ -148,7 +148,8 @@ class WordCache:
             raise _Full
         text = data.tobytes().decode("latin-1")
         words = [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        ids = np.concatenate([np.array(self.tokenizer.encode(" ".join(words[i : i + 256]), add_special_tokens=False).ids, np.uint16) for i in range(0, len(words), 256)])
+        lines = [" ".join(words[i : i + 256]) for i in range(0, len(words), 256)]
+        ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
         last = np.flatnonzero(self.ends[ids])
         if len(last) != len(words):
             raise ValueError("the vocabulary does not mark the ends of words")
