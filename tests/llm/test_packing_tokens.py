@@ -126,20 +126,23 @@ def test_token_files(docs, no_docs, monkeypatch):
     assert token_files.round_trip(no_docs).collect() == []
 
 
-def test_token_file_segments(tmp_path, monkeypatch):
-    monkeypatch.setattr(range_coder, "LANES", 1)
-    monkeypatch.setattr(range_coder, "BLOCK", 64)
+def test_token_file_segments(tmp_path):
     path = tmp_path / "x.tok"
     rng = np.random.default_rng(3)
-    own = [rng.integers(0, 900, n).astype("<u2") for n in (0, 1, 500, 3, 129)]
+    own = [rng.integers(0, 900, n).astype("<u2") for n in (2, 1, 500, 3, 129, 64, 61)]
     with path.open("wb") as f:
-        w = token_files.FileWriter(f)
+        w = token_files.FileWriter(f, 64, 1)
         for k, ids in enumerate(own):
             w.add(None if k == 0 else k, ids.tobytes())
         w.close()
-    reader = token_files.FileReader(path.read_bytes())
-    got = list(reader.documents())
-    assert reader.segments > 1 and [d for d, *_ in got] == [token_files.NULL_ID, 1, 2, 3, 4]
-    assert [s for _, s, _ in got] == [0, 0, 1, 501, 504] and all(np.array_equal(a, b[2]) for a, b in zip(own, got))
-    with pytest.raises(ValueError, match="token file"):
-        token_files.FileReader(b"x" * 100)
+    with path.open("rb") as f:
+        reader = token_files.FileReader(f)
+        assert reader.segments == 12 and reader.documents == 7
+        for span in (1, 2, 5, 12):  # each document belongs to the range that it begins in
+            got = [x for low in range(0, 12, span) for x in reader.read(low, low + span)]
+            assert [d for d, *_ in got] == [token_files.NULL_ID, 1, 2, 3, 4, 5, 6]
+            assert [s for _, s, _ in got] == [0, 2, 3, 503, 506, 635, 699] and all(np.array_equal(a, b[2]) for a, b in zip(own, got, strict=True))
+    bad = tmp_path / "bad.tok"
+    bad.write_bytes(b"x" * 100)
+    with bad.open("rb") as f, pytest.raises(ValueError, match="token file"):
+        token_files.FileReader(f)
