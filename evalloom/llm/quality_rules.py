@@ -1,13 +1,22 @@
 """Quality rules with thresholds that follow each language and source.
 
-Main path: DataFrame functions only. Two passes over the rows: the first builds quantile sketches (percentile_approx: a
-mergeable Greenwald-Khanna digest, partly aggregated before the shuffle) of the rule measures at three levels, (lang,
-source), lang and everything; the second joins the fences derived from them and filters.
+Main path: DataFrame functions only. Quantile sketches (percentile_approx: a mergeable Greenwald-Khanna digest, partly
+aggregated before the shuffle) of the rule measures are built at three levels, (lang, source), lang and everything; the fences
+derived from them are joined back and filter. No cutoff of a measure is written down here:
+
+1. Sketches of word length among the documents that pass the base rules give quartiles. Documents within Tukey's fences of
+   their group (1.5 interquartile ranges beyond the quartiles) are its usual ones, so junk does not shape the tails.
+2. Sketches of all four ratios among the usual documents give the median and a tail quantile of each. A fence lies beyond the
+   tail by ``spread`` times the distance of tail and median, that of the level above where the group has none. One occurrence
+   of a thing that is counted (a symbol, a repeated window or line) rejects no document.
+
+The sketches are exact while a group has at most about ``accuracy`` documents; beyond, ranks are off by n / ``accuracy``.
 
 Defined results
 * null or empty text: no words, all measures 0, base rules fail (fewer words than ``min_words``).
 * null lang or source: a group of its own (null-safe join).
-* a group with fewer than ``min_group`` documents uses its language's fences, a language with fewer those of all rows.
+* a group with fewer than ``min_group`` documents uses its language's quantiles, a language with fewer those of all rows. Where
+  nothing passes the base rules there are no fences, and nothing is kept.
 * ties and repeated rows: every row is judged on its own; equal rows get equal verdicts.
 * an empty table gives an empty result; extra columns pass through, clashing names are avoided.
 """
@@ -26,21 +35,14 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 @dataclass(frozen=True)
 class Rules:
-    """Fixed base rules, and how far a document may lie from its group before it is rejected.
-
-    ``spread`` times the interquartile range is allowed beyond the quartiles, and ``slack`` at the least, so that a group
-    in which nearly all documents agree does not reject a document for one stray symbol.
-    """
+    """Fixed base rules, and which quantiles make the fences (see above). ``tail`` is a fraction of two: ranks are exact."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    spread: float = 4.0
-    min_group: int = 30
-    accuracy: int = 2000
-    symbol_slack: float = 0.3
-    repeat_slack: float = 0.42
-    line_slack: float = 0.3
-    length_slack: float = 2.0
+    tail: float = 1 / 64
+    spread: float = 2.0
+    min_group: int = 100
+    accuracy: int = 10_000
 
 
 def with_measures(df: DataFrame, text: str = "text", names: dict[str, str] | None = None) -> DataFrame:
@@ -76,12 +78,13 @@ def with_measures(df: DataFrame, text: str = "text", names: dict[str, str] | Non
     return df.select(*keep, *[v.cast("long").alias((names or {}).get(k, k)) for k, v in values.items()])
 
 
-#: Ratios that get fences: name, expression over the measures, slack in Rules, whether low values are rejected too.
+#: Ratios that get fences: name, expression over the measures, what one occurrence is (no more than that is no fault),
+#: whether low values are rejected too.
 RATIOS = (
-    ("symbols", "n_symbols / n_words", "symbol_slack", False),
-    ("repeats", "n_repeat_words / n_words", "repeat_slack", False),
-    ("lines", "n_dup_lines / greatest(n_words / 10, 1)", "line_slack", False),
-    ("length", "word_chars / n_words", "length_slack", True),
+    ("symbols", "n_symbols / n_words", "n_symbols <= 1", False),
+    ("repeats", "n_repeat_words / n_words", "n_repeat_words <= 6", False),
+    ("lines", "n_dup_lines / greatest(n_words / 10, 1)", "n_dup_lines <= 1", False),
+    ("length", "word_chars / n_words", "false", True),
 )
 
 
@@ -89,48 +92,67 @@ def base_failed(rules: Rules) -> Column:
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
+def _levels(usual: DataFrame, names: list[str], at: list[float], rules: Rules) -> DataFrame:
+    """One row for each (lang, source): ``names`` with the quantiles ``at`` of its group, and under name_above those of the
+    level above; the group itself is its language, or everything, where it is too small."""
+    sketches = [F.percentile_approx(name, at, rules.accuracy).alias(name) for name in names]
+    levels = materialize(usual.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketches), "sketches")
+    side = lambda level, mark: levels.filter(F.col("level") == level).select(*[F.col(c).alias(f"{c}_{mark}") for c in ("lang", "n", *names)])
+    pairs = levels.filter("level = 0").join(side(1, "lang"), F.col("lang").eqNullSafe(F.col("lang_lang"))).crossJoin(F.broadcast(side(3, "all")))  # one row
+    out = []
+    for name in names:
+        own, wide, all_ = F.col(name), F.col(f"{name}_lang"), F.col(f"{name}_all")
+        many, known = F.col("n") >= rules.min_group, F.col("n_lang") >= rules.min_group
+        out += [F.when(many, own).when(known, wide).otherwise(all_).alias(name), F.when(many & known, wide).otherwise(all_).alias(f"{name}_above")]
+    return pairs.select("lang", "source", *out)
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, lang: str, source: str) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the columns of their group, under names of their own: two of its keys, then the others. The join is
+    null-safe; Spark broadcasts the groups only below its size threshold, and splits hot ones otherwise."""
+    names = private(rows, *(f"group_{c}" for c in groups.columns))
+    groups = groups.toDF(*names)
+    return rows.join(groups, rows[f"`{lang}`"].eqNullSafe(groups[names[0]]) & rows[f"`{source}`"].eqNullSafe(groups[names[1]]), "left"), names
+
+
 def fences(measured: DataFrame, rules: Rules = Rules(), lang: str = "lang", source: str = "source") -> DataFrame:
     """One row (lang, source, lo, hi) for each pair with documents that pass the base rules; lo and hi follow RATIOS.
 
     Documents that fail the base rules say nothing about what is usual and stay out of the sketches.
     """
-    ratios = [F.expr(e).cast("double").alias(name) for name, e, _, _ in RATIOS]
-    usual = measured.filter(~base_failed(rules) & (F.col("n_words") > 0)).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), *ratios)
-    quartiles = [F.percentile_approx(name, [0.25, 0.75], rules.accuracy).alias(name) for name, *_ in RATIOS]
-    levels = materialize(usual.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *quartiles), "fences")
     names = [name for name, *_ in RATIOS]
-    everything = levels.filter("level = 3").select(*names).take(1)
-    if not everything:
-        return levels.filter("false").select("lang", "source", F.array().cast("array<double>").alias("lo"), F.array().cast("array<double>").alias("hi"))
-    wide = {name: F.array(*map(F.lit, everything[0][name])) for name in names}
-    by_lang = levels.filter("level = 1").select(F.col("lang").alias("lang_"), F.col("n").alias("n_lang"), *[F.col(x).alias(f"{x}_lang") for x in names])
-    pairs = levels.filter("level = 0").join(by_lang, F.col("lang").eqNullSafe(F.col("lang_")))
+    ratios = [F.expr(e).cast("double").alias(name) for name, e, _, _ in RATIOS]
+    passed = measured.filter(~base_failed(rules) & (F.col("n_words") > 0)).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), *ratios)
+    quartiles = _levels(passed, ["length"], [0.25, 0.75], rules)
+    joined, (_, _, q, _) = _with_group(passed, quartiles, "lang", "source")
+    beyond = 1.5 * (F.col(q)[1] - F.col(q)[0])  # Tukey's fences
+    usual = joined.filter(F.col("length").between(F.col(q)[0] - beyond, F.col(q)[1] + beyond)).select("lang", "source", *names)
+    tails = _levels(usual, names, [rules.tail, 0.5, 1 - rules.tail], rules)
     lo, hi = [], []
-    for name, _, slack, both in RATIOS:
-        q = F.when(F.col("n") >= rules.min_group, F.col(name)).when(F.col("n_lang") >= rules.min_group, F.col(f"{name}_lang")).otherwise(wide[name])
-        room = F.greatest(rules.spread * (q[1] - q[0]), F.lit(getattr(rules, slack)))
-        lo.append(q[0] - room if both else F.lit(-1.0))
-        hi.append(q[1] + room)
-    return pairs.select("lang", "source", F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
+    for name, _, _, both in RATIOS:
+        x, above = F.col(name), F.col(f"{name}_above")
+        lo.append(x[0] - rules.spread * F.when(x[1] > x[0], x[1] - x[0]).otherwise(above[1] - above[0]) if both else F.lit(-1.0))
+        hi.append(x[2] + rules.spread * F.when(x[2] > x[1], x[2] - x[1]).otherwise(above[2] - above[1]))
+    return tails.select("lang", "source", F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
 
 
 def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules(), lang: str = "lang", source: str = "source") -> DataFrame:
-    """Add base_failed and kept. The limits join is null-safe; Spark broadcasts that side only below its size threshold."""
-    lang_, source_, lo, hi, failed, kept = private(measured, "fence_lang", "fence_source", "fence_lo", "fence_hi", "base_failed", "kept")
-    limits = limits.select(F.col("lang").alias(lang_), F.col("source").alias(source_), F.col("lo").alias(lo), F.col("hi").alias(hi))
-    joined = measured.join(limits, measured[f"`{lang}`"].eqNullSafe(limits[lang_]) & measured[f"`{source}`"].eqNullSafe(limits[source_]), "left")
+    """Add base_failed and kept."""
+    joined, (lang_, source_, lo, hi) = _with_group(measured, limits.select("lang", "source", "lo", "hi"), lang, source)
+    failed, kept = private(joined, "base_failed", "kept")
     inside = F.lit(True)
-    for k, (_, e, _, _) in enumerate(RATIOS):
+    for k, (_, e, one, _) in enumerate(RATIOS):
         value = F.expr(e).cast("double")
-        inside = inside & (value <= F.get(F.col(hi), F.lit(k))) & (value >= F.get(F.col(lo), F.lit(k)))
+        inside = inside & (value.between(F.col(lo)[k], F.col(hi)[k]) | F.expr(one))
     fail = base_failed(rules) | (F.col("n_words") == 0)
-    return joined.withColumns({failed: base_failed(rules), kept: F.when(fail, False).otherwise(F.coalesce(inside, F.lit(True)))}).drop(lang_, source_, lo, hi)
+    return joined.withColumns({failed: base_failed(rules), kept: F.when(fail, False).otherwise(F.coalesce(inside, F.lit(False)))}).drop(lang_, source_, lo, hi)
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its columns, whatever their names. The texts are read twice."""
+    """The rows of ``docs`` that the rules keep, with its columns, whatever their names. Texts are measured once: rows and
+    measures are written to the shared folder, and the sketches read only the measures."""
     body = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")] if docs.columns else []
     aside = docs.select(*[F.col(f"`{c}`").alias(c) for c in ("text", "lang", "source")], *body)
-    limits = materialize(fences(with_measures(aside.drop("row_")), rules), "limits")
-    kept = judge(with_measures(aside), limits, rules).filter("kept")
-    return kept.select("row_.*")
+    measured = materialize(with_measures(aside).drop("text"), "measured")
+    limits = materialize(fences(measured.drop("row_"), rules), "limits")
+    return judge(measured, limits, rules).filter("kept").select("row_.*")

@@ -93,6 +93,30 @@ def test_quality_rules(spark, docs, no_docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_fences_follow_their_group(spark):
+    rng = random.Random(4)
+
+    def table(length, signs):
+        """Two groups of a language; the words of the first are of about ``length`` letters, ``signs`` of its texts have 30 signs."""
+        rows = []
+        for i in range(600):
+            first = i % 2 == 0
+            words = ["".join(rng.choice("abcdef") for _ in range(max(1, round(rng.gauss(length if first else 5, 1))))) for _ in range(100)]
+            rows.append((i, " ".join(words) + " #" * (30 if first and i < 600 * signs else 0), "en", "a" if first else "b"))
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        measured = quality_rules.with_measures(df)
+        limits = {r.source: (r.lo, r.hi) for r in quality_rules.fences(measured).collect()}
+        kept = {r.doc_id for r in quality_rules.judge(measured, quality_rules.fences(measured)).filter("kept").collect()}
+        return limits, kept
+
+    base, kept = table(5, 0.02)  # a fiftieth of the first group: junk
+    moved, others = table(9, 0)
+    usual, all_kept = table(5, 1)  # all of it: what is usual there
+    assert len(kept) > 560 and not {i for i in range(0, 12, 2)} & kept
+    assert moved["a"][0][3] > base["a"][1][3] and abs(moved["b"][1][3] - base["b"][1][3]) < 0.5 and len(others) > 570
+    assert usual["a"][1][0] > 0.2 > base["a"][1][0] and len(all_kept) > 560
+
+
 def labelled(docs, column, rule):
     return docs.select("doc_id", F.when(rule, 1).otherwise(0).alias(column)).filter("doc_id is not null")
 

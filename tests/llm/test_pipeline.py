@@ -8,7 +8,7 @@ import pytest
 from evalloom.llm import quality_rules, toxicity
 from evalloom.llm.queries import QUERIES
 
-from tests.llm.test_filters import measures
+from tests.llm.test_filters import WORD, measures
 from tests.llm.test_packing_tokens import check_pack
 from tests.llm.test_pairs_archives import brute
 
@@ -41,17 +41,27 @@ def test_stages_drop_nothing_else(spark, small, stages):
         n, chars, signs, lines, repeats = measures(r.text)
         ratios = (signs / n, repeats / n, lines / max(n / 10, 1), chars / n) if n else None
         rows.append((r, ratios, n >= rules.min_words and 100 * repeats <= rules.max_repeat_percent * n))
+    rank = lambda values, p: sorted(values)[max(math.ceil(p * len(values)), 1) - 1]
+
+    def levels(d, some):
+        """The group of d and the level above it, by their sizes."""
+        own = [[x for e, x in some if same(e)] for same in (lambda e: (e.lang, e.source) == (d.lang, d.source), lambda e: e.lang == d.lang, lambda e: True)]
+        many = [len(g) >= rules.min_group for g in own]
+        return (own[0] if many[0] else own[1] if many[1] else own[2]), (own[1] if many[0] and many[1] else own[2])
+
+    passed = [(d, x) for d, x, ok in rows if ok]
+    usual = []
+    for d, x in passed:
+        low, high = (rank([y[3] for y in levels(d, passed)[0]], p) for p in (0.25, 0.75))
+        usual += [(d, x)] if low - 1.5 * (high - low) <= x[3] <= high + 1.5 * (high - low) else []
     keeps = []
-    for r, ratios, base in rows:
-        own = [[x for d, x, ok in rows if ok and same(d)] for same in (lambda d: (d.lang, d.source) == (r.lang, r.source), lambda d: d.lang == r.lang, lambda d: True)]
-        own = next((g for g in own if len(g) >= rules.min_group), own[-1])
-        inside = base
-        for k, slack in enumerate((rules.symbol_slack, rules.repeat_slack, rules.line_slack, rules.length_slack)):
-            values = sorted(x[k] for x in own)
-            low, high = (values[math.ceil(p * len(values)) - 1] for p in (0.25, 0.75))
-            room = max(rules.spread * (high - low), slack)
-            inside = inside and ratios[k] <= high + room and (k < 3 or ratios[k] >= low - room)
-        keeps += [r.doc_id] if inside else []
+    for d, x in passed:
+        inside = True
+        for k, one in enumerate((1, 6, 1, 0)):
+            (lo, mid, hi), (lo2, mid2, hi2) = ([rank([y[k] for y in g], p) for p in (rules.tail, 0.5, 1 - rules.tail)] for g in levels(d, usual))
+            few = one and (x[k] * (len(WORD.findall(d.text)) if k < 2 else max(len(WORD.findall(d.text)) / 10, 1))) <= one + 1e-9
+            inside &= bool(few) or x[k] <= hi + rules.spread * (hi - mid or hi2 - mid2) and (k < 3 or x[k] >= lo - rules.spread * (mid - lo or mid2 - lo2))
+        keeps += [d.doc_id] if inside else []
     assert Counter(keeps) == Counter(r.doc_id for r in good.collect())
     scores = toxicity.score(good, spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic")).collect()
     assert Counter(r.doc_id for r in scores if r.score < 0.7) == Counter(r.doc_id for r in clean.collect())
