@@ -47,10 +47,15 @@ FURNITURE = frozenset(
     sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription syndication tagcloud tags teaser toc toolbar topbar tracking
     trending widget widgets warning alert dialog disclaimer""".split()
 )
+#: Of these, those that make furniture of a paragraph inside an article, too.
+ADVERT = frozenset("ad ads advert adverts advertisement advertising adsense adslot comment comments cookie cookies consent gdpr hidden newsletter promo promos promoted share sharing social sponsor sponsored sponsors subscribe subscription".split())
 CONTENT = frozenset("article articlebody body content entry hentry main maincontent page post postbody story text blog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_REST = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z|<[!?][^>]*\Z()()()()()()", re.S)
+#: The end tag of a raw element, in ASCII case: lower-casing a page may change its length.
+_RAW_END = {tag: re.compile(f"</{tag}(?![a-z0-9])", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
@@ -58,9 +63,11 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "dropped", "score", "scored", "order", "sizes")
+    __slots__ = ("tag", "names", "parent", "children", "dropped", "score", "scored", "order", "sizes", "story")
 
     def __init__(self, tag: str, parent: Node | None, names: frozenset[str], dropped: bool, order: int):
+        #: 2 in an article or main, 1 in a container that its names call content, 0 elsewhere
+        self.story = 2 if tag in ("article", "main") else max(parent.story if parent else 0, int(tag in ("div", "section") and bool(names & CONTENT)))
         self.tag, self.parent, self.names, self.dropped, self.order = tag, parent, names, dropped, order
         self.children: list[Node | str] = []
         self.score, self.scored, self.sizes = 0.0, False, None
@@ -81,12 +88,9 @@ def _is_dropped(tag: str, attributes: dict[str, str], names: frozenset[str], par
     if tag in DROP or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or _HIDDEN.search(attributes.get("style", "")):
         return True
     if tag == "header":  # an article's own header holds its headline
-        up = parent
-        while up is not None:
-            if up.tag in ("article", "main"):
-                return False
-            up = up.parent
-        return True
+        return parent.story < 2
+    if parent.story and (tag in PARAGRAPH or tag not in BLOCK):  # such words on a paragraph of the story, or on a part of one
+        return bool(names & ADVERT)
     return bool(names & FURNITURE) and not names & CONTENT and tag not in ("body", "html", "article", "main")
 
 
@@ -94,10 +98,9 @@ def parse(page: str) -> Node:
     """The tree of a page; unclosed and crossed tags are closed as browsers close them, as far as blocks are concerned."""
     root = Node("#root", None, frozenset(), False, 0)
     at, here, order, n = 0, root, 0, len(page)
-    lower = None
-    for_search = _TOKEN.search
+    closed = page.rfind(">")  # beyond it no tag ends; looked for at every "<", that would take the square of the page
     while at < n:
-        m = for_search(page, at)
+        m = _TOKEN.search(page, at) if at <= closed else _REST.search(page, at)
         if m is None:
             here.children.append(page[at:])
             break
@@ -146,9 +149,8 @@ def parse(page: str) -> Node:
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            lower = lower if lower is not None else page.lower()
-            end = lower.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
+            end = _RAW_END[tag].search(page, at)
+            close = page.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else n
             continue
         here = node

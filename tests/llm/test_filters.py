@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -271,3 +272,18 @@ def test_html_table(spark):
     out = html_extract.extract(df)
     assert out.columns == ["page_id", "url", "text", "n_chars"] and sorted(r.n_chars for r in out.collect())[:1] == [0]
     assert out.filter("n_chars <> length(text)").count() == 0 and html_extract.extract(df.filter("false")).count() == 0
+
+
+def test_html_keeps_the_story():
+    wide = "İ" * 40  # longer in small letters
+    page = f"<html><body><article><p>{wide}</p><script>var x = 1;</SCRIPT ><p>The paragraph after the script, long enough, is here.</p></article></body></html>"
+    assert html_extract.main_text(page) == wide + "\nThe paragraph after the script, long enough, is here."
+    page = '<article><h1>Head</h1><p>A first paragraph, with commas, and more text.</p><p class="extra">One that is extra, yet part of the story.</p><p>It has <b class="warning">a word</b> of warning.</p><p class="advert">Buy now, it is cheap.</p><div class="related">Other stories</div></article>'
+    assert html_extract.main_text(page) == "Head\nA first paragraph, with commas, and more text.\nOne that is extra, yet part of the story.\nIt has a word of warning."
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '\"", '<a x="y ', "<", "</", "<!", '<a b=">', "<a \"'>", "<!-- x", "<script>"])
+def test_html_takes_broken_pages_in_linear_time(piece):
+    began = time.process_time()
+    html_extract.main_text("<p>some text" + piece * 20_000)
+    assert time.process_time() - began < 5
