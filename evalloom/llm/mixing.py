@@ -13,7 +13,7 @@ Defined results
 * a source of size 0 has target 0. With no words at all every target is 0. An empty table gives an empty result.
 * repeated rows are documents of their own; ties in the seeded order are broken by id and text hash, and rows equal in
   those are interchangeable. Reruns agree, whatever the partitioning.
-* extra columns pass through; clashing names are avoided.
+* extra columns pass through; clashing names are avoided. A shard holds at most 2 ** 62 words.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from evalloom.llm.common import materialize, private, text_or_empty, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Largest per-source or per-shard table (about 100 bytes a row) that is broadcast.
 BROADCAST_ROWS = 20_000
+#: From so many blocks a shard on, products of block numbers are decimals.
+WIDE = 1 << 31
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
@@ -148,10 +150,12 @@ def mix(
     within = Window.partitionBy(src, cell).orderBy(F.col(key), F.col(f"`{doc_id}`"), F.col(size_)).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn(start, F.coalesce(F.sum(size_).over(within), F.lit(0))).join(offsets, [src, cell])
     n = F.greatest(F.col(n_), F.lit(1))  # a shard without words has no blocks and no quota
-    r, base, u = F.col(q_) % n, F.floor(F.col(q_) / n).cast("long"), F.col(u_)
-    ahead = lambda x: F.floor(x / n).cast("long") * r + F.floor((x % n) * r / n).cast("long")  # noqa: E731  blocks chosen among the first x, before the shift
+    r, base, u = F.col(q_) % n, F.call_function("div", F.col(q_), n), F.col(u_)
+    div = lambda x, y: F.call_function("div", x, y)  # noqa: E731  of whole numbers, exact
+    number = T.DecimalType(19, 0) if max((row[3] for row in rows), default=0) >= WIDE else T.LongType()  # a product of two fits
+    ahead = lambda x: div(x, n) * r + div((x % n).cast(number) * r.cast(number), n.cast(number))  # noqa: E731  blocks chosen among the first x, before the shift
     chosen = lambda k: ahead(k + u) - ahead(u)
-    at = lambda p: F.floor(p / block).cast("long")
+    at = lambda p: div(p, F.lit(block).cast("long"))
     tokens = lambda p: block * chosen(at(p)) + (p - block * at(p)) * (chosen(at(p) + 1) - chosen(at(p)))
     first = F.col(before_) + F.col(start)
     middle = at(first + F.floor(F.col(size_) / 2).cast("long"))

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from evalloom.llm.common import materialize
 from evalloom.llm.connected import Union, components
+from evalloom.llm.screens import screened, without
 from evalloom.llm.vector_text import SET_BITS, mix64, shingle_hashes, shingles, slices
 from evalloom.session import ship
 
@@ -49,8 +50,6 @@ STEPS = ((0.02, 14), (0.1, 15), (0.25, 18), (0.5, 28), (1.0, 42))
 #: Beyond this share min-hashes of the whole set serve as well: linked pairs below it miss 42 buckets with 0.625 ** 42.
 MOSTLY = 0.6
 MANY, WHOLE = STEPS[-1][1], 16
-#: A screen is a broadcast bitmap of eight bits a wanted key, up to this many; with more wanted keys there is none.
-SCREEN_BITS = 28
 
 
 def common_shingles(docs: DataFrame, size: int, share: float, least: int, most: int, chunk: int = 16 << 20) -> np.ndarray:
@@ -363,42 +362,6 @@ def _sets(size: int):
     return run
 
 
-def with_screen(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> DataFrame:
-    """Add ``maybe_``: whether ``column`` may be among ``wanted`` (one column of longs), by a broadcast bitmap of 2**bits
-    bits."""
-    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
-    within = lambda p: p.bitwiseAND(F.lit(63)).cast("int")
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), within(F.col("p_")))
-    words = wanted.select(place(wanted.columns[0]).alias("p_")).groupBy(F.shiftright("p_", 6).alias("word_")).agg(F.bit_or(one).alias("bits_"))
-    found = rows.withColumn("p_", place(column)).join(F.broadcast(words), F.shiftright("p_", 6) == F.col("word_"), "left")
-    hit = F.call_function("shiftright", F.coalesce("bits_", F.lit(0).cast("long")), within(F.col("p_"))).bitwiseAND(F.lit(1).cast("long")) == 1
-    return found.withColumn("maybe_", hit).drop("p_", "word_", "bits_")
-
-
-def _screen_bits(wanted: DataFrame) -> int | None:
-    """Eight bits for each of ``wanted`` (a table that is cheap to count), or None where the bitmap would be too large."""
-    bits = max(10, (8 * wanted.count()).bit_length())
-    return bits if bits <= SCREEN_BITS else None
-
-
-def screened(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``column`` may be among ``wanted``: most others stay out of the shuffle of the join that decides. With
-    more wanted values than a screen takes, all rows."""
-    bits = _screen_bits(wanted)
-    return rows if bits is None else with_screen(rows, column, wanted, bits).filter("maybe_").drop("maybe_")
-
-
-def without(rows: DataFrame, column: str, dropped: DataFrame) -> DataFrame:
-    """The rows whose ``column`` is not among ``dropped``; only those that may be are shuffled."""
-    bits = _screen_bits(dropped)
-    other = dropped.select(F.col(dropped.columns[0]).alias("dropped_"))
-    if bits is None:
-        return rows.join(other, F.col(column) == F.col("dropped_"), "left_anti")
-    marked = with_screen(rows, column, dropped, bits)
-    checked = marked.filter("maybe_").drop("maybe_").join(other, F.col(column) == F.col("dropped_"), "left_anti")
-    return marked.filter("not maybe_").drop("maybe_").unionByName(checked)
-
-
 def exact_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
     """(id, component): the classes of similar nodes of each group (node, grp)."""
     spark = docs.sparkSession

@@ -7,8 +7,9 @@ the only list of files that readers use: a task that is retried or run twice lea
 The reader splits files into byte ranges. A task looks for gzip's magic bytes from the start of its range, takes a place for
 a record's beginning only if what is inflated there begins with a WARC header that parses, and then owns every record that
 starts inside its range (the last may end beyond it). Payloads can hold bytes that look like a record, such as an archive in
-an archive: so each range also reports where its own chain of records begins and ends. A range that does not begin where
-the chain before it ended is read again from that place.
+an archive: so each range also reports where its own chain of records begins and ends. Files with a range that does not begin
+where the chain before it ended are gone through once more, a task a file: it follows the chain over what the ranges reported
+and reads again only the ranges that do not continue it.
 
 Defined results
 * null or empty payload: an empty block; equal payloads, the empty ones too, share one response from ``least`` bytes up.
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.llm.common import materialize, new_path
+from evalloom.llm.screens import screen_bits, with_screen
 from evalloom.session import ship
 
 MAGIC = b"\x1f\x8b\x08"
@@ -92,12 +94,20 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes] | None:
 
 
 def mark_revisits(pages: DataFrame, payload: str, key: str, least: int) -> DataFrame:
-    """Add digest_hex and refers_to. Only one row for each digest and task meets in the aggregate; the join back may be
-    split by Spark where one payload is frequent."""
+    """Add digest_hex and refers_to. Only one row for each digest and task meets in the aggregate; payloads are shuffled
+    where their digest may be a repeated one, in a join that Spark may split where one payload is frequent."""
     whole = pages.withColumn("digest_hex", F.sha1(F.col(payload)))
     last = whole.filter(F.length(payload) >= least).groupBy("digest_hex").agg(F.max(key).alias("last"), F.count("*").alias("copies")).filter("copies > 1")
-    joined = whole.join(last.select("digest_hex", "last"), "digest_hex", "left")
-    return joined.withColumn("refers_to", F.when(F.col("last") != F.col(key), F.col("last")).when(F.col(key).isNull(), F.col("last"))).drop("last")
+    last = materialize(last.select(F.col("digest_hex").alias("repeated"), "last", F.xxhash64("digest_hex").alias("hash")), "digests")
+    refers = F.when(F.col("last") != F.col(key), F.col("last")).when(F.col(key).isNull(), F.col("last")).alias("refers_to")
+    columns = [F.col(f"`{c}`") for c in whole.columns]
+    joined = lambda rows: rows.join(last.select("repeated", "last"), F.col("digest_hex") == F.col("repeated"), "left").select(*columns, refers)
+    bits = screen_bits(last)
+    if bits is None:
+        return joined(whole)
+    marked = with_screen(whole.withColumn("digest_hash", F.xxhash64("digest_hex")), "digest_hash", last.select("hash"), bits)
+    rest = marked.filter("not maybe_").select(*columns, F.lit(None).cast(last.schema["last"].dataType).alias("refers_to"))
+    return joined(marked.filter("maybe_")).unionByName(rest)
 
 
 def write_archives(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z", level: int = 6) -> DataFrame:
@@ -209,38 +219,69 @@ def ranges(spark: SparkSession, manifest: DataFrame, split: int) -> DataFrame:
 
 
 READ = "path string, start long, end long, first long, last long, offset long, record_type string, page_id long, payload_length long, payload_digest string, refers_to long, uri string, block binary"
+_SCHEMA = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("offset", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("block", pa.binary())])
 
 
-def _read(whole: bool):
-    schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("offset", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string()), ("block", pa.binary())])
+def _read_range(source, path: str, start: int, end: int, whole: bool, chain: tuple | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of a range, then its mark: where its chain begins and ends, and as record_type what broke it. The chain
+    begins at ``chain[0]`` (None: nowhere in the range), or without ``chain`` at the first record that is found."""
 
     def number(x: str | None) -> int | None:
         return int(x) if x else None
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
+
+    reader = RangeReader(source, start, end)
+    first = chain[0] if chain else reader.first()
+    at, rows, held, damage = first, [], 0, None
+    try:
+        for offset, after, head, block in reader.records(first):
+            digest = head.get("warc-payload-digest", "").partition(":")[2]
+            if head.get("warc-type") == "response" and sha1_base32(block) != digest:
+                raise ValueError(f"the payload at byte {offset} does not match its digest")
+            rows.append((path, start, end, None, None, offset, head.get("warc-type"), number(head.get("x-page-id")), number(head.get("x-payload-length")), digest, number(head.get("x-refers-to-page-id")), head.get("warc-target-uri"), block if whole else None))
+            at = after
+            held += len(block)
+            if held > 8 << 20 or len(rows) >= 4096:
+                yield batch(rows)
+                rows, held = [], 0
+    except ValueError as e:  # a real one only if the chain led here: told apart when all ranges are read
+        damage = str(e)
+    yield batch([*rows, (path, start, end, first, at, None, damage, None, None, None, None, None, None)])
+
+
+def _read(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 store, path = open_store(row["path"])
                 with store.open_input_file(path) as source:
-                    reader = RangeReader(source, row["start"], row["end"])
-                    first = row.get("from")
-                    first = reader.first() if first is None else first if first < row["end"] else None
-                    at, rows, held, damage = first, [], 0, None
-                    try:
-                        for offset, after, head, block in reader.records(first):
-                            digest = head.get("warc-payload-digest", "").partition(":")[2]
-                            if head.get("warc-type") == "response" and sha1_base32(block) != digest:
-                                raise ValueError(f"the payload at byte {offset} does not match its digest")
-                            rows.append((row["path"], row["start"], row["end"], None, None, offset, head.get("warc-type"), number(head.get("x-page-id")), number(head.get("x-payload-length")), digest, number(head.get("x-refers-to-page-id")), head.get("warc-target-uri"), block if whole else None))
-                            at = after
-                            held += len(block)
-                            if held > 8 << 20 or len(rows) >= 4096:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                                rows, held = [], 0
-                    except ValueError as e:  # a real one only if the chain led here: told apart when all ranges are read
-                        damage = str(e)
-                    rows.append((row["path"], row["start"], row["end"], first, at, None, damage, None, None, None, None, None, None))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield from _read_range(source, row["path"], row["start"], row["end"], whole)
+
+    return run
+
+
+def _follow(whole: bool):
+    """The ranges of a file (path, marks) that do not continue its chain, read again from where they have to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, path = open_store(row["path"])
+                due = 0
+                with store.open_input_file(path) as source:
+                    for mark in sorted(row["marks"], key=lambda m: m["start"]):
+                        begun = due if due < mark["end"] else None
+                        last, damage = mark["last"], mark["damage"]
+                        if mark["first"] != begun:
+                            for again in _read_range(source, row["path"], mark["start"], mark["end"], whole, (begun,)):
+                                yield again
+                            last, damage = again.column("last")[-1].as_py(), again.column("record_type")[-1].as_py()
+                        if damage:  # the chain led here: the driver reports it
+                            yield pa.RecordBatch.from_pylist([{"path": row["path"], "record_type": damage}], schema=_SCHEMA)
+                            break
+                        due = due if last is None else last
 
     return run
 
@@ -254,31 +295,39 @@ def read_archives(manifest: DataFrame, split: int = 4 << 20, whole: bool = True)
     tasks = max(1, min(10_000, parts.count()))
     dealt = parts.repartition(tasks, F.xxhash64("path", "start"))
     got = materialize(dealt.mapInArrow(_read(whole), READ), "warc-records")
-    while (wrong := _broken_chains(got)) is not None:
-        again = materialize(wrong.mapInArrow(_read(whole), READ), "warc-records")
-        got = materialize(got.join(wrong.select("path", "start"), ["path", "start"], "left_anti").unionByName(again), "warc-records")
+    broken = _broken_chains(got)
+    if broken is not None:
+        again = materialize(broken.mapInArrow(_follow(whole), READ), "warc-again")
+        real = again.filter("start is null").take(1)
+        if real:
+            raise ValueError(f"{real[0]['path']}: {real[0]['record_type']}")
+        replaced = again.filter("offset is null").select("path", "start")
+        got = got.join(replaced, ["path", "start"], "left_anti").select(*got.columns).unionByName(again)
     return got.filter("offset is not null").drop("start", "end", "first", "last")
 
 
 def _broken_chains(got: DataFrame) -> DataFrame | None:
-    """The first range of each file that does not begin where the chain of records before it ends, or None.
+    """(path, marks) of the files with a range that does not begin where the chain of records before it ends, or None.
 
-    One row a range; a range without a record of its own passes the place on. The windows are per file.
+    One row a range; a range without a record of its own passes the place on. Windows and lists are per file, of some 40 bytes
+    a range.
     """
     marks = got.filter("offset is null").select("path", "start", "end", "first", "last", F.col("record_type").alias("damage"))
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     due = marks.withColumn("due", F.coalesce(F.max("last").over(before), F.lit(0)))
     begun = F.when(F.col("due") < F.col("end"), F.col("due"))  # else a record covers the whole range, or the file is over
     wrong = due.filter(~F.col("first").eqNullSafe(begun) | F.col("damage").isNotNull())
-    least = wrong.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("start"))).filter("k = 1")
-    fixed = materialize(least.select("path", "start", "end", F.col("due").alias("from"), F.col("first").eqNullSafe(begun).alias("led_here"), "damage"), "warc-again")
-    real = fixed.filter("led_here").select("path", "damage").take(1)
+    least = wrong.groupBy("path").agg(F.min_by(F.struct(F.col("first").eqNullSafe(begun).alias("led_here"), "damage"), "start").alias("x"))
+    files = materialize(least.select("path", "x.*"), "warc-broken")
+    real = files.filter("led_here").take(1)
     if real:
         raise ValueError(f"{real[0]['path']}: {real[0]['damage']}")
-    return None if fixed.isEmpty() else fixed.select("path", "start", "end", "from")
+    if files.isEmpty():
+        return None
+    return marks.join(files.select("path"), "path").groupBy("path").agg(F.collect_list(F.struct("start", "end", "first", "last", "damage")).alias("marks"))
 
 
-def round_trip(pages: DataFrame, *, least: int = 0, split: int = 4 << 20, file_rows: int = 20_000) -> DataFrame:
+def round_trip(pages: DataFrame, *, least: int = 0, split: int = 4 << 20) -> DataFrame:
     """Archive page_id, url, html and read the archives back."""
     spark = pages.sparkSession
     flat = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.encode(F.col("html").cast("string"), "utf-8"), F.lit(b"")).alias("payload"))

@@ -287,3 +287,9 @@ def test_html_takes_broken_pages_in_linear_time(piece):
     began = time.process_time()
     html_extract.main_text("<p>some text" + piece * 20_000)
     assert time.process_time() - began < 5
+
+
+def test_mix_of_wide_shards(docs, monkeypatch):
+    a = sorted((str(r.doc_id), r[-1], r[-2]) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "WIDE", 0)
+    assert a == sorted((str(r.doc_id), r[-1], r[-2]) for r in mixing.mix(docs).collect())

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from evalloom.llm import embedding_dedup, ngram_join, warc
+from evalloom.llm import embedding_dedup, ngram_join, screens, warc
 from evalloom.llm.connected import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,12 +91,12 @@ def test_template_in_all_documents(spark, keys):
 
 def test_screens(spark, monkeypatch):
     rows, some = spark.range(1000).selectExpr("id", "id % 7 as x"), spark.range(0, 1000, 10).selectExpr("id as k")
-    assert {r.id for r in ngram_join.screened(rows, "id", some).collect()} >= set(range(0, 1000, 10))
+    assert {r.id for r in screens.screened(rows, "id", some).collect()} >= set(range(0, 1000, 10))
     expected = sorted(set(range(1000)) - set(range(0, 1000, 10)))
-    assert sorted(r.id for r in ngram_join.without(rows, "id", some).collect()) == expected
-    monkeypatch.setattr(ngram_join, "SCREEN_BITS", 4)  # more values than a screen takes
-    assert ngram_join.screened(rows, "id", some).count() == 1000
-    assert sorted(r.id for r in ngram_join.without(rows, "id", some).collect()) == expected
+    assert sorted(r.id for r in screens.without(rows, "id", some).collect()) == expected
+    monkeypatch.setattr(screens, "SCREEN_BITS", 4)  # more values than a screen takes
+    assert screens.screened(rows, "id", some).count() == 1000
+    assert sorted(r.id for r in screens.without(rows, "id", some).collect()) == expected
 
 
 def test_jaccard_edges(docs, no_docs):
@@ -253,6 +253,19 @@ def test_archive_within_an_archive(spark, tmp_path):
     assert sorted(r.page_id for r in rows) == [0, 1, 2, 3, 4] and all(r.block == inner for r in rows)
 
 
+def test_long_false_chain(spark, tmp_path):
+    """An archive in an archive over many ranges is mended in one go, true records between and after it stay."""
+    inner = b"".join(warc.encode_record(1000 + i, "in", random.Random(i).randbytes(300), digest(str(i)), None, "d") for i in range(60))
+    sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    small = [random.Random(i).randbytes(500) for i in range(30)]
+    records = [warc.encode_record(i, "out", x, sha(x), None, "d", level=0) for i, x in enumerate([*small[:10], inner, *small[10:20], inner, *small[20:]])]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(records))
+    manifest = spark.createDataFrame([(str(path), path.stat().st_size, len(records))], "path string, bytes long, records long")
+    rows = warc.read_archives(manifest, split=700).collect()
+    assert sorted(r.page_id for r in rows) == list(range(32)) and len({r.offset for r in rows}) == 32
+
+
 def test_damage_is_reported():
     data = bytearray(warc.encode_record(1, "u", b"x" * 100, digest("x"), None, "d") * 2)
     data[-3] ^= 1
