@@ -153,3 +153,18 @@ def redact_blocks(blocks: Column, policy: Policy = DEFAULT) -> Column:
             F.flatten(F.transform(d, lambda b: F.transform(b["r"]["spans"], lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["original_hash"].alias("original_hash"), s["action"].alias("action"), b["page"].alias("block_page"))))).alias("pii_spans"),
         ),
     )[0]
+
+
+def redact_cells(tables: Column, policy: Policy = DEFAULT) -> Column:
+    """OCR tables (page, cells of row, col, text): struct(tables with redacted cells, spans with block_page, row and col)."""
+    plain = F.coalesce(tables, F.array().cast("array<struct<page:int,cells:array<struct<row:int,col:int,text:string>>>>"))
+    cells = lambda t: F.transform(F.coalesce(t["cells"], F.array().cast("array<struct<row:int,col:int,text:string>>")), lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), redact(c["text"], policy).alias("r")))
+    done = F.transform(plain, lambda t: F.struct(t["page"].alias("page"), cells(t).alias("cells")))
+    span = lambda t, c, s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"), s["original_hash"].alias("original_hash"), s["action"].alias("action"), t["page"].alias("block_page"), c["row"].alias("row"), c["col"].alias("col"))
+    return F.transform(
+        F.array(done),
+        lambda d: F.struct(
+            F.transform(d, lambda t: F.struct(t["page"].alias("page"), F.transform(t["cells"], lambda c: F.struct(c["row"].alias("row"), c["col"].alias("col"), c["r"]["text"].alias("text"))).alias("cells"))).alias("tables"),
+            F.flatten(F.transform(d, lambda t: F.flatten(F.transform(t["cells"], lambda c: F.transform(c["r"]["spans"], lambda s: span(t, c, s)))))).alias("pii_spans"),
+        ),
+    )[0]

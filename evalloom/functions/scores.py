@@ -109,12 +109,17 @@ def ocr_text(hypothesis: Column, reference: Column) -> Column:
     return F.struct(F.when(empty, 0.0).otherwise(f1).alias("text_f1"), F.when(empty, 1.0).otherwise(F.bround(error_rate(hypothesis, reference), 4)).alias("cer"), F.lit(0.0).alias("table_teds"))
 
 
-def value_redaction(values: Column, text: Column, redacted: Column) -> Column:
-    """tp: reference values in the text that the redacted text no longer shows; fn: those it still shows."""
+def value_redaction(values: Column, text: Column, redacted: Column, found: Column | None = None) -> Column:
+    """tp: reference values in the text that the redacted text no longer shows; fn: those it still shows; with the values
+    ``found`` by the redaction also fp: those of them that hold no reference value and lie in none."""
     v = F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != "")))
     tp = _count(v, lambda x: F.contains(text, x) & ~F.contains(redacted, x))
     fn = _count(v, lambda x: F.contains(redacted, x))
-    return F.struct(tp.cast("long").alias("tp"), fn.cast("long").alias("fn"))
+    parts = [tp.cast("long").alias("tp"), fn.cast("long").alias("fn")]
+    if found is not None:
+        known = lambda f: F.exists(v, lambda x: F.contains(f, x) | F.contains(x, f))
+        parts.append(_count(F.filter(found, lambda f: f.isNotNull() & (f != "")), lambda f: ~known(f)).cast("long").alias("fp"))
+    return F.struct(*parts)
 
 
 # Contract field -> category.

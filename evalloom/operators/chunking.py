@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,51 +16,42 @@ from evalloom.session import ship
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """The parts of a text with the separators between them as pieces of their own."""
-    if not separator:
-        return list(text)
-    out: list[str] = []
-    for part in text.split(separator):
-        out += [separator, part] if out else [part]
-    return out
+def _spans(text: str, separator: str, size: int) -> Iterator[tuple[int, int]]:
+    """Cuts of a text at the ends of its separators and of what lies between them: each span reaches as far as ``size``
+    allows, or to the next place to cut where that lies beyond."""
+    if separator:
+        places = sorted({at for m in re.finditer(re.escape(separator), text) for at in m.span()} | {len(text)})
+    else:
+        places = range(1, len(text) + 1)
+    at = 0
+    while at < len(text):
+        k = bisect_right(places, at + size)
+        end = places[k - 1] if k and places[k - 1] > at else places[k]
+        yield at, end
+        at = end
 
 
 def split_recursive(text: str | None, size: int = 400, overlap: int = 40, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of about ``size`` characters along the coarsest separators that fit.
+    """Chunks of about ``size`` characters along the coarsest separators that fit (the last one is "", single characters).
 
-    Each level puts pieces together while they fit and splits a piece that is too long by the next separator; the chunk
-    before such a piece takes the beginning's tail along. Every level then begins each chunk with the tail of the one
-    before it, so chunks may be longer than ``size``. Blank chunks are dropped.
+    A span that no separator of a level cuts short enough is split at the next level; the chunk before it takes the
+    beginning's tail along. Every level then begins each chunk with the tail of the one before it, so chunks may be longer
+    than ``size``. Blank chunks are dropped.
     """
-    if not text or size <= 0:
+    if not text or size <= 0 or len(text) <= size:
         return [text] if text else []
-    if len(text) <= size:
-        return [text]
-    out: list[str] = []
-    open_ = ""
-    for piece in _pieces(text, separators[0]):
-        if len(open_) + len(piece) <= size:
-            open_ += piece
-            continue
-        if open_:
-            out.append(open_)
-        if len(piece) <= size:
-            open_ = piece
-        elif len(separators) > 1:
-            inner = split_recursive(piece, size, overlap, separators[1:])
-            if open_ and inner:
-                out[-1] += inner[0][-overlap:]
-            out += inner
-            open_ = ""
-        else:
-            out.append(piece[:size])
-            open_ = piece[size:]
-    if open_:
-        out.append(open_)
-    if overlap > 0:
-        out = out[:1] + [before[-overlap:] + own for before, own in zip(out, out[1:], strict=False)]
-    return [c for c in out if c.strip()]
+    chunks: list[str] = []
+    after_short = False
+    for start, end in _spans(text, separators[0], size):
+        part = text[start:end]
+        short = end - start <= size
+        deeper = [part] if short else split_recursive(part, size, overlap, separators[1:] or ("",))
+        if after_short and not short and deeper:
+            chunks.append(chunks.pop() + deeper[0][-overlap:])
+        chunks.extend(deeper)
+        after_short = short
+    tails = [c[-overlap:] if overlap > 0 else "" for c in chunks[:-1]]
+    return [tail + own for tail, own in zip(["", *tails], chunks, strict=False) if own.strip() or tail.strip()]
 
 
 def chunk_documents(docs: DataFrame, case_id: str, text: str, size: int = 400, overlap: int = 40) -> DataFrame:

@@ -111,3 +111,21 @@ def normal_record(rows: DataFrame, dataset: Column) -> DataFrame:
 
 def usable_questions(rows: DataFrame) -> DataFrame:
     return rows.filter((F.length(F.trim("question")) >= 10) & F.length(F.trim("answer")).between(1, 100) & (F.col("length") >= 500))
+
+
+def first_rows(rows: DataFrame, line: str, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of a line number: a top-n of each task, then of these."""
+    return rows.orderBy(line).limit(n)
+
+
+def with_question(rows: DataFrame, question: str = "question") -> DataFrame:
+    """Rows that ask something: null, empty and blank questions go."""
+    return rows.filter(F.trim(F.coalesce(F.col(question), F.lit(""))) != "")
+
+
+def known_configurations(rows: DataFrame, known: list[str], config: str = "config") -> DataFrame:
+    """``rows``, unless one names a configuration that is not ``known``; the error lists up to ten of these."""
+    other = [r[0] for r in rows.filter(~F.coalesce(F.col(config).isin(known), F.lit(False))).select(config).distinct().limit(10).collect()]
+    if other:
+        raise ValueError(f"unknown configurations: {sorted(map(str, other))}")
+    return rows

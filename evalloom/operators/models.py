@@ -13,13 +13,15 @@ import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.text import bracketed_chunks, key_values, normal_text, tokens
+from evalloom.operators.retrieval import tfidf_sentences
 from evalloom.session import ship
 
 # Dollars per million tokens (in, out), and the default model.
@@ -73,37 +75,45 @@ def heuristic_verdict(pred: Column, ref: Column) -> Column:
 # --- replies ---
 
 
+def _decoded(text: str, at: int) -> dict | None:
+    """The JSON object that begins at ``at``, if one does."""
+    try:
+        return json.JSONDecoder().raw_decode(text, at)[0]
+    except ValueError:
+        return None
+
+
 def json_object(text: str | None) -> dict | None:
-    """The first balanced object of a reply, else the last flat one; None without any."""
+    """The object at a reply's first brace, else the last object that holds no other; None without any."""
     text = text or ""
-    start, depth = text.find("{"), 0
-    for at in range(start, len(text)) if start >= 0 else ():
-        depth += {"{": 1, "}": -1}.get(text[at], 0)
-        if not depth:
-            try:
-                found = json.loads(text[start : at + 1])
-                return found if isinstance(found, dict) else None
-            except ValueError:
-                break
-    for flat in reversed(re.findall(r"\{[^{}]*\}", text)):
-        try:
-            return json.loads(flat)
-        except ValueError:
-            continue
-    return None
+    braces = [m.start() for m in re.finditer(r"[{}]", text)]
+    opening = [at for at in braces if text[at] == "{"]
+    first = _decoded(text, opening[0]) if opening else None
+    if first is not None:
+        return first
+    flat = [at for at, after in pairwise(braces) if text[at] == "{" and text[after] == "}"]
+    return next((found for at in reversed(flat) if (found := _decoded(text, at)) is not None), None)
 
 
-def verdict_of(reply: str | None) -> tuple[str, bool | None, float, str]:
-    """(verdict, correct, confidence, reason); a reply without a verdict is ambiguous."""
-    found = json_object((reply or "").strip())
-    verdict = str((found or {}).get("verdict", "")).strip().lower()
-    if verdict not in ("correct", "incorrect", "ambiguous"):
-        return "ambiguous", None, 0.5, f"no JSON verdict (raw: {(reply or '').strip()[:80]})"[:200]
+VERDICTS = {"correct": True, "incorrect": False, "ambiguous": None}
+
+
+def _share(x: object, default: float = 0.5) -> float:
+    """A number between 0 and 1, or the default for what is none."""
     try:
-        sure = float(found.get("confidence", 0.5))
+        return sorted((0.0, float(x), 1.0))[1]  # type: ignore[arg-type]
     except (TypeError, ValueError):
-        sure = 0.5
-    return verdict, None if verdict == "ambiguous" else verdict == "correct", min(max(sure, 0.0), 1.0), str(found.get("reason", ""))[:200]
+        return default
+
+
+def verdict_of(reply: str | None) -> tuple[str, bool | None, float, str]:
+    """(verdict, correct, confidence, reason); a reply without a verdict is ambiguous."""
+    said = (reply or "").strip()
+    found = json_object(said) or {}
+    verdict = str(found.get("verdict", "")).strip().lower()
+    if verdict in VERDICTS:
+        return verdict, VERDICTS[verdict], _share(found.get("confidence", 0.5)), str(found.get("reason", ""))[:200]
+    return "ambiguous", None, 0.5, f"no JSON verdict (raw: {said[:80]})"[:200]
 
 
 def parse_verdicts(rows: DataFrame, reply: str) -> DataFrame:
@@ -226,8 +236,44 @@ def call_model(rows: DataFrame, prompt: str, make: Callable[[], Callable[[str],
     return rows.mapInArrow(run, schema)
 
 
-def compress_offline(text: Column, rate: float) -> Column:
-    """A stand-in for prompt compression: the first ``rate`` of the words; struct(text, origin_tokens, compressed_tokens, ratio)."""
-    w = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != "")
-    n = F.ceil(F.size(w) * rate).cast("int")
-    return F.struct(F.array_join(F.slice(w, 1, n), " ").alias("text"), F.size(w).alias("origin_tokens"), n.alias("compressed_tokens"), F.round(F.try_divide(F.size(w), n), 4).alias("compress_ratio"))
+def embed(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], list[list[float]]]], *, prefix: str = "", batch: int = 64, parallel: int | None = None) -> DataFrame:
+    """Add embedding (array<float>) and embedding_error. ``make`` builds the encoder once a task; it gets ``batch`` texts at
+    a time, each behind ``prefix`` (as "query: " or "passage: "). A batch that fails leaves nulls and the error in its rows;
+    null texts are empty."""
+    ship(rows.sparkSession)
+    rows = rows.repartition(parallel) if parallel else rows
+    place = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make()
+        for rb in batches:
+            texts = [prefix + (t or "") for t in rb.column(place).to_pylist()]
+            vectors: list = []
+            errors: list[str | None] = []
+            for at in range(0, len(texts), batch):
+                some = texts[at : at + batch]
+                try:
+                    made, error = [[float(x) for x in v] for v in encoder(some)], None
+                    if len(made) != len(some):
+                        raise ValueError(f"{len(made)} vectors for {len(some)} texts")
+                except Exception as e:  # noqa: BLE001  the contract: errors are rows
+                    made, error = [None] * len(some), f"{type(e).__name__}: {e}"
+                vectors += made
+                errors += [error] * len(some)
+            yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[*rb.schema.names, "embedding", "embedding_error"])
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embedding_error", T.StringType())])
+    return rows.mapInArrow(run, schema)
+
+
+def compress_offline(docs: DataFrame, doc_id: str, text: str, rate: float) -> DataFrame:
+    """A stand-in for prompt compression: the sentences of the largest tf-idf (see ``retrieval.tfidf_sentences``) until they
+    hold ``rate`` of the words, in the order of the text: (doc_id, text, origin_tokens, compressed_tokens, compress_ratio)."""
+    n = F.size(F.filter(F.split("sentence", r"\s+"), lambda x: x != ""))
+    ranked = tfidf_sentences(docs, doc_id, text, None).withColumn("words_", n)
+    own = Window.partitionBy(doc_id)
+    before = F.coalesce(F.sum("words_").over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = ranked.withColumns({"before_": before, "all_": F.sum("words_").over(own)}).filter(F.col("before_") < rate * F.col("all_"))
+    parts = F.array_sort(F.collect_list(F.struct("sentence_no", "sentence")))
+    done = kept.groupBy(doc_id).agg(F.array_join(F.transform(parts, lambda x: x["sentence"]), " ").alias("text"), F.first("all_").alias("origin_tokens"), F.sum("words_").alias("compressed_tokens"))
+    return done.withColumn("compress_ratio", F.round(F.try_divide("origin_tokens", "compressed_tokens"), 4))

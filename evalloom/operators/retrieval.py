@@ -99,8 +99,8 @@ def bm25(pairs: DataFrame, query_id: str, query: str, item_id: str, text: str, p
     return out.select(F.col("q_").alias(query_id), F.col("i_").alias(item_id), "score", F.row_number().over(rank).alias("rank"))
 
 
-def tfidf_sentences(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """The ``k`` sentences of each document with the largest mean tf-idf of their words, in page order of their scores.
+def tfidf_sentences(docs: DataFrame, doc_id: str, text: str, k: int | None) -> DataFrame:
+    """The ``k`` sentences (None: all) of each document with the largest mean tf-idf of their words, ranked.
 
     idf is taken over the document's sentences; (doc_id, sentence_no, sentence, score, rank).
     """
@@ -111,4 +111,6 @@ def tfidf_sentences(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFram
     scored = w.join(df, ["d_", "t_"]).groupBy("d_", "no_").agg((F.sum(F.col("tf_") * F.log((1 + F.col("n_")) / (1 + F.col("df_")))) / F.sum("tf_")).alias("score"))
     out = s.join(scored, ["d_", "no_"])
     rank = Window.partitionBy("d_").orderBy(F.desc(F.round("score", 9)), "no_")
-    return out.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k).select(F.col("d_").alias(doc_id), F.col("no_").alias("sentence_no"), F.col("s_").alias("sentence"), F.round("score", 6).alias("score"), "rank")
+    ranked = out.withColumn("rank", F.row_number().over(rank))
+    ranked = ranked if k is None else ranked.filter(F.col("rank") <= k)
+    return ranked.select(F.col("d_").alias(doc_id), F.col("no_").alias("sentence_no"), F.col("s_").alias("sentence"), F.round("score", 6).alias("score"), "rank")

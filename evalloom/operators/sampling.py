@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalloom.operators.stats import ranked_values
+
 
 def quartile_bounds(rows: DataFrame, by: list[str], length: str) -> DataFrame:
     """(by, b1, b2, b3, n): sorted[n // 4], [n // 2], [3n // 4] of each group."""
-    v = F.array_sort(F.collect_list(F.coalesce(F.col(length), F.lit(0))))
-    g = rows.groupBy(*by).agg(v.alias("v"))
-    at = lambda k: F.element_at("v", (F.floor(k * F.size("v") / 4) + 1).cast("int"))
-    return g.select(*by, at(1).alias("b1"), at(2).alias("b2"), at(3).alias("b3"), F.size("v").alias("n"))
+    lengths = rows.select(*by, F.coalesce(F.col(length), F.lit(0)).alias("length_"))
+    ranks = {f"b{k}": (lambda n, k=k: F.floor(k * n / 4) + 1) for k in (1, 2, 3)}
+    return ranked_values(lengths, by, "length_", ranks).select(*by, "b1", "b2", "b3", F.col("n_").alias("n"))
 
 
 def with_stratum(rows: DataFrame, by: list[str], length: str) -> DataFrame:

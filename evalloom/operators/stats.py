@@ -1,31 +1,47 @@
-"""Aggregates of run logs. Plain groupBy aggregates with partial sums; the exact percentiles gather one number a row."""
+"""Aggregates of run logs: plain groupBy aggregates with partial sums; ranks come from counts of distinct values."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rank (from 1) of a 95 % point among n values; "linear" interpolates instead.
+RANKS: dict[str, Callable[[Column], Column]] = {
+    "floor": lambda n: F.least(n, F.floor(0.95 * n) + 1),
+    "floor_minus1": lambda n: F.greatest(F.lit(1), F.floor(0.95 * n)),
+}
 
-def p95_floor_minus1(x: Column, share: float = 0.95) -> Column:
-    v = F.array_sort(F.collect_list(x))
-    return F.element_at(v, F.greatest(F.lit(1), F.floor(share * F.size(v)).cast("int")))
-
-
-def p95_floor(x: Column, share: float = 0.95) -> Column:
-    v = F.array_sort(F.collect_list(x))
-    return F.element_at(v, F.least(F.size(v), F.floor(share * F.size(v)).cast("int") + 1))
 
+def ranked_values(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, n_, and for each name the value at the rank that its function gives for n) of each group; null values are left out.
 
-def p95_linear(x: Column, share: float = 0.95) -> Column:
-    return F.percentile(x, F.lit(share))
+    Equal values meet in partial counts first; a running sum over the distinct ones, which can spill, finds the ranks, so no
+    group is gathered in one row.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x_")).agg(F.count(F.lit(1)).alias("c_"))
+    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = counts.withColumns({"upto_": F.sum("c_").over(own.orderBy("x_").rowsBetween(Window.unboundedPreceding, 0)), "n_": F.sum("c_").over(own)})
+    return upto.groupBy(*by).agg(F.max("n_").alias("n_"), *[F.min(F.when(F.col("upto_") >= rank(F.col("n_")), F.col("x_"))).alias(name) for name, rank in ranks.items()])
 
 
-P95 = {"floor": p95_floor, "floor_minus1": p95_floor_minus1, "linear": p95_linear}
+def _with_p95(summary: DataFrame, rows: DataFrame, by: list[str], value: str, p95: str) -> DataFrame:
+    """Add p95_ to a table of one row a group."""
+    at = ranked_values(rows, by, value, {"p95_": RANKS[p95]})
+    at = at.select(*[F.col(c).alias(f"{c}_by_") for c in by], "p95_")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_by_"))
+    return summary.join(at, same, "left").drop(*[f"{c}_by_" for c in by])
 
 
 def latency_stats(rows: DataFrame, by: list[str], value: str, p95: str = "linear") -> DataFrame:
     x = F.col(value)
-    return rows.filter(x.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(x), 1).alias("mean"), F.round(F.median(x), 1).alias("median"), F.round(F.min(x), 1).alias("min"), F.round(F.max(x), 1).alias("max"), F.round(P95[p95](x), 1).alias("p95"))
+    rows = rows.filter(x.isNotNull())
+    point = F.percentile(x, F.lit(0.95)) if p95 == "linear" else F.lit(None).cast("double")
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(x), 1).alias("mean"), F.round(F.median(x), 1).alias("median"), F.round(F.min(x), 1).alias("min"), F.round(F.max(x), 1).alias("max"), F.round(point, 1).alias("p95"))
+    return out if p95 == "linear" else _with_p95(out, rows, by, value, p95).withColumn("p95", F.round("p95_", 1)).drop("p95_")
 
 
 def config_summary(rows: DataFrame, by: list[str], means: dict[str, int]) -> DataFrame:
@@ -77,7 +93,8 @@ def token_savings(rows: DataFrame, by: str, origin: str, used: str, baseline: st
 
 def token_stats(rows: DataFrame, by: list[str], tokens: str) -> DataFrame:
     x = F.col(tokens)
-    return rows.groupBy(*by).agg(F.median(x).cast("long").alias("median"), p95_floor_minus1(x).alias("p95"), F.max(x).alias("max"))
+    out = rows.groupBy(*by).agg(F.median(x).cast("long").alias("median"), F.max(x).alias("max"))
+    return _with_p95(out, rows, by, tokens, "floor_minus1").select(*by, "median", F.col("p95_").alias("p95"), "max")
 
 
 def ratio_stats(rows: DataFrame, by: list[str], ratio: str) -> DataFrame:
@@ -145,3 +162,27 @@ def macro_by_field(hits: DataFrame, field: str) -> DataFrame:
 def effective_cost(tokens: Column, cached: Column, rate: Column, discount: float) -> Column:
     """Cost where cached tokens are charged at a discount, per million."""
     return F.round(((tokens - cached) + cached * (1 - discount)) / 1e6 * rate, 8)
+
+
+def macro_f1(hits: DataFrame, field: str, by: list[str] | None = None) -> DataFrame:
+    """Macro F1: the plain mean of the F1 of all fields, of each group of ``by``."""
+    per = micro_scores(hits, [*(by or []), field])
+    return per.groupBy(*(by or [])).agg(F.round(F.avg("f1"), 4).alias("macro_f1"), F.count("*").alias("n_fields"))
+
+
+def verdict_shares(rows: DataFrame, by: list[str], verdict: str = "judge_verdict") -> DataFrame:
+    """Percentages of correct, incorrect and ambiguous verdicts of each group, two places (0 without any)."""
+    names = ("correct", "incorrect", "ambiguous")
+    counted = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.count_if(F.col(verdict) == v).alias(v) for v in names])
+    return counted.withColumns({f"pct_{v}": F.round(100 * F.col(v) / F.greatest(F.col("n"), F.lit(1)), 2) for v in names})
+
+
+def throughput(rows: DataFrame, by: list[str], ts: str) -> DataFrame:
+    """Rows a minute between a group's first and last time (null where these are the same)."""
+    seconds = (F.unix_micros(F.max(ts).cast("timestamp")) - F.unix_micros(F.min(ts).cast("timestamp"))) / 1e6
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(60 * F.count("*") / F.nullif(seconds, F.lit(0.0)), 4).alias("per_minute"))
+
+
+def end_to_end(compress_ms: Column, llm_ms: Column) -> Column:
+    """Latency of a call with its compression; a missing part counts 0."""
+    return F.coalesce(compress_ms, F.lit(0.0)) + F.coalesce(llm_ms, F.lit(0.0))

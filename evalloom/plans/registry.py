@@ -445,7 +445,7 @@ def compression_ratio(spark, sf):  # noqa: ANN001, ANN201
     return stats.ratio_stats(d, ["source"], "r")
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'ambiguous' WHEN quality = 1 THEN 'correct' ELSE 'incorrect' END AS judge_verdict, CASE WHEN toxic = 1 THEN NULL ELSE coalesce(quality = 1, false) END AS judge_correct, least(doc_id % 3, 1)::DOUBLE AS judge_confidence, 'r' AS judge_reason FROM labels")
 def judge_parse(spark, sf):  # noqa: ANN001, ANN201
     d = table(spark, sf, "labels")
     verdict = F.when(F.col("toxic") == 1, "Ambiguous").when(F.col("quality") == 1, "correct").otherwise("incorrect")
@@ -470,8 +470,22 @@ def heuristic_judge(spark, sf):  # noqa: ANN001, ANN201
 
 @query()
 def compress_offline(spark, sf):  # noqa: ANN001, ANN201
-    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array(models.compress_offline(F.col("text"), 0.5))).alias("c"))
-    return d.select("doc_id", "c.origin_tokens", "c.compressed_tokens", "c.compress_ratio")
+    return models.compress_offline(table(spark, sf, "documents"), "doc_id", "text", 0.5).select("doc_id", "origin_tokens", "compressed_tokens", "compress_ratio")
+
+
+@query("SELECT lang, count(*) AS n, count(*) FILTER (verdict = 'correct') AS correct, count(*) FILTER (verdict = 'incorrect') AS incorrect, count(*) FILTER (verdict = 'ambiguous') AS ambiguous, round(100 * count(*) FILTER (verdict = 'correct') / count(*), 2) AS pct_correct, round(100 * count(*) FILTER (verdict = 'incorrect') / count(*), 2) AS pct_incorrect, round(100 * count(*) FILTER (verdict = 'ambiguous') / count(*), 2) AS pct_ambiguous FROM (" + JUDGED_SQL + ") GROUP BY 1")
+def verdict_shares(spark, sf):  # noqa: ANN001, ANN201
+    return stats.verdict_shares(judged(spark, sf), ["lang"])
+
+
+@query("SELECT event_type AS config, count(*) AS n, round(60 * count(*) / nullif(date_diff('microsecond', min(ts), max(ts)) / 1e6, 0), 4) AS per_minute FROM events GROUP BY 1")
+def throughput(spark, sf):  # noqa: ANN001, ANN201
+    return stats.throughput(table(spark, sf, "events").withColumnRenamed("event_type", "config"), ["config"], "ts")
+
+
+@query("SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 200")
+def first_rows(spark, sf):  # noqa: ANN001, ANN201
+    return logs.first_rows(table(spark, sf, "events").select("event_id", "event_type"), "event_id", 200)
 
 
 def contracts(spark, sf):  # noqa: ANN001, ANN201

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,17 +44,21 @@ def repeated_ids(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     return vectors.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def add_vectors(vectors: DataFrame, path: str, key: str = "chunk_id") -> None:
-    """Add to a vector collection; ids that repeat, among themselves or with what is there, are refused."""
+def add_vectors(vectors: DataFrame, path: str, key: str = "chunk_id") -> int:
+    """Add to a vector collection and return the size it has then; ids that repeat, among themselves or with what is there,
+    are refused."""
     spark = vectors.sparkSession
     try:
         there = spark.read.parquet(path).select(key)
-    except Exception:  # no collection yet
-        there = None
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = None  # no collection yet
     every = vectors.select(key) if there is None else vectors.select(key).unionByName(there)
     if not repeated_ids(every, key).isEmpty():
         raise ValueError("repeated ids in the collection")
     vectors.write.mode("append").parquet(path)
+    return spark.read.parquet(path).count()
 
 
 def without(vectors: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:

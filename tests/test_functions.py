@@ -52,6 +52,7 @@ def test_other_scores(spark):
     assert tuple(one(spark, scores.type_scores(F.col("p"), F.col("r")), p=[], r=[])) == (0.0, 0.0, 0.0)
     assert tuple(one(spark, scores.ocr_text(F.lit(""), F.lit("x")))) == (0.0, 1.0, 0.0)
     assert tuple(one(spark, scores.value_redaction(F.col("v"), F.lit("a b"), F.lit("[X] b")), v=["a", "b"])) == (1, 1)
+    assert tuple(one(spark, scores.value_redaction(F.col("v"), F.lit("a b"), F.lit("[X] b"), F.array(F.lit("a"), F.lit("z"))), v=["a", "b"])) == (1, 1, 1)
 
 
 def test_text(spark):
@@ -133,3 +134,9 @@ def test_difflib_is_the_table_score():
     assert table_similarity([], []) == 1.0 and table_similarity(["a"], []) == 0.0
     a, b = list("abcabba"), list("cbabac")
     assert table_similarity(a, b) == round(difflib.SequenceMatcher(None, a, b).ratio(), 4)
+
+
+def test_table_cells_are_redacted(spark):
+    t = F.array(F.struct(F.lit(2).alias("page"), F.array(F.struct(F.lit(0).alias("row"), F.lit(1).alias("col"), F.lit("mail a.b@example.test").alias("text"))).alias("cells")))
+    r = spark.range(1).select(redaction.redact_cells(t).alias("r"), redaction.redact_cells(F.lit(None).cast("array<struct<page:int,cells:array<struct<row:int,col:int,text:string>>>>")).alias("e")).first()
+    assert "example" not in r.r.tables[0].cells[0].text and (r.r.pii_spans[0].block_page, r.r.pii_spans[0].col) == (2, 1) and r.e.tables == []

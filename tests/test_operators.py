@@ -28,8 +28,9 @@ def test_frontier_is_the_definition(spark, points):
 
 
 def test_p95(spark):
-    r = spark.range(1, 197).select(F.col("id").cast("double").alias("x")).agg(stats.p95_floor_minus1(F.col("x")), stats.p95_floor(F.col("x")), stats.p95_linear(F.col("x"))).first()
-    assert tuple(r) == (186.0, 187.0, 186.25)
+    rows = spark.range(1, 197).select(F.col("id").cast("double").alias("x"), F.lit(None).cast("string").alias("g"))
+    r = tuple(stats.latency_stats(rows, ["g"], "x", kind).first()["p95"] for kind in ("floor_minus1", "floor", "linear"))
+    assert tuple(r) == (186.0, 187.0, 186.3)
 
 
 def test_strata(spark):
@@ -187,3 +188,53 @@ def test_bootstrap(spark):
     df = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 2).alias("d"))
     r = stats.bootstrap_interval(df, "d").first()
     assert r.n == 200 and r.ci_low < 0.5 < r.ci_high
+
+
+def test_chunks_are_cut_as_described():
+    assert chunking.split_recursive("ab " * 5, 6, 0) == ["ab ab ", "ab ab ", "ab "]
+    assert chunking.split_recursive("ab " * 5, 6, 2) == ["ab ab ", "b b b b ab ab ", "b b b b ab "]
+    # a long line is cut at the next level, the chunk before takes its beginning's tail along, tails are added once a level
+    assert chunking.split_recursive("head\nxxxxxx yyyyyy", 8, 2) == ["head\nx ", "x x xxxxxx ", "x x x x yyyyyy"]
+    assert chunking.split_recursive("a" * 7, 3, 0) == ["aaa", "aaa", "a"] and chunking.split_recursive(" \n\n ", 1, 0) == []
+
+
+def test_embedding_hook(spark):
+    def make():
+        def encode(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no")
+            return [[len(t), 1] for t in texts]
+
+        return encode
+
+    rows = spark.createDataFrame([(1, "ab"), (2, None), (3, "bad")], "id int, text string").coalesce(1)
+    got = {r.id: (r.embedding, r.embedding_error) for r in models.embed(rows, "text", make, prefix="q:", batch=1).collect()}
+    assert got == {1: ([4.0, 1.0], None), 2: ([2.0, 1.0], None), 3: (None, "RuntimeError: no")}
+
+
+def test_small_log_operators(spark):
+    rows = spark.createDataFrame([(2, "A", " "), (1, "B", "x?"), (3, "A", None)], "line int, config string, question string")
+    assert [r.line for r in logs.first_rows(rows, "line", 2).collect()] == [1, 2] and [r.line for r in logs.with_question(rows).collect()] == [1]
+    assert logs.known_configurations(rows, ["A", "B"]).count() == 3
+    with pytest.raises(ValueError, match="B"):
+        logs.known_configurations(rows, ["A"])
+    hits = spark.createDataFrame([("a", 1, 0, 0), ("b", 1, 1, 0)], "field string, tp int, fp int, fn int")
+    assert stats.macro_f1(hits, "field").first().macro_f1 == round((1 + 0.6667) / 2, 4)
+
+
+def test_compression_keeps_whole_sentences(spark):
+    docs = spark.createDataFrame([(1, "the cat sat. the dog sat. quantum flux rises. the cat sat.")], "id int, t string")
+    r = models.compress_offline(docs, "id", "t", 0.3).first()
+    assert r.origin_tokens == 12 and "quantum flux rises." in r.text and r.compressed_tokens == len(r.text.split())
+
+
+def test_frontier_over_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    points = [(i, rng.choice("xy"), rng.randint(0, 60), rng.randint(0, 60)) for i in range(400)]
+    df = spark.createDataFrame(points, "id int, g string, c int, q int").repartition(5)
+    for by in (None, ["g"]):
+        got = {(r.g if by else "", r.c, r.q) for r in pareto.frontier(df, "c", "q", "id", by).collect()}
+        of = lambda p: p[1] if by else ""
+        assert got == {(of(p), p[2], p[3]) for p in points if not any(of(o) == of(p) and o[2] <= p[2] and o[3] >= p[3] and (o[2], o[3]) != (p[2], p[3]) for o in points)}
