@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalloom.functions.scores import multiset_overlap
 from evalloom.functions.text import bracketed_chunks, key_values, normal_text, tokens
 from evalloom.operators.retrieval import tfidf_sentences
 from evalloom.session import ship
@@ -64,12 +65,33 @@ def stub_answer(question: Column, prompt: Column) -> Column:
     )
 
 
+NUMBER = r"[-+]?[0-9][0-9,]*(?:\.[0-9]+)?"
+
+
+def _numbers(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit("")).cast("double"))
+
+
 def heuristic_verdict(pred: Column, ref: Column) -> Column:
-    """A deterministic judge: equal, contained, or a token F1 of one half is correct; nothing to judge is ambiguous."""
-    p, r = normal_text(pred), normal_text(ref)
-    a, b = F.array_distinct(tokens(pred)), F.array_distinct(tokens(ref))
-    f1 = 2 * F.size(F.array_intersect(a, b)) / F.greatest(F.size(a) + F.size(b), F.lit(1))
-    return F.when((p == "") | (r == ""), "ambiguous").when((p == r) | F.contains(p, r) | (f1 >= 0.5), "correct").otherwise("incorrect")
+    """A deterministic judge; nothing to judge is ambiguous.
+
+    A reference of yes or no asks for that as the first word, one that is a number (a percent sign may follow) for that number
+    anywhere; else correct is what equals or contains the reference, or shares half of the tokens (F1 of one half).
+    """
+    terms = F.struct(normal_text(pred).alias("p"), normal_text(ref).alias("r"), tokens(pred).alias("a"), tokens(ref).alias("b"))
+
+    def judged(x: Column) -> Column:
+        p, r, a, b = (x[c] for c in "prab")
+        alike = (p == r) | F.contains(p, r) | (4 * multiset_overlap(a, b) >= F.size(a) + F.size(b))
+        right = (
+            F.when(r.rlike(r"^(yes|no)[.!]?$"), F.get(a, F.lit(0)) == F.get(b, F.lit(0)))
+            .when(r.rlike(f"^{NUMBER}%?$"), F.array_contains(_numbers(p), F.get(_numbers(r), F.lit(0))))
+            .otherwise(alike)
+        )
+        return F.when((p == "") | (r == ""), "ambiguous").when(right, "correct").otherwise("incorrect")
+
+    # bound once: each use below would cut the texts again
+    return F.transform(F.array(terms), judged)[0]
 
 
 # --- replies ---

@@ -1,12 +1,18 @@
-"""Embedding, vector search, BM25 re-ranking, TF-IDF sentence selection; all in the JVM."""
+"""Embedding, vector search and BM25 re-ranking in the JVM; TF-IDF sentence selection in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.functions.text import words
-from evalloom.session import materialize, new_path, numbered
+from evalloom.session import materialize, new_path, numbered, ship
 
 
 def pseudo_embedding(text: Column, dim: int = 384) -> Column:
@@ -99,18 +105,67 @@ def bm25(pairs: DataFrame, query_id: str, query: str, item_id: str, text: str, p
     return out.select(F.col("q_").alias(query_id), F.col("i_").alias(item_id), "score", F.row_number().over(rank).alias("rank"))
 
 
+def sentences(text: Column) -> Column:
+    """Where white space follows a full stop, exclamation or question mark, a text is cut; null and empty texts have none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda x: x != "")
+
+
+def bm25_sentences(docs: DataFrame, doc_id: str, question: str, text: str, k: int) -> DataFrame:
+    """The ``k`` sentences of each document that answer its question best by BM25, the document being the corpus:
+    (doc_id, sentence_no, sentence, score, rank). Ties keep the order of the text."""
+    cut = docs.select(doc_id, F.col(question).alias("asked_"), F.posexplode(sentences(F.col(text))).alias("sentence_no", "sentence"))
+    best = bm25(cut.withColumn("prior_no", F.col("sentence_no")), doc_id, "asked_", "sentence_no", "sentence", "prior_no").filter(F.col("rank") <= k)
+    return cut.drop("asked_").join(best, [doc_id, "sentence_no"])
+
+
+def vector_sentences(docs: DataFrame, doc_id: str, question: str, text: str, k: int) -> DataFrame:
+    """As ``bm25_sentences``, by the distance of the (stand-in) embeddings: (doc_id, sentence_no, sentence, distance, rank)."""
+    cut = docs.select(doc_id, F.col(question).alias("asked_"), F.posexplode(sentences(F.col(text))).alias("sentence_no", "sentence"))
+    far = squared_distance(pseudo_embedding(F.col("sentence")), pseudo_embedding(F.concat(F.lit("query: "), F.col("asked_"))))
+    near = Window.partitionBy(doc_id).orderBy("distance", "sentence_no")
+    return cut.select(doc_id, "sentence_no", "sentence", far.alias("distance")).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+
+
 def tfidf_sentences(docs: DataFrame, doc_id: str, text: str, k: int | None) -> DataFrame:
     """The ``k`` sentences (None: all) of each document with the largest mean tf-idf of their words, ranked.
 
-    idf is taken over the document's sentences; (doc_id, sentence_no, sentence, score, rank).
+    idf is taken over the document's sentences; one without words scores 0; (doc_id, sentence_no, sentence, score, rank). All
+    of it lies inside one row, so nothing is shuffled: the JVM cuts sentences and words, and numpy counts them for a batch of
+    documents at a time. Rows that share an id are documents apart; null texts have no sentences.
     """
-    s = docs.select(F.col(doc_id).alias("d_"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+")).alias("no_", "s_")).filter("s_ <> ''")
-    n = s.groupBy("d_").agg(F.count("*").alias("n_"))
-    w = s.select("d_", "no_", F.explode(words("s_")).alias("t_")).groupBy("d_", "no_", "t_").agg(F.count("*").alias("tf_"))
-    df = w.groupBy("d_", "t_").agg(F.count("*").alias("df_")).join(n, "d_")
-    scored = w.join(df, ["d_", "t_"]).groupBy("d_", "no_").agg((F.sum(F.col("tf_") * F.log((1 + F.col("n_")) / (1 + F.col("df_")))) / F.sum("tf_")).alias("score"))
-    out = s.join(scored, ["d_", "no_"])
-    rank = Window.partitionBy("d_").orderBy(F.desc(F.round("score", 9)), "no_")
-    ranked = out.withColumn("rank", F.row_number().over(rank))
-    ranked = ranked if k is None else ranked.filter(F.col("rank") <= k)
-    return ranked.select(F.col("d_").alias(doc_id), F.col("no_").alias("sentence_no"), F.col("s_").alias("sentence"), F.round("score", 6).alias("score"), "rank")
+    ship(docs.sparkSession)
+    cut = docs.select(doc_id, sentences(F.col(text)).alias("sentences")).select(doc_id, "sentences", F.transform("sentences", words).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, no, score, rank = _sentence_ranks(batch.column(1), batch.column(2))
+            best = np.arange(len(doc)) if k is None else np.flatnonzero(rank <= k)
+            said = pa.array(best)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(doc[best])), pa.array(no[best], pa.int32()), batch.column(1).flatten().take(said), pa.array(score[best]), pa.array(rank[best], pa.int32())],
+                names=[doc_id, "sentence_no", "sentence", "score", "rank"],
+            )
+
+    more = (("sentence_no", T.IntegerType()), ("sentence", T.StringType()), ("score", T.DoubleType()), ("rank", T.IntegerType()))
+    ranked = cut.mapInArrow(run, T.StructType([cut.schema[0], *(T.StructField(n, t) for n, t in more)]))
+    return ranked.withColumn("score", F.round("score", 6))
+
+
+def _sentence_ranks(sentences: pa.ListArray, said: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, number, score and rank (from 1) of each sentence of a batch; equal scores rank by number."""
+    sizes = pc.list_value_length(sentences).to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row = np.arange(len(doc))
+    each = said.flatten()
+    coded = each.flatten().dictionary_encode()
+    n_words = max(1, len(coded.dictionary))
+    at = np.repeat(row, pc.list_value_length(each).to_numpy(zero_copy_only=False))
+    pair, tf = np.unique(at * n_words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    at, word = pair // n_words, pair % n_words
+    _, which, df = np.unique(doc[at] * n_words + word, return_inverse=True, return_counts=True)
+    idf = np.log((1 + sizes[doc[at]]) / (1 + df[which]))
+    score = np.bincount(at, tf * idf, len(doc)) / np.maximum(np.bincount(at, tf, len(doc)), 1)
+    rank = np.empty(len(doc), np.int64)
+    rank[np.lexsort((row, -np.round(score, 9), doc))] = row - first + 1
+    return doc, row - first, score, rank

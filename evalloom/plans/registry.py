@@ -373,7 +373,13 @@ def bm25_rerank(spark, sf):  # noqa: ANN001, ANN201
     return retrieval.bm25(pairs.withColumn("prior", F.col("turn")), "conv_id", "question", "turn", "text", "prior").select("conv_id", "turn", F.round("score", 4).alias("score"))
 
 
-@query()
+SENTENCES_SQL = r"""s AS (SELECT doc_id, unnest(x) AS sentence, unnest(range(len(x))) AS no FROM (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> '') AS x FROM documents)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), w AS (SELECT doc_id, no, t, count(*) AS tf FROM (SELECT doc_id, no, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}_]+')) AS t FROM s) GROUP BY ALL),
+    f AS (SELECT doc_id, t, ln((1 + any_value(n)) / (1 + count(*))) AS idf FROM w JOIN n USING (doc_id) GROUP BY ALL), c AS (SELECT doc_id, no, sum(tf * idf) / sum(tf) AS score FROM w JOIN f USING (doc_id, t) GROUP BY ALL),
+    r AS (SELECT doc_id, no, sentence, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(score, 0), 9) DESC, no) AS rank FROM s LEFT JOIN c USING (doc_id, no))"""
+
+
+@query(f"WITH {SENTENCES_SQL} SELECT doc_id, no::INT AS sentence_no, sentence, round(score, 6) AS score, rank::INT AS rank FROM r WHERE rank <= 10")
 def tfidf_preselect(spark, sf):  # noqa: ANN001, ANN201
     return retrieval.tfidf_sentences(table(spark, sf, "documents"), "doc_id", "text", 10)
 
@@ -396,9 +402,9 @@ def fence_strip(spark, sf):  # noqa: ANN001, ANN201
     return table(spark, sf, "events").select("event_id", text.without_fence(fenced).alias("body"))
 
 
-@query("SELECT user_id, count(*) AS n, max(ts) AS last_ts, arg_max(event_id, ts) AS last_event FROM events GROUP BY 1")
+@query("SELECT user_id, count(*) AS n, max(ts) AS last_ts, -(arg_max(-event_id, (ts, -event_id))) AS last_event FROM events GROUP BY 1")
 def audit_latest_by_case(spark, sf):  # noqa: ANN001, ANN201
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.max_by("event_id", "ts").alias("last_event"))
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"), F.max_by("event_id", F.struct("ts", -F.col("event_id"))).alias("last_event"))
 
 
 @query(
@@ -463,12 +469,22 @@ def bootstrap_ci(spark, sf):  # noqa: ANN001, ANN201
     return stats.bootstrap_interval(table(spark, sf, "labels").select(F.col("doc_id").alias("key"), (F.col("quality") - F.col("toxic")).alias("d")), "d")
 
 
-@query()
+@query(
+    r"""WITH x AS (SELECT conv_id, turn, lower(trim(regexp_replace(a, '\s+', ' ', 'g'))) AS p, lower(trim(regexp_replace(b, '\s+', ' ', 'g'))) AS r, regexp_extract_all(lower(a), '{t}') AS ta, regexp_extract_all(lower(b), '{t}') AS tb FROM ({pairs}) WHERE b IS NOT NULL),
+    y AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(ta), lambda w: least(len(list_filter(ta, lambda u: u = w)), len(list_filter(tb, lambda u: u = w))))), 0) AS same,
+    list_transform(regexp_extract_all(p, '{n}'), lambda u: replace(u, ',', '')::DOUBLE) AS np, list_transform(regexp_extract_all(r, '{n}'), lambda u: replace(u, ',', '')::DOUBLE) AS nr FROM x)
+    SELECT conv_id, turn, CASE WHEN p = '' OR r = '' THEN 'ambiguous' WHEN CASE WHEN regexp_full_match(r, '(yes|no)[.!]?') THEN ta[1] = tb[1] WHEN regexp_full_match(r, '{n}%?') THEN list_contains(np, nr[1])
+    ELSE p = r OR contains(p, r) OR 4 * same >= len(ta) + len(tb) END THEN 'correct' ELSE 'incorrect' END AS verdict FROM y""".format(t=r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]", n=models.NUMBER, pairs=PAIRS_SQL)
+)
 def heuristic_judge(spark, sf):  # noqa: ANN001, ANN201
     return turn_pairs(spark, sf).select("conv_id", "turn", models.heuristic_verdict(F.col("text"), F.col("next")).alias("verdict"))
 
 
-@query()
+@query(
+    rf"""WITH {SENTENCES_SQL}, l AS (SELECT doc_id, rank, len(regexp_extract_all(sentence, '[^ \t\n\x0B\f\r]+')) AS words FROM r),
+    b AS (SELECT doc_id, words, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, sum(words) OVER (PARTITION BY doc_id) AS every FROM l)
+    SELECT doc_id, any_value(every)::BIGINT AS origin_tokens, sum(words)::BIGINT AS compressed_tokens, round(any_value(every) / sum(words), 4) AS compress_ratio FROM b WHERE ahead < 0.5 * every GROUP BY 1"""
+)
 def compress_offline(spark, sf):  # noqa: ANN001, ANN201
     return models.compress_offline(table(spark, sf, "documents"), "doc_id", "text", 0.5).select("doc_id", "origin_tokens", "compressed_tokens", "compress_ratio")
 

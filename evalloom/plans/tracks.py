@@ -5,6 +5,8 @@ Each configuration sees the raw text; retrieval happens once a question, before
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +132,36 @@ def summary_track2(scored: DataFrame) -> DataFrame:
     return scored.groupBy("config").agg(F.count("*").alias("n_cases"), F.count_if("is_refusable").alias("n_refusal"), *[F.round(F.avg(c), k).alias(f"avg_{c}") for c, k in means.items()], F.round(stats.mean_where(F.col("refusal_accuracy"), F.col("is_refusable")), 4).alias("refusal_accuracy"))
 
 
+def ask(asked: DataFrame, chunks: DataFrame, top_k: int = 8, variant: str = "A", make: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+    """Answers to questions: retrieve, re-rank, prompt, call, parse.
+
+    asked (query_id, question[, case_id]), chunks (chunk_id, text, vec[, case_id]); a case_id in both limits the search to its
+    own chunks. Returns (query_id, question, chunks, answer, citations, refused, refusal_reason, reply, error). Without a model
+    the answer is a mark with the first three chunks cited; a reply that is no JSON object is the answer itself; a question
+    without chunks is asked with none.
+    """
+    own = "case_id" if {"case_id"} <= set(asked.columns) & set(chunks.columns) else None
+    more = [own] if own else []
+    queries = asked.select("query_id", retrieval.pseudo_embedding(F.concat(F.lit("query: "), F.col("question"))).alias("query_vec"), *more)
+    near = retrieval.vector_top_k_in_blocks(queries, chunks.select(F.col("chunk_id").alias("item_id"), "vec", *more), top_k, own)
+    found = near.select("query_id", "item_id", F.struct("distance", "item_id").alias("prior"))
+    pairs = materialize(found.join(asked.select("query_id", "question"), "query_id").join(chunks.select(F.col("chunk_id").alias("item_id"), "text"), "item_id"), "asked")
+    ranked = retrieval.bm25(pairs, "query_id", "question", "item_id", "text", "prior").select("query_id", "item_id", "rank")
+    lists = pairs.join(ranked, ["query_id", "item_id"]).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("item_id").alias("chunk_id"), "text"))).alias("listed"))
+    plain = F.transform(F.coalesce("listed", F.array().cast("array<struct<rank:int,chunk_id:string,text:string>>")), lambda c: F.struct(c["chunk_id"].cast("string").alias("chunk_id"), c["text"].alias("text")))
+    rows = asked.select("query_id", "question").join(lists, "query_id", "left").select("query_id", "question", plain.alias("chunks"))
+    if make is None:
+        cited = F.transform(F.slice("chunks", 1, 3), lambda c: c["chunk_id"])
+        return rows.select("*", F.lit("[no-llm-set]").alias("answer"), cited.alias("citations"), F.lit(False).alias("refused"), *[F.lit(None).cast("string").alias(c) for c in ("refusal_reason", "reply", "error")])
+    replies = models.call_model(rows.withColumn("prompt", prompts.question(variant, F.col("question"), F.col("chunks"))), "prompt", make)
+    said = replies.withColumn("said", F.from_json("reply", "answer string, citations array<string>, refused boolean, refusal_reason string"))
+    none = F.array().cast("array<string>")
+    return said.select(
+        "query_id", "question", "chunks", F.coalesce("said.answer", "reply").alias("answer"), F.coalesce("said.citations", none).alias("citations"),
+        F.coalesce("said.refused", F.lit(False)).alias("refused"), "said.refusal_reason", "reply", "error",
+    )
+
+
 def bake_off(results: DataFrame, references: DataFrame) -> DataFrame:
     """Per provider: cases, means of valid results, text F1 and error rate against the references (case_id, text)."""
     text = F.array_join(F.transform("text_blocks", lambda b: b["text"]), "\n")

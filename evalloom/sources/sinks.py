@@ -40,6 +40,18 @@ def run_record(spark, phase: str, **more: str | None) -> DataFrame:  # noqa: ANN
     return spark.range(1).select(F.expr("uuid()").alias("run_id"), F.current_timestamp().alias("ts"), F.lit(phase).alias("phase"), *columns)
 
 
+def put_objects(objects: DataFrame, path: str) -> None:
+    """Store objects (bucket, key, payload, content_type, metadata map) with their metadata; a later put of a key replaces it."""
+    kinds = {"content_type": F.coalesce("content_type", F.lit("application/octet-stream")), "metadata": F.coalesce("metadata", F.create_map().cast("map<string,string>"))}
+    objects.select("bucket", "key", "payload", "content_type", "metadata").withColumns(kinds | {"put_at": F.current_timestamp()}).write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def stored_objects(spark, path: str) -> DataFrame:  # noqa: ANN001
+    """The last put of each key; payloads of one moment by their largest bytes."""
+    last = spark.read.parquet(path).groupBy("bucket", "key").agg(F.max_by(F.struct("payload", "content_type", "metadata", "put_at"), F.struct("put_at", "payload")).alias("o"))
+    return last.select("bucket", "key", "o.*")
+
+
 def repeated_ids(vectors: DataFrame, key: str = "chunk_id") -> DataFrame:
     return vectors.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
 

@@ -238,3 +238,67 @@ def test_frontier_over_ranges(spark):
         got = {(r.g if by else "", r.c, r.q) for r in pareto.frontier(df, "c", "q", "id", by).collect()}
         of = lambda p: p[1] if by else ""
         assert got == {(of(p), p[2], p[3]) for p in points if not any(of(o) == of(p) and o[2] <= p[2] and o[3] >= p[3] and (o[2], o[3]) != (p[2], p[3]) for o in points)}
+
+
+def test_sentence_ranks_equal_plain_counts(spark):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = [" ".join(" ".join(rng.choices("alpha beta gamma delta eps", k=rng.randint(0, 6))) + rng.choice(".!?") for _ in range(rng.randint(1, 40))) for _ in range(60)] + [None, "", "...", "no stop", "End. "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(3)
+    got = {(r.id, r.sentence_no): (r.rank, r.score) for r in retrieval.tfidf_sentences(docs, "id", "t", None).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        cut = [x for x in re.split(r"(?<=[.!?])\s+", t or "") if x]
+        said = [Counter(re.findall(r"\w+", x)) for x in cut]
+        df = Counter(w for c in said for w in c)
+        score = [sum(n * math.log((1 + len(cut)) / (1 + df[w])) for w, n in c.items()) / max(1, c.total()) for c in said]
+        for rank, no in enumerate(sorted(range(len(cut)), key=lambda k: (-round(score[k], 9), k)), 1):
+            want[i, no] = (rank, round(score[no], 6))
+    assert got.keys() == want.keys() and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 2e-6 for x in want)
+    few = retrieval.tfidf_sentences(docs, "id", "t", 2).collect()
+    assert {(r.id, r.sentence_no) for r in few} == {x for x, (rank, _) in want.items() if rank <= 2}
+
+
+def test_heuristic_judge_rules(spark):
+    cases = [
+        ("Yes, it is.", "yes", "correct"), ("No.", "yes", "incorrect"), ("the answer is 1,250 km", "1250", "correct"), ("125", "1250", "incorrect"), ("about 12.50 %", "12.5%", "correct"),
+        ("it was Paris then", "Paris", "correct"), ("a b c x", "a b c d", "correct"), ("a a a a", "a b c d", "incorrect"), ("", "x", "ambiguous"), (None, "x", "ambiguous"), ("x", None, "ambiguous"),
+    ]
+    rows = spark.createDataFrame(cases, "p string, r string, want string").withColumn("got", models.heuristic_verdict(F.col("p"), F.col("r")))
+    assert [(r.p, r.r, r.got) for r in rows.collect()] == cases
+
+
+def test_sentences_for_a_question(spark):
+    docs = spark.createDataFrame([(1, "quantum flux", "The cat sat. Quantum flux rises. A dog. Rain falls today. We eat."), (2, "x", None)], "id int, q string, t string")
+    best = retrieval.bm25_sentences(docs, "id", "q", "t", 1).collect()
+    assert [(r.id, r.sentence_no, r.sentence) for r in best] == [(1, 1, "Quantum flux rises.")] and best[0].score > 0
+    near = retrieval.vector_sentences(docs, "id", "q", "t", 3).collect()
+    assert sorted(r.rank for r in near) == [1, 2, 3] and all(r.id == 1 for r in near)
+
+
+def test_ask(spark):
+    from evalloom.plans import tracks
+
+    chunks = [("a", f"c{i}", t) for i, t in enumerate(["price is high", "color red", "battery size", "door count"])] + [("b", "d0", "other price")]
+    chunks = spark.createDataFrame(chunks, "case_id string, chunk_id string, text string").withColumn("vec", retrieval.pseudo_embedding(F.col("text")))
+    asked = spark.createDataFrame([(1, "a", "which color"), (2, "b", "the price"), (3, "none", "what")], "query_id int, case_id string, question string")
+    plain = {r.query_id: r for r in tracks.ask(asked, chunks).collect()}
+    assert plain[1].citations[0] == "c1" and len(plain[1].citations) == 3 and plain[1].answer == "[no-llm-set]"
+    assert plain[2].citations == ["d0"] and plain[3].citations == [] and not plain[3].refused
+
+    def make():
+        def reply(prompt):
+            if "which color" in prompt:
+                return '{"answer": "red", "citations": ["c1"], "refused": false}'
+            if "the price" in prompt:
+                return "just text"
+            raise RuntimeError("down")
+
+        return reply
+
+    said = {r.query_id: r for r in tracks.ask(asked, chunks, make=make).collect()}
+    assert (said[1].answer, said[1].citations, said[2].answer, said[3].answer) == ("red", ["c1"], "just text", None) and "down" in said[3].error

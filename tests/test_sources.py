@@ -124,3 +124,12 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("limited").first().refused == 1
     assert incremental.first_per_key(incremental.stream_files(spark, schema, str(source)), "case_id", "ts").isStreaming
+
+
+def test_objects_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "objects")
+    schema = "bucket string, key string, payload binary, content_type string, metadata map<string,string>"
+    sinks.put_objects(spark.createDataFrame([("b", "k", bytearray(b"1"), None, None), ("b", "l", bytearray(b"x"), "text/plain", {"a": "1"})], schema), path)
+    sinks.put_objects(spark.createDataFrame([("b", "k", bytearray(b"0"), "text/plain", {"v": "2"})], schema), path)
+    got = {r.key: r for r in sinks.stored_objects(spark, path).collect()}
+    assert (bytes(got["k"].payload), got["k"].metadata, got["l"].content_type) == (b"0", {"v": "2"}, "text/plain") and len(got) == 2
