@@ -69,17 +69,23 @@ STRICT_PATTERNS = PATTERNS | {"cccd": r"(?<![\d.,:] )\b(?:\d{12})\b", "phone_vn"
 
 
 def _matches(text: Column, pattern: str, priority: int, name: str, action: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    ahead = F.aggregate(
-        F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.array_append(s["spans"], F.struct((s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.lit(priority).alias("priority"), F.lit(name).alias("type"), x["hit"].alias("value"), F.lit(action).alias("action"))).cast(SPAN).alias("spans"),
-        ),
-    )
-    return F.when(F.size(found) > 0, ahead["spans"]).otherwise(F.array().cast(SPAN))
+    none = F.array().cast(SPAN)
+
+    def placed(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        ahead = F.aggregate(
+            F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),
+            F.struct(F.lit(0).alias("at"), none.alias("spans")),
+            lambda s, x: F.struct(
+                (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
+                F.array_append(s["spans"], F.struct((s["at"] + F.length(x["gap"])).alias("start"), (s["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), F.lit(priority).alias("priority"), F.lit(name).alias("type"), x["hit"].alias("value"), F.lit(action).alias("action"))).cast(SPAN).alias("spans"),
+            ),
+        )
+        return F.when(F.size(hits) > 0, ahead["spans"]).otherwise(none)
+
+    # the hits are bound once; only a text that has some is split, too
+    found = F.transform(F.array(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), placed)[0]
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(none) if "@" in pattern else found
 
 
 def spans(text: Column, policy: Policy = DEFAULT, patterns: dict[str, str] = PATTERNS) -> Column:

@@ -20,22 +20,31 @@ def _count(array: Column, test: Callable[[Column], Column]) -> Column:
 
 def field_f1(pred: Column, ref: Column) -> Column:
     """Over the union of both maps' keys: equal values are hits; a differing value is a miss on both sides."""
-    p = F.coalesce(pred, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    r = F.coalesce(ref, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
-    keys = F.array_union(F.map_keys(p), F.map_keys(r))
-    sides = F.transform(keys, lambda k: F.struct(normal_value(F.try_element_at(p, k)).alias("p"), normal_value(F.try_element_at(r, k)).alias("r")))
-    tp = _count(sides, lambda s: (s["p"] != "") & (s["p"] == s["r"]))
-    fp = _count(sides, lambda s: (s["p"] != "") & (s["p"] != s["r"]))
-    fn = _count(sides, lambda s: (s["r"] != "") & (s["p"] != s["r"]))
-    precision, recall = tp / F.greatest(tp + fp, F.lit(1)), tp / F.greatest(tp + fn, F.lit(1))
-    none = F.size(keys) == 0
-    return F.struct(
-        F.when(none, 1.0).otherwise(F.bround(_f1(precision, recall), 4)).alias("field_f1"),
-        F.when(none, 1.0).otherwise(F.bround(precision, 4)).alias("field_precision"),
-        F.when(none, 1.0).otherwise(F.bround(recall, 4)).alias("field_recall"),
-        tp.cast("long").alias("field_n_correct"),
-        F.size(keys).cast("long").alias("field_n_total"),
-    )
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+    def sides(m: Column) -> Column:
+        keys = F.array_union(F.map_keys(m["p"]), F.map_keys(m["r"]))
+        return F.transform(keys, lambda k: F.struct(normal_value(F.try_element_at(m["p"], k)).alias("p"), normal_value(F.try_element_at(m["r"], k)).alias("r")))
+
+    def counted(s: Column) -> Column:
+        tp = _count(s, lambda x: (x["p"] != "") & (x["p"] == x["r"]))
+        fp = _count(s, lambda x: (x["p"] != "") & (x["p"] != x["r"]))
+        fn = _count(s, lambda x: (x["r"] != "") & (x["p"] != x["r"]))
+        return F.struct(tp.alias("tp"), (tp / F.greatest(tp + fp, F.lit(1))).alias("precision"), (tp / F.greatest(tp + fn, F.lit(1))).alias("recall"), F.size(s).alias("n"))
+
+    def scored(c: Column) -> Column:
+        share = lambda x: F.when(c["n"] == 0, 1.0).otherwise(F.bround(x, 4))
+        return F.struct(
+            share(_f1(c["precision"], c["recall"])).alias("field_f1"),
+            share(c["precision"]).alias("field_precision"),
+            share(c["recall"]).alias("field_recall"),
+            c["tp"].cast("long").alias("field_n_correct"),
+            c["n"].cast("long").alias("field_n_total"),
+        )
+
+    # each step is bound once: a use of an unbound expression inside a lambda would run it again
+    maps = F.struct(F.coalesce(pred, empty).alias("p"), F.coalesce(ref, empty).alias("r"))
+    return F.transform(F.transform(F.transform(F.array(maps), sides), counted), scored)[0]
 
 
 def schema_conformance(pred: Column, ref: Column) -> Column:
