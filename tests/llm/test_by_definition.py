@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalloom.llm import mixing, packing, quality_classifier, toxicity
+from evalloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_filters import WORD
 
 
@@ -132,3 +133,16 @@ def test_stages_on_odd_tables(spark, small, docs, no_docs, name, stage):
     assert all((r.score, r.n_words) == ("x", "y") for r in rows)
     if name == "n-gram jaccard join":
         assert {103, 104, 105} <= {r.doc_id for r in rows} and not {101, 102} & {r.doc_id for r in rows}
+
+
+def test_archive_query_is_its_sql(spark, tmp_path):
+    import duckdb
+
+    pages = [(1, "u", "<p>a</p>"), (2, "u", "é" * 500), (3, None, None), (4, "v", "<p>a</p>"), (5, "v", ""), (6, "w", "<p>a</p>"), (7, "w", "b" * 70_000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op2_warc_round_trip"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"select {', '.join(got.columns)} from ({ORACLE_SQL['op2_warc_round_trip']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert {r[0]: r[4] for r in want} == {1: 6, 2: None, 3: 5, 4: 6, 5: None, 6: None, 7: None}
