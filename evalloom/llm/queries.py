@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, token_files, toxicity, warc
-from evalloom.llm.common import materialize, table
+from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, runs, token_files, toxicity, warc
+from evalloom.llm.common import bound, materialize, table, text_or_empty, word_array
 
 
 def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,34 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.with_runs(_partly_repeated(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    top, decimal = F.col("top_run"), lambda r, name: r[name].cast("string")
+    lines = F.transform("runs", lambda r: F.concat(decimal(r, "start"), F.lit(","), decimal(r, "length"), F.lit(","), decimal(r, "period"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        top["start"].alias("start"),
+        top["length"].alias("length"),
+        top["period"].alias("period"),
+        F.expr("1000 * top_run.length div top_run.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def _partly_repeated(docs: DataFrame) -> DataFrame:
+    """Every tenth document by the CRC-32 of its id repeats some of its words to its end, as the query's definition says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10)))
+    docs = bound(docs, words=F.when(F.col("g").isNotNull(), word_array(text_or_empty("text"))))
+    n, g = F.size("words").cast("long"), F.col("g")
+    docs = bound(docs, a=F.when(n > 0, g % n), p=F.when(n > 0, 1 + F.floor((n - g % n) / (3 + g % 8))))
+    a, p, i = F.col("a"), F.col("p"), lambda k: k.cast("long")
+    from_place = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.get("words", F.when(i(k) < a, i(k)).otherwise(a + (i(k) - a) % p).cast("int")))
+    return docs.select("doc_id", F.when(a.isNotNull(), F.array_join(from_place, " ")).otherwise(F.col("text")).alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_sequences": op1_pack_sequences,
     "op2_warc_round_trip": op2_warc_round_trip,
@@ -69,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_extract_html": op8_extract_html,
     "op9_classify_quality": op9_classify_quality,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 #: SQL twins: the definitions, by plain joins. The other operators' results (packings, files, learned scores, sketches, seeded
 #: draws, trees) are held against brute force, round trips and held-out labels in tests/llm.
