@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, runs, token_files, toxicity, warc
+from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, runs, token_files, toxicity, vector_codes, warc
 from evalloom.llm.common import bound, materialize, table, text_or_empty, word_array
 
 
@@ -74,6 +74,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    found = vector_codes.with_label_errors(materialize(coded, "codes"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 def _partly_repeated(docs: DataFrame) -> DataFrame:
     """Every tenth document by the CRC-32 of its id repeats some of its words to its end, as the query's definition says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -98,10 +104,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_classify_quality": op9_classify_quality,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_compress_vectors": op12_compress_vectors,
 }
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Integer product quantisation by plain joins of all parts with all entries of their codebooks."""
+    near = "SELECT vec_id, p, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (SELECT vec_id, t.p, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM t JOIN b{k} b ON t.p = b.p) GROUP BY 1, 2"
+    moved = """SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT p, e, list(s ORDER BY i) AS c FROM
+      (SELECT a.p, a.e, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS s FROM a{k} a JOIN t USING (vec_id, p), unnest(range(1, len(x) + 1)) r(i) GROUP BY 1, 2, 3) GROUP BY 1, 2) m ON b.p = m.p AND b.e = m.e"""
+    steps = ", ".join(f"a{k} AS MATERIALIZED ({near.format(k=k)}), b{k + 1} AS MATERIALIZED ({moved.format(k=k)})" for k in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+t AS MATERIALIZED (SELECT vec_id, p, w[p * len(w) // 16 + 1:(p + 1) * len(w) // 16] AS x FROM v, unnest(range(16)) r(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM t WHERE vec_id IN (SELECT vec_id FROM v ORDER BY 1 LIMIT 64)),
+{steps}, z AS MATERIALIZED ({near.format(k=rounds)}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM z JOIN v USING (vec_id) GROUP BY 1, 2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM r"""
+
+
 #: SQL twins: the definitions, by plain joins. The other operators' results (packings, files, learned scores, sketches, seeded
 #: draws, trees) are held against brute force, round trips and held-out labels in tests/llm.
 ORACLE_SQL: dict[str, str] = {
+    "op12_compress_vectors": _lloyd_sql(2),
     "op2_warc_round_trip": """
 WITH b AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h FROM b),
 x AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,

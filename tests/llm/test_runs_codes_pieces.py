@@ -1,6 +1,7 @@
 """Runs, vector codes and pieces against versions that follow their definitions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.llm import runs
+from evalloom.llm import runs, vector_codes
 from evalloom.llm.queries import QUERIES
 from tests.llm.conftest import SCHEMA
 
@@ -130,3 +131,89 @@ def test_runs_keep_other_columns_and_empty_tables(spark, docs, no_docs):
     kept = {r["doc_id"]: r for r in runs.collapsed_documents(docs).collect()}
     assert kept[109]["text"] == "dup" and kept[103]["text"] is None and kept[0]["score"] == "x"
     assert kept[0]["text"] == docs.filter("doc_id = 0").first()["text"]
+
+
+def plain_codes(rows, parts=16, entries=64, rounds=2):
+    """(vec_id, code, error) of each vector and the codebooks: Lloyd in plain integers, every part against every entry."""
+    kept = [(i, label, [int(np.floor(256.0 * float(np.float32(x)))) for x in e]) for i, e, label in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    kept.sort(key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    if not kept:
+        return [], []
+    width = len(kept[0][2]) // parts
+    x = [[r[2][p * width : (p + 1) * width] for p in range(parts)] for r in kept]
+    books = [[v[p] for v in x[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((i - j) ** 2 for i, j in zip(a, b))
+    nearest = lambda v, book: min((far(v, c), e) for e, c in enumerate(book))
+    for _ in range(rounds):
+        given = [[nearest(v[p], books[p])[1] for p in range(parts)] for v in x]
+        for p in range(parts):
+            for e in range(len(books[p])):
+                own = [v[p] for v, g in zip(x, given) if g[p] == e]
+                if own:
+                    books[p][e] = [sum(c) // len(own) for c in zip(*own)]
+    final = [[nearest(v[p], books[p]) for p in range(parts)] for v in x]
+    errors = [sum(d for d, _ in f) for f in final]
+    total = {}
+    for r, e in zip(kept, errors):
+        total[r[1]] = total.get(r[1], 0) + e
+    digest = sha(",".join(str(c) for book in books for entry in book for c in entry))
+    return [(r[0], "".join(f"{e:02x}" for _, e in f), error, total[r[1]], digest) for r, f, error in zip(kept, final, errors)], books
+
+
+def vectors(rng, n, odd=True):
+    out = [(i, [float(np.float32(x)) for x in rng.normal(size=32) * rng.choice([0.001, 0.02, 1.0])], int(rng.integers(0, 3)) if rng.random() < 0.8 else None) for i in range(n)]
+    if odd:
+        out += [(n, None, 1), (n + 1, [None] * 32, 1), (n + 2, [float("nan")] + [0.0] * 31, 1), (n + 3, [float("inf")] * 32, 1), (n + 4, [0.0] * 32, 0), (n + 5, [0.0] * 32, 0), (5, [1000.0] * 32, 2), (None, [-3.5] * 32, None), (7, out[7][1], 1), (7, out[7][1], 1)]
+    return out
+
+
+EMBEDDING = "vec_id long, embedding array<float>, label int, code string"
+
+
+@pytest.mark.parametrize("n", [0, 3, 150])
+def test_codes_are_those_of_plain_lloyd(spark, tmp_path, n):
+    rows = vectors(np.random.default_rng(n), n, odd=n > 3)
+    spark.createDataFrame([(*r, "x") for r in rows], EMBEDDING).repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["op12_compress_vectors"](spark, str(tmp_path))
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(plain_codes(rows)[0], key=key)
+
+
+def test_bounds_spare_scans_and_change_nothing():
+    rng = np.random.default_rng(8)
+    x = np.rint(rng.normal(size=(4000, 2, 3)) * 40).astype(np.int64)  # many ties
+    books = np.stack([x[:64, p] for p in range(2)])
+    state, before, scans = None, None, []
+    for _ in range(6):
+        step = vector_codes.Round(books, before)
+        *state, scanned = step.assign(x, state)
+        for p in range(2):
+            best, near, second = vector_codes.scan(x[:, p], books[p])
+            assert (state[0][:, p] == best).all()
+            assert (state[1][:, p] >= np.sqrt(near) * 256 - 1e-6).all() and (state[2][:, p] <= np.sqrt(second) * 256 + 1e-6).all()
+        scans.append(scanned)
+        before, books = books, books.copy()
+        for p in range(2):
+            for e in range(64):
+                if (state[0][:, p] == e).any():
+                    books[p, e] = x[state[0][:, p] == e, p].sum(0) // (state[0][:, p] == e).sum()
+    assert scans[0] == 8000 and scans[-1] < 4000
+
+
+def test_roots_are_exact():
+    rng = np.random.default_rng(2)
+    squares = np.concatenate([np.arange(3000), np.arange(3000) ** 2, rng.integers(0, 1 << 58, 3000), rng.integers(0, 1 << 29, 2000) ** 2])
+    low, high = vector_codes._roots(squares)
+    for s, a, b in zip(squares.tolist(), low.tolist(), high.tolist()):
+        assert a == math.isqrt(s << 16) and b == a + (a * a != s << 16)
+
+
+def test_vectors_that_cannot_be_coded(spark):
+    rows = [(3, [1.0] * 16, None), (1, [], 1), (2, [0.5] * 15, 1), (4, [0.5] * 32, 1), (5, [3e38] * 16, 1), (6, [0.25] * 16, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    coded, books = vector_codes.compress(df)
+    assert {(r["vec_id"], r["error"]) for r in coded.collect()} == {(3, 0), (6, 0)} and books.shape == (16, 2, 1)
+    assert vector_codes.compress(df.drop("label"))[0].filter("label is null").count() == 2
+    with pytest.raises(ValueError):
+        vector_codes.compress(df, entries=257)
