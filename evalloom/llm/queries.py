@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, quality_classifier, quality_rules, runs, token_files, toxicity, vector_codes, warc
+from evalloom.llm import embedding_dedup, html_extract, mixing, ngram_join, packing, pieces, quality_classifier, quality_rules, runs, token_files, toxicity, vector_codes, warc
 from evalloom.llm.common import bound, materialize, table, text_or_empty, word_array
 
 
@@ -80,6 +80,18 @@ def op12_compress_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
 
 
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        hashed(F.array_join("ids", ",")).alias("ids_sha256"),
+        hashed(F.col("decoded")).alias("decoded_sha256"),
+        hashed(F.concat_ws(";", F.array_join("span_starts", ","), F.array_join("span_ends", ","))).alias("spans_sha256"),
+    )
+
+
 def _partly_repeated(docs: DataFrame) -> DataFrame:
     """Every tenth document by the CRC-32 of its id repeats some of its words to its end, as the query's definition says."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -105,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_compress_vectors": op12_compress_vectors,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.llm import runs, vector_codes
+from evalloom.llm import pieces, runs, vector_codes
 from evalloom.llm.queries import QUERIES
 from tests.llm.conftest import SCHEMA
 
@@ -217,3 +217,81 @@ def test_vectors_that_cannot_be_coded(spark):
     assert vector_codes.compress(df.drop("label"))[0].filter("label is null").count() == 2
     with pytest.raises(ValueError):
         vector_codes.compress(df, entries=257)
+
+
+def library():
+    import public_tokenizers
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+PIECE_TEXTS = ["", " ", "   ", "Hello  world\n\tx", "é日本𝒳 ok", " lead", "▁a▁", "▁▁ ▁x", "\x00a\x00", "a b <s> <unk> <0x0A> </s>", "\r\n\r\n", "tail   ", "ﬁﬃ ½ Å", "x" * 500, "ab" * 300 + "  " * 40, "﷽ก็๐ 🏳️‍🌈", "�﻿"]
+
+
+def piece_texts():
+    rng = random.Random(21)
+    letters = "abcdeghinorst ABC  \n\t.,-_▁é日本語한국어зд🙂́‍0123"
+    out = PIECE_TEXTS + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 80))) for _ in range(600)]
+    out += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(rng.randint(1, 40))) for _ in range(200)]
+    return out + [" ".join(rng.choice(["the", "of", "model", "weights", "Zürich", "antidisestablishment", "2024"]) for _ in range(400))]
+
+
+def test_pieces_spans_and_decoded_texts_are_the_librarys():
+    lib, model = library(), pieces.piece_model()
+    for t in piece_texts():
+        ids, starts, ends = model.encode(t)
+        want = lib.encode(t, return_type="proto").pieces
+        assert ids.tolist() == lib.encode(t), t
+        assert list(zip(starts.tolist(), ends.tolist())) == [(p.begin, p.end) for p in want], t
+        assert model.decode(ids) == lib.decode(lib.encode(t)), t
+        raw = t.encode()
+        assert b"".join(raw[a:b] for a, b in zip(starts, ends)) == raw
+
+
+def test_long_texts_are_cut_where_no_piece_reaches_across(monkeypatch):
+    model, rng = pieces.piece_model(), random.Random(4)
+    whole = [model.encode(t) for t in piece_texts()]
+    monkeypatch.setattr(pieces, "PART", 3)
+    for t, want in zip(piece_texts(), whole):
+        assert all((a == b).all() for a, b in zip(model.encode(t), want))
+    long = "".join(rng.choice("abcdefgh日") for _ in range(50_000))
+    assert model.encode(long)[0].tolist() == library().encode(long)
+
+
+def test_any_ids_decode_as_in_the_library():
+    lib, model, rng = library(), pieces.piece_model(), random.Random(6)
+    for _ in range(1500):
+        ids = [rng.choice([rng.randrange(32000), rng.randrange(260), rng.randrange(3, 259)]) for _ in range(rng.randint(0, 12))]
+        assert model.decode(ids) == lib.decode(ids), ids
+
+
+@pytest.mark.parametrize(("prefix", "squeeze", "escape"), [(True, True, True), (False, False, True), (True, False, False), (False, True, True)])
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_compiled_map_normalises_as_the_library(rule, prefix, squeeze, escape):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=prefix, remove_extra_whitespaces=squeeze, escape_whitespaces=escape)
+    spec = next(dict(pieces._fields(v)) for f, v in pieces._fields(lib.serialized_model_proto()) if f == 3)
+    own = pieces.Normalizer({**spec, 3: int(prefix), 4: int(squeeze), 5: int(escape)})
+    for t in [*piece_texts(), "ｶﾞＡ  ﾊﾟ", " 　 a  b ", "Straße ΑΣ"]:
+        normal, source = own(t)
+        want, offsets = lib.normalize(t, with_offsets=True)
+        assert normal == want, t
+        ends = np.cumsum([0, *(len(c.encode()) for c in normal)])
+        raw = t.encode()
+        assert [len(raw[:k].decode(errors="ignore")) for k in source[ends]] == offsets, t
+
+
+def test_pieces_query(spark, tmp_path, docs, no_docs):
+    lib = library()
+    rows = [(i, t) for i, t in enumerate(piece_texts())] + [(None, "no id"), (3, None), (3, "again"), (3, "again"), (9999, "long words here " * 60_000)]
+    spark.createDataFrame([(a, b, "en", "s", 0, "x", "y") for a, b in rows], SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op13_sentence_pieces"](spark, str(tmp_path)).drop("spans_sha256").collect()
+    want = [(i, len(ids := lib.encode(t or "")), sha(",".join(map(str, ids))), sha(lib.decode(ids))) for i, t in rows]
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    assert pieces.with_pieces(no_docs).count() == 0
+    out = pieces.with_pieces(docs.withColumn("ids", F.lit("clash")))
+    assert out.columns == [*docs.columns, "ids", "span_starts", "span_ends", "decoded"]
+    assert out.filter("doc_id = 0").first()["decoded"] == docs.filter("doc_id = 0").first()["text"]
