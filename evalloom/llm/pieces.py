@@ -39,6 +39,9 @@ from evalloom.session import ship
 
 SPACE = "▁"
 PART = 1 << 20
+#: Stretches up to this many characters are remembered; up to FEW they are merged without a heap.
+LONGEST, FEW = 64, 40
+NONE = float("inf")
 RESULTS = "ids array<int>, span_starts array<int>, span_ends array<int>, decoded string"
 # Kinds of pieces and numbers of fields of a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -165,10 +168,26 @@ class Normalizer:
         return out.decode(), np.array([*places, end], np.int32)
 
 
+class _Known(dict):
+    """Stretches and their ids; a new one is merged when it is first looked up. Cleared when it is full."""
+
+    def __init__(self, model: PieceModel, most: int):
+        super().__init__()
+        self.model, self.most = model, most
+
+    def __missing__(self, stretch: str) -> bytes:
+        ids = self.model.merged(stretch)
+        if len(stretch) <= LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[stretch] = ids
+        return ids
+
+
 class PieceModel:
     """Pieces of texts under a model file; what is remembered of merged stretches is bounded by ``most``."""
 
-    def __init__(self, data: bytes, most: int = 300_000):
+    def __init__(self, data: bytes, most: int = 1_000_000):
         pieces, trainer, spec = [], {}, {}
         for field, value in _fields(data):
             if field == 1:
@@ -186,9 +205,12 @@ class PieceModel:
         scores = [float(np.frombuffer(p.get(2, b"\0\0\0\0"), "<f4")[0]) for p in pieces]
         self.id_of = {w: i for i, (w, kind) in enumerate(zip(self.names, self.kinds)) if kind == NORMAL}
         self.order = {w: -scores[i] for w, i in self.id_of.items()}
-        self.byte_id = {int(w[3:-1], 16): i for i, (w, kind) in enumerate(zip(self.names, self.kinds)) if kind == BYTE}
+        four = lambda i: i.to_bytes(4, "little")
+        self.bytes_of = {w: four(i) for w, i in self.id_of.items()}
+        byte_id = {int(w[3:-1], 16): i for i, (w, kind) in enumerate(zip(self.names, self.kinds)) if kind == BYTE}
+        self.byte_bytes = {byte: four(i) for byte, i in byte_id.items()}
         self.byte_of = np.full(len(pieces), -1, np.int16)
-        for byte, i in self.byte_id.items():
+        for byte, i in byte_id.items():
             self.byte_of[i] = byte
         self.size = np.array([len(w.encode()) for w in self.names], np.int32)
         self.surface = [{UNKNOWN: self.unknown, CONTROL: b"", BYTE: bytes([max(0, int(self.byte_of[i]))])}.get(kind, w.replace(SPACE, " ").encode()) for i, (w, kind) in enumerate(zip(self.names, self.kinds))]
@@ -198,7 +220,7 @@ class PieceModel:
         inside = f"[{re.escape(alphabet)}]" if alphabet else "(?!)"
         self.stretch = re.compile(f"{SPACE}+{inside}*|{inside}+|.", re.DOTALL)
         self.cut = re.compile(f"(?<=[^{SPACE}]){SPACE}")
-        self.most, self.known = most, {}
+        self.known = _Known(self, most)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first byte, end byte) of the pieces of a text; bytes count in its UTF-8 form."""
@@ -223,21 +245,34 @@ class PieceModel:
         return ids, source[ends[:-1]], source[ends[1:]]
 
     def _ids(self, normal: str) -> np.ndarray:
-        out: list[int] = []
-        known = self.known
-        for stretch in self.stretch.findall(normal):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = self._merged(stretch)
-                if len(stretch) <= 64:
-                    if len(known) >= self.most:
-                        known.clear()
-                    known[stretch] = ids
-            out += ids
-        return np.array(out, np.int32)
-
-    def _merged(self, stretch: str) -> list[int]:
-        order, symbols = self.order, list(stretch)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.stretch.findall(normal))), "<i4")
+
+    def merged(self, stretch: str) -> bytes:
+        """The ids of a stretch, four bytes each."""
+        symbols = self._few(list(stretch)) if len(stretch) <= FEW else self._many(list(stretch))
+        found = [self.bytes_of.get(s) or b"".join([self.byte_bytes[b] for b in s.encode()]) for s in symbols]
+        return b"".join(found)
+
+    def _few(self, symbols: list[str]) -> list[str]:
+        """Join the pair that comes first in the order, leftmost of equal ones, until none is known: short stretches."""
+        at = self.order.get
+        places = [at(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while places:
+            best = min(places)
+            if best is NONE:
+                break
+            k = places.index(best)
+            symbols[k] += symbols.pop(k + 1)
+            del places[k]
+            if k:
+                places[k - 1] = at(symbols[k - 1] + symbols[k], NONE)
+            if k < len(places):
+                places[k] = at(symbols[k] + symbols[k + 1], NONE)
+        return symbols
+
+    def _many(self, symbols: list[str]) -> list[str]:
+        """The same with a heap and links between neighbours: n log n in the length of the stretch."""
+        order = self.order
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
         heap: list[tuple[float, int, int, int]] = []
 
@@ -261,12 +296,7 @@ class PieceModel:
                 before[after[b]] = a
             offer(before[a], a)
             offer(a, after[a])
-        ids: list[int] = []
-        for s in symbols:
-            if s:
-                i = self.id_of.get(s)
-                ids += [i] if i is not None else [self.byte_id[b] for b in s.encode()]
-        return ids
+        return [s for s in symbols if s]
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         ids = list(ids) if isinstance(ids, list) else ids.tolist()
