@@ -1,47 +1,27 @@
-"""Aggregates of run logs: plain groupBy aggregates with partial sums; ranks come from counts of distinct values."""
+"""Aggregates of run logs: plain groupBy aggregates with partial sums; exact ranks come from ``ranks``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rank (from 1) of a 95 % point among n values; "linear" interpolates instead.
-RANKS: dict[str, Callable[[Column], Column]] = {
-    "floor": lambda n: F.least(n, F.floor(0.95 * n) + 1),
-    "floor_minus1": lambda n: F.greatest(F.lit(1), F.floor(0.95 * n)),
-}
-
+from evalloom.operators.ranks import MEDIAN, RANKS, exact_ranks, joined, linear, linear_of, median_of
 
-def ranked_values(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """(by, n_, and for each name the value at the rank that its function gives for n) of each group; null values are left out.
-
-    Equal values meet in partial counts first; a running sum over the distinct ones, which can spill, finds the ranks, so no
-    group is gathered in one row.
-    """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("x_")).agg(F.count(F.lit(1)).alias("c_"))
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = counts.withColumns({"upto_": F.sum("c_").over(own.orderBy("x_").rowsBetween(Window.unboundedPreceding, 0)), "n_": F.sum("c_").over(own)})
-    return upto.groupBy(*by).agg(F.max("n_").alias("n_"), *[F.min(F.when(F.col("upto_") >= rank(F.col("n_")), F.col("x_"))).alias(name) for name, rank in ranks.items()])
 
-
-def _with_p95(summary: DataFrame, rows: DataFrame, by: list[str], value: str, p95: str) -> DataFrame:
-    """Add p95_ to a table of one row a group."""
-    at = ranked_values(rows, by, value, {"p95_": RANKS[p95]})
-    at = at.select(*[F.col(c).alias(f"{c}_by_") for c in by], "p95_")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_by_"))
-    return summary.join(at, same, "left").drop(*[f"{c}_by_" for c in by])
+def medians(rows: DataFrame, by: list[str], value: str, name: str, places: int) -> DataFrame:
+    """The rounded median of each group that has values."""
+    return exact_ranks(rows, by, value, MEDIAN).select(*by, F.round(median_of(), places).alias(name))
 
 
 def latency_stats(rows: DataFrame, by: list[str], value: str, p95: str = "linear") -> DataFrame:
+    """Count, mean, median, least, largest and 95 % point, one place each; "linear" interpolates, the others name a rank."""
     x = F.col(value)
     rows = rows.filter(x.isNotNull())
-    point = F.percentile(x, F.lit(0.95)) if p95 == "linear" else F.lit(None).cast("double")
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(x), 1).alias("mean"), F.round(F.median(x), 1).alias("median"), F.round(F.min(x), 1).alias("min"), F.round(F.max(x), 1).alias("max"), F.round(point, 1).alias("p95"))
-    return out if p95 == "linear" else _with_p95(out, rows, by, value, p95).withColumn("p95", F.round("p95_", 1)).drop("p95_")
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(x), 1).alias("mean"), F.round(F.min(x), 1).alias("min"), F.round(F.max(x), 1).alias("max"))
+    found = exact_ranks(rows, by, value, MEDIAN | (linear(0.95) if p95 == "linear" else {"p95_": RANKS[p95]}))
+    point = linear_of(0.95) if p95 == "linear" else F.col("p95_")
+    found = found.select(*by, F.round(median_of(), 1).alias("median"), F.round(point, 1).alias("p95"))
+    return joined(out, by, found).select(*by, "n", "mean", "median", "min", "max", "p95")
 
 
 def config_summary(rows: DataFrame, by: list[str], means: dict[str, int]) -> DataFrame:
@@ -59,11 +39,13 @@ def verdict_summary(rows: DataFrame, by: list[str], verdict: str = "judge_verdic
     v, c = F.col(verdict), F.col(correct)
     judged = v.isin("correct", "incorrect", "ambiguous")
     aggs = [F.count("*").alias("n_records"), F.count_if(judged).alias("n_judged"), F.count_if(judged & c).alias("correct"), F.count_if(judged & ~c).alias("incorrect"), F.count_if(v == "ambiguous").alias("ambiguous")]
-    if latency:
-        aggs.append(F.round(F.median(F.nullif(F.col(latency), F.lit(0.0))), 1).alias("judge_latency_ms_median"))
     if model:
         aggs.append(F.first(F.nullif(F.col(model), F.lit("")), ignorenulls=True).alias("judge_model"))
-    return rows.groupBy(*by).agg(*aggs).withColumns(accuracies(F.col("correct"), F.col("incorrect"), F.col("ambiguous"), F.col("n_judged")))
+    out = rows.groupBy(*by).agg(*aggs)
+    if latency:
+        taken = rows.select(*by, F.nullif(F.col(latency), F.lit(0.0)).alias("latency_"))
+        out = joined(out, by, medians(taken, by, "latency_", "judge_latency_ms_median", 1))
+    return out.withColumns(accuracies(F.col("correct"), F.col("incorrect"), F.col("ambiguous"), F.col("n_judged")))
 
 
 def accuracies(c: Column, i: Column, a: Column, n: Column) -> dict[str, Column]:
@@ -92,14 +74,18 @@ def token_savings(rows: DataFrame, by: str, origin: str, used: str, baseline: st
 
 
 def token_stats(rows: DataFrame, by: list[str], tokens: str) -> DataFrame:
-    x = F.col(tokens)
-    out = rows.groupBy(*by).agg(F.median(x).cast("long").alias("median"), F.max(x).alias("max"))
-    return _with_p95(out, rows, by, tokens, "floor_minus1").select(*by, "median", F.col("p95_").alias("p95"), "max")
+    """Median of whole tokens (rounded down), 95 % point by rank and largest."""
+    found = exact_ranks(rows, by, tokens, MEDIAN | {"p95": RANKS["floor_minus1"]})
+    whole = F.floor((F.floor("median_low_") + F.floor("median_high_")) / 2).cast("long")
+    out = rows.filter(F.col(tokens).isNotNull()).groupBy(*by).agg(F.max(tokens).alias("max"))
+    return joined(out, by, found.select(*by, whole.alias("median"), "p95")).select(*by, "median", "p95", "max")
 
 
 def ratio_stats(rows: DataFrame, by: list[str], ratio: str) -> DataFrame:
-    x = F.nullif(F.col(ratio), F.lit(0.0))
-    return rows.groupBy(*by).agg(F.round(F.median(x), 4).alias("median_ratio"), F.round(F.min(x), 4).alias("min_ratio"), F.round(F.max(x), 4).alias("max_ratio"))
+    """Median, least and largest ratio, four places; zero counts as missing. A group without ratios has nulls."""
+    rows = rows.select(*by, F.nullif(F.col(ratio), F.lit(0.0)).alias("ratio_"))
+    out = rows.groupBy(*by).agg(F.round(F.min("ratio_"), 4).alias("min_ratio"), F.round(F.max("ratio_"), 4).alias("max_ratio"))
+    return joined(out, by, medians(rows, by, "ratio_", "median_ratio", 4)).select(*by, "median_ratio", "min_ratio", "max_ratio")
 
 
 def provider_summary(rows: DataFrame, by: str, blocks: str, confidence: str, latency: str, error: str) -> DataFrame:

@@ -100,8 +100,7 @@ def best_provider(spark, sf):  # noqa: ANN001, ANN201
 @query("SELECT event_type AS config, floor(median(value // 1))::BIGINT AS median, max(value) AS max, list_sort(list(value))[greatest(1, CAST(floor(0.95 * count(*)) AS BIGINT))] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def token_stats_by_config(spark, sf):  # noqa: ANN001, ANN201
     e = table(spark, sf, "events").filter("value is not null").select(F.col("event_type").alias("config"), "value")
-    t = stats.token_stats(e, ["config"], "value").drop("median")
-    return t.join(e.groupBy("config").agg(F.median(F.floor("value")).cast("long").alias("median")), "config")
+    return stats.token_stats(e, ["config"], "value")
 
 
 @query("SELECT event_type, user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS k FROM events) WHERE k = 1")
@@ -137,7 +136,7 @@ def update_in_place(spark, sf):  # noqa: ANN001, ANN201
 )
 def stratified_sample(spark, sf):  # noqa: ANN001, ANN201
     d = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
-    return sampling.stratified(d, ["lang"], "n_chars", "doc_id", 28).select("doc_id", "lang", "stratum_idx")
+    return sampling.stratified(d, ["lang"], "n_chars", "doc_id", sampling.quotas(200, 7)).select("doc_id", "lang", "stratum_idx")
 
 
 @query("SELECT doc_id, CASE WHEN p < 70 THEN 'train' WHEN p < 85 THEN 'dev' ELSE 'held_out' END AS split FROM (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR || '-42'), 1, 8))::BIGINT % 100 AS p FROM documents)")
@@ -185,7 +184,8 @@ def llm_cost_model(spark, sf):  # noqa: ANN001, ANN201
 )
 def tradeoff_table(spark, sf):  # noqa: ANN001, ANN201
     c = table(spark, sf, "documents").groupBy("source").agg(F.round(F.avg(F.floor(F.col("n_chars") / 4) / 1e6 * 0.075), 8).alias("avg_cost"))
-    e = table(spark, sf, "events").groupBy(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source")).agg(F.round(F.median("value"), 1).alias("median_ms"))
+    e = table(spark, sf, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("source"), "value")
+    e = stats.medians(e, ["source"], "value", "median_ms", 1)
     a = stats.verdict_summary(judged(spark, sf), ["source"]).select("source", "acc_inclusive")
     return stats.tradeoff(c, e, a, "source")
 
