@@ -50,25 +50,25 @@ def values_near(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Ran
     x = rows.filter(F.col(value).isNotNull()).select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.col(value).alias("x_"))
     fractions = sorted({f for f, _ in ranks.values()})
     grid = [min(1.0, max(0.0, f - HALF + 2 * HALF * k / POINTS)) for f in fractions for k in range(POINTS + 1)]
-    sketch = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), F.percentile_approx("x_", grid, ACCURACY).alias("points_"))
-    sketch, own = _renamed(materialize(sketch, "splitters"), keys, "own_")
-
-    def range_of(k: int) -> Column:
-        low, high = F.get("points_", F.lit(k * (POINTS + 1))), F.get("points_", F.lit(k * (POINTS + 1) + POINTS))
-        inside = F.size(F.filter(F.slice("points_", k * (POINTS + 1) + 1, POINTS + 1), lambda p: p < F.col("x_")))
-        return F.when(F.col("x_") < low, -1).when(F.col("x_") > high, POINTS + 1).otherwise(inside)
-
-    ranges = {f"range{k}_": range_of(k) for k in range(len(fractions))}
-    counts = x.join(sketch, _equal(keys, own)).groupBy(*keys, "n_", *[c.alias(name) for name, c in ranges.items()]).agg(F.count(F.lit(1)).alias("c_"))
-    wanted = [F.struct(F.lit(name).alias("name"), F.col(f"range{fractions.index(f)}_").alias("range"), F.least("n_", F.greatest(F.lit(1), rank(F.col("n_")))).cast("long").alias("rank")) for name, (f, rank) in ranks.items()]
-    each = counts.select(*keys, "c_", F.explode(F.array(*wanted)).alias("w")).groupBy(*keys, "w.name", "w.range", "w.rank").agg(F.sum("c_").alias("c_"))
-    before = F.sum("c_").over(Window.partitionBy(*keys, "name").orderBy("range")) - F.col("c_")
-    held = each.withColumn("before", before).filter((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("c_")))
-    one = lambda name: F.max(F.when(F.col("name") == name, F.struct("range", "before", "rank"))).alias(f"at_{name}")
-    held, theirs = _renamed(held.groupBy(*keys).agg(*[one(name) for name in ranks]), keys, "held_")
-    held = materialize(sketch.join(held, _equal(own, theirs)).drop(*theirs), "ranges")
-    found = [F.when(range_of(fractions.index(f)) == F.col(f"at_{name}.range"), F.struct(F.lit(name).alias("name"), F.col(f"at_{name}.before").alias("before"), F.col(f"at_{name}.rank").alias("rank"))) for name, (f, _) in ranks.items()]
-    few = x.join(held, _equal(keys, own)).select(*keys, "n_", "x_", F.explode(F.filter(F.array(*found), lambda w: w.isNotNull())).alias("w"))
+    points = F.expr(f"percentile_approx(x_, array({', '.join(f'{p:.12f}D' for p in grid)}), {ACCURACY})")
+    sketch, own = _renamed(materialize(x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_"), points.alias("points_")), "splitters"), keys, "own_")
+    # A value's range: how many splitters of a rank's band are below it, -1 and POINTS + 1 outside.
+    low = lambda k: k * (POINTS + 1)
+    ranges = [f"CASE WHEN x_ < points_[{low(k)}] THEN -1 WHEN x_ > points_[{low(k) + POINTS}] THEN {POINTS + 1} ELSE size(filter(slice(points_, {low(k) + 1}, {POINTS + 1}), p -> p < x_)) END" for k in range(len(fractions))]
+    counts = x.join(sketch, _equal(keys, own)).groupBy(*keys, "n_", "points_", *[F.expr(r).alias(f"range{k}_") for k, r in enumerate(ranges)]).agg(F.count(F.lit(1)).alias("c_"))
+    # One row a group: its few counts, and for each rank the range that holds it with what lies before.
+    lists = counts.groupBy(*keys, "n_", "points_").agg(F.collect_list(F.struct("c_", *[f"range{k}_" for k in range(len(fractions))])).alias("counts_"))
+    places = {name: F.least("n_", F.greatest(F.lit(1), rank(F.col("n_")))).cast("long").alias(f"rank_{name}") for name, (_, rank) in ranks.items()}
+    lists = lists.select("*", *places.values())
+    held = []
+    for name, (f, _) in ranks.items():
+        own_range = f"range{fractions.index(f)}_"
+        upto = lambda sign, to: f"aggregate(filter(counts_, d -> d.{own_range} {sign} {to}), 0L, (s, d) -> s + d.c_)"  # noqa: B023, E731
+        holding = f"array_min(transform(filter(counts_, e -> {upto('<=', 'e.' + own_range)} >= rank_{name}), e -> e.{own_range}))"
+        held.append(F.expr(f"named_struct('range', {holding}, 'before', {upto('<', holding)}, 'rank', rank_{name})").alias(f"at_{name}"))
+    held, own = _renamed(materialize(lists.select(*keys, "n_", "points_", *held), "ranges"), keys, "own_")
+    found = [f"CASE WHEN {ranges[fractions.index(f)]} = at_{name}.range THEN named_struct('name', '{name}', 'before', at_{name}.before, 'rank', at_{name}.rank) END" for name, (f, _) in ranks.items()]
+    few = x.join(held, _equal(keys, own)).select(*keys, "n_", "x_", F.expr(f"explode(filter(array({', '.join(found)}), w -> w IS NOT NULL)) AS w"))
     return few.groupBy(*keys, "n_", "w.name", "w.before", "w.rank", "x_").agg(F.count(F.lit(1)).alias("c_"))
 
 
