@@ -8,6 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalloom.sources.ordered import scores_with_summary
 from evalloom.sources.schemas import SCHEMAS
 
 
@@ -35,10 +36,8 @@ def by_stem(spark: SparkSession, pattern: str, record: str, skip: tuple[str, ...
 
 def scores_and_summary(spark: SparkSession, path: str, record: str) -> tuple[DataFrame, DataFrame]:
     """A score file with a trailing ``{"SUMMARY": ...}`` line: the score rows, and the first summary as JSON."""
-    lines = spark.read.text(path)
-    summary = lines.select(F.get_json_object("value", "$.SUMMARY").alias("summary")).filter("summary is not null").limit(1)
-    rows = lines.filter(F.get_json_object("value", "$.SUMMARY").isNull()).select(F.from_json("value", SCHEMAS[record]).alias("r")).select("r.*")
-    return rows, summary
+    rows, summary = scores_with_summary(spark, path, record)
+    return rows.drop("file", "line", "place"), summary
 
 
 def run_pairs(spark: SparkSession, summaries: str, details: str) -> tuple[DataFrame, DataFrame]:
