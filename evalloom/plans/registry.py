@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import prompts, redaction, routing, scores, text
-from evalloom.operators import chunking, logs, models, pareto, retrieval, sampling, stats
+from evalloom.operators import chunking, logs, models, pareto, retrieval, sampling, stats, windows
 from evalloom.plans import tracks
+from evalloom.session import new_path, numbered
 from evalloom.sources import documents as scans
-from evalloom.session import numbered
+from evalloom.sources import ordered, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -422,6 +423,30 @@ def rate_limit_fixed_window(spark, sf):  # noqa: ANN001, ANN201
     return logs.rate_limited(table(spark, sf, "events"), "user_id", "ts", "event_id", 1).select("event_id", "allowed")
 
 
+@query(
+    """WITH RECURSIVE a AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1 UNION ALL SELECT user_id, start FROM (SELECT a.user_id, min(e.ts) AS start FROM a JOIN events e ON e.user_id = a.user_id AND e.ts >= a.start + INTERVAL 3600 SECOND GROUP BY 1)),
+    w AS (SELECT e.event_id, e.user_id, e.ts, max(a.start) AS start FROM events e JOIN a ON e.user_id = a.user_id AND a.start <= e.ts GROUP BY 1, 2, 3)
+    SELECT event_id, epoch_us(start) AS window_us, row_number() OVER (PARTITION BY user_id, start ORDER BY ts, event_id) <= 1 AS allowed FROM w"""
+)
+def rate_limit_first_hit(spark, sf):  # noqa: ANN001, ANN201
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts")
+    limited = windows.rate_limited_from_first_hit(e, "user_id", "ts", "event_id", 1, seconds=3600)
+    return limited.select("event_id", F.unix_micros("window_start").alias("window_us"), "allowed")
+
+
+@query(
+    """WITH p AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY day DESC, place) AS k FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day FROM p))
+    SELECT event_id, place FROM k WHERE k = 1"""
+)
+def log_file_order(spark, sf):  # noqa: ANN001, ANN201
+    """Events written as a JSONL log and read back: the latest day's row of each user and type, ties by the earlier line."""
+    path = new_path(spark, "log")
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
+    sinks.overwrite_ordered(e, path, "event_id")
+    rows = ordered.ordered_jsonl(spark, path, "event_id long, user_id long, event_type string, day string", "fail")
+    return logs.keep_latest(rows, ["user_id", "event_type"], "day", "place").select("event_id", "place")
+
+
 @query("SELECT event_type, min(ts) AS first_ts, max(ts) AS last_ts FROM events GROUP BY 1")
 def ts_range(spark, sf):  # noqa: ANN001, ANN201
     return stats.time_range(table(spark, sf, "events"), ["event_type"], "ts")
