@@ -16,7 +16,7 @@ from evalloom.operators import chunking, logs, models, pareto, retrieval, sampli
 from evalloom.plans import tracks
 from evalloom.session import new_path, numbered
 from evalloom.sources import documents as scans
-from evalloom.sources import ordered, sinks
+from evalloom.sources import ordered, sinks, versioned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,6 +128,20 @@ def update_in_place(spark, sf):  # noqa: ANN001, ANN201
     return logs.update_rows(old, judged(spark, sf).select("doc_id", "source", "quality"), ["doc_id"])
 
 
+@query(
+    """WITH f AS (SELECT *, event_id % 3 < 2 AS early FROM events), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS k, max(ts) FILTER (early) OVER (PARTITION BY user_id, event_type) AS first_ts FROM f)
+    SELECT user_id, event_type, event_id, first_ts FROM k WHERE k = 1"""
+)
+def versioned_upsert(spark, sf):  # noqa: ANN001, ANN201
+    """Two thirds of the events, then the rest, upserted into a versioned table; beside each latest row its time one version before."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    log = versioned.VersionedTable(spark, new_path(spark, "latest")).create(e.schema, ["user_id", "event_type"], "ts", buckets=16)
+    first = log.upsert(e.filter(F.col("event_id") % 3 < 2), order="event_id")
+    now = log.read(log.upsert(e.filter(F.col("event_id") % 3 == 2), order="event_id"))
+    before = log.read(first).select("user_id", "event_type", F.col("ts").alias("first_ts"))
+    return now.join(before, ["user_id", "event_type"], "left").select("user_id", "event_type", "event_id", "first_ts")
+
+
 @query(
     """WITH b AS (SELECT lang, list_sort(list(coalesce(n_chars, 0))) AS v FROM documents GROUP BY 1),
     s AS (SELECT d.doc_id, d.lang, CASE WHEN n_chars <= v[len(v) // 4 + 1] THEN 0 WHEN n_chars <= v[len(v) // 2 + 1] THEN 1 WHEN n_chars <= v[3 * len(v) // 4 + 1] THEN 2 ELSE 3 END AS stratum_idx FROM documents d JOIN b USING (lang)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from evalloom.session import ship
+from evalloom.sources.versioned import VersionedTable
 
 
 def stream_files(spark: SparkSession, schema: str, path: str, fmt: str = "json", files_per_trigger: int = 1000) -> DataFrame:
@@ -33,16 +34,15 @@ def append_finished(rows: DataFrame, path: str, checkpoint: str):  # noqa: ANN20
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_latest(rows: DataFrame, key: list[str], ts: str, path: str, checkpoint: str):  # noqa: ANN201
-    """Keep the latest row of each key as a versioned table: each batch writes ``path/v=<batch>`` from the version before."""
-    from evalloom.operators.logs import keep_latest
+def upsert_latest(rows: DataFrame, key: list[str], ts: str, path: str, checkpoint: str, buckets: int = 64):  # noqa: ANN201
+    """Keep the latest row of each key in a versioned table; a batch rewrites only the buckets of its keys. A batch that is
+    repeated after a failure is known by its number and changes nothing."""
+    there = VersionedTable(rows.sparkSession, path)
+    if not there.versions():
+        there.create(rows.schema, key, ts, buckets)
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch.withColumn("line_", F.monotonically_increasing_id())
-        if number:
-            new = spark.read.parquet(f"{path}/v={number - 1}").withColumn("line_", F.lit(-1).cast("long")).unionByName(new)
-        keep_latest(new, key, ts, "line_").drop("line_").write.mode("overwrite").parquet(f"{path}/v={number}")
+        VersionedTable(batch.sparkSession, path).upsert(batch, batch=(checkpoint, number))
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

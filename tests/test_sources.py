@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from evalloom.sources import documents, readers, schemas, sinks
+from evalloom.sources import documents, readers, schemas, sinks, versioned
 from evalloom.streaming import incremental
 
 
@@ -118,7 +118,7 @@ def test_streams(spark, tmp_path):
         incremental.append_finished(rows, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
         incremental.upsert_latest(rows, ["case_id"], "ts", str(tmp_path / "t"), str(tmp_path / "ck2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
-    assert [r.v for r in spark.read.parquet(str(tmp_path / "t" / "v=0")).collect()] == [2]
+    assert [r.v for r in versioned.VersionedTable(spark, str(tmp_path / "t")).read().collect()] == [2]
     limited = incremental.rate_by_minute(incremental.stream_files(spark, schema, str(source)), "case_id", "ts", 1)
     q = limited.writeStream.format("memory").queryName("limited").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
