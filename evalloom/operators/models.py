@@ -101,7 +101,7 @@ def _decoded(text: str, at: int) -> dict | None:
     """The JSON object that begins at ``at``, if one does."""
     try:
         return json.JSONDecoder().raw_decode(text, at)[0]
-    except ValueError:
+    except (ValueError, RecursionError):  # no JSON, or nested too deeply to be a verdict
         return None
 
 
@@ -123,9 +123,10 @@ VERDICTS = {"correct": True, "incorrect": False, "ambiguous": None}
 def _share(x: object, default: float = 0.5) -> float:
     """A number between 0 and 1, or the default for what is none."""
     try:
-        return sorted((0.0, float(x), 1.0))[1]  # type: ignore[arg-type]
-    except (TypeError, ValueError):
+        share = float(x)  # type: ignore[arg-type]
+    except (TypeError, ValueError, OverflowError):
         return default
+    return default if share != share else min(1.0, max(0.0, share))
 
 
 def verdict_of(reply: str | None) -> tuple[str, bool | None, float, str]:
