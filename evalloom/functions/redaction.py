@@ -11,10 +11,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Capital and small letters of Vietnamese names.
-_UPPER = "A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬĐÈÉẺẼẸÊẾỀỂỄỆÍÌỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÚÙỦŨỤƯỨỪỬỮỰÝỲỶỸỴ"
-_LOWER = "a-zàáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệíìỉĩịòóỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ"
-_NAME = f"[{_UPPER}][{_LOWER}]+"
 # The categories in order of priority and their patterns.
 PATTERNS: dict[str, str] = {
     "cccd": r"\b(?:\d{9}|\d{12})\b",
@@ -24,7 +20,7 @@ PATTERNS: dict[str, str] = {
     "bank_account": r"(?:STK|so\s*tk|số\s*tk|tai\s*khoan|tài\s*khoản)[:\s]+\d[\d\s\-]{7,18}\d",
     "vin": r"\b[A-HJ-NPR-Z0-9]{17}\b",
     "license_plate": r"\b\d{2}[A-Z][\-\s]?\d{4,5}\b",
-    "person_name": rf"(?:ông|bà|anh|chị|cô|chú|bác|em|khách\s*hàng|người\s*mua|người\s*bán|đại\s*diện|người\s*đại\s*diện|buyer|seller|representative|người\s*ký|người\s*lập)\s*[:\-]?\s*({_NAME}(?:\s+{_NAME}){{0,3}})",
+    "person_name": r"(?:ông|bà|anh|chị|cô|chú|bác|em|khách\s*hàng|người\s*mua|người\s*bán|đại\s*diện|người\s*đại\s*diện|buyer|seller|representative|người\s*ký|người\s*lập)\s*[:\-]?\s*([A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬĐÈÉẺẼẸÊẾỀỂỄỆÍÌỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÚÙỦŨỤƯỨỪỬỮỰÝỲỶỸỴ][a-zàáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệíìỉĩịòóỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ]+(?:\s+[A-ZÀÁẢÃẠĂẮẰẲẴẶÂẤẦẨẪẬĐÈÉẺẼẸÊẾỀỂỄỆÍÌỈĨỊÒÓỎÕỌÔỐỒỔỖỘƠỚỜỞỠỢÚÙỦŨỤƯỨỪỬỮỰÝỲỶỸỴ][a-zàáảãạăắằẳẵặâấầẩẫậđèéẻẽẹêếềểễệíìỉĩịòóỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵ]+){0,3})",
 }
 # Mask names of the default policy, and keys that it exempts.
 MASKS = {"cccd": "CCCD", "phone_vn": "PHONE", "email": "EMAIL", "tax_id": "MST", "bank_account": "STK", "vin": "VIN", "license_plate": "PLATE", "person_name": "NAME"}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import prompts, redaction, routing, scores, text
-from evalloom.operators import chunking, logs, models, pareto, retrieval, sampling, stats, windows
+from evalloom.operators import chunking, logs, models, pareto, redacting, retrieval, sampling, stats, windows
 from evalloom.plans import tracks
 from evalloom.session import new_path, numbered
 from evalloom.sources import documents as scans
@@ -238,10 +238,31 @@ def pii_email_redact(spark, sf):  # noqa: ANN001, ANN201
     return d.select("doc_id", text.hash_prefix("r.text").alias("redacted_hash"), F.col("r.total").alias("n_email"))
 
 
-@query()
+def _spans_sql() -> str:
+    """(doc_id, x: [priority, start, end]) of all accepted spans: places from the texts between matches, overlaps by a fold."""
+    quoted = [p.replace("(?iu)", "(?i)").replace("'", "''") for p in redaction.PATTERNS.values()]
+    hits = " UNION ALL ".join(f"SELECT doc_id, {k} AS k, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g FROM d" for k, p in enumerate(quoted))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, k, unnest(range(1, len(h) + 1)) AS i, h, g FROM ({hits}) WHERE len(h) > 0),
+    s AS (SELECT doc_id, k, (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS st, length(h[i]) AS n FROM m),
+    o AS (SELECT doc_id, list([k, st, st + n] ORDER BY -n, st, k) AS v FROM s GROUP BY 1),
+    a AS (SELECT doc_id, unnest(list_reduce(list_transform(v, lambda x: [x]), lambda a, s: CASE WHEN len(list_filter(a, lambda x: s[1][3] > x[2] AND s[1][2] < x[3])) > 0 THEN a ELSE a || s END)) AS x FROM o)"""
+
+
+TYPE_SQL = "CASE k " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(redaction.PATTERNS)) + " END"
+
+
+def pii_spans(spark, sf):  # noqa: ANN001, ANN201
+    return redacting.redact_texts(table(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", F.explode("redacted.spans").alias("s"))
+
+
+@query(_spans_sql() + f" SELECT {TYPE_SQL.replace('CASE k', 'CASE x[1]')} AS type, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM a WHERE x[1] <> 7 GROUP BY 1")
 def pii_span_counts(spark, sf):  # noqa: ANN001, ANN201
-    d = table(spark, sf, "documents").select("doc_id", F.explode(redaction.spans(F.col("text"))).alias("s"))
-    return d.filter("s.action <> 'keep_token'").groupBy(F.col("s.type").alias("type")).agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_docs"))
+    return pii_spans(spark, sf).filter("s.action <> 'keep_token'").groupBy(F.col("s.type").alias("type")).agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(_spans_sql() + f", p AS (SELECT a.doc_id, {TYPE_SQL.replace('CASE k', 'CASE x[1]')} AS type, x[2] AS span_start, x[3] AS span_end, substr(sha256(substr(t, (x[2] + 1)::INT, (x[3] - x[2])::INT)), 1, 12) AS original_hash FROM a JOIN d USING (doc_id)) SELECT * FROM p")
+def pii_spans_all(spark, sf):  # noqa: ANN001, ANN201
+    return pii_spans(spark, sf).select("doc_id", "s.type", F.col("s.start").cast("long").alias("span_start"), F.col("s.end").cast("long").alias("span_end"), "s.original_hash")
 
 
 @query(f"SELECT doc_id, sum(strlen(x)) AS email_bytes, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_SQL}')) AS x FROM documents) GROUP BY 1")
