@@ -15,6 +15,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +29,12 @@ Span = tuple[int, int]
 
 _RUNS = re.compile(r"\d+")
 _VIN_LIKE = re.compile(r"[A-HJ-NPR-Z0-9]{17}")
+#: Classes of the first 128 code points: 1 digits, 2 other signs of a vehicle number.
+_CLASS = np.zeros(129, np.uint8)
+_CLASS[[ord(c) for c in "0123456789"]] = 1
+_CLASS[[ord(c) for c in "ABCDEFGHJKLMNPRSTUVWXYZ"]] = 2
+#: Below this code point (Arabic-Indic zero) only 0 to 9 are digits; below SHORT characters numpy does not pay.
+_MORE_DIGITS, SHORT = 0x660, 400
 _LOCAL = re.compile(r"\b[A-Za-z0-9._%+\-]")
 # Characters before the "@" of an address, and the first words of forms of address.
 _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +50,23 @@ def _at(pattern: re.Pattern, text: str, starts: Iterable[int]) -> Iterator[Span]
             done = m.end()
 
 
+def _stretches(flags: np.ndarray) -> np.ndarray:
+    """(start, end) of the stretches of set flags."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).view(np.int8)))
+    return edges.reshape(-1, 2)
+
+
+def _landmarks(text: str) -> tuple[list[Span], bool]:
+    """(runs of digits, whether 17 signs of a vehicle number stand side by side)."""
+    if len(text) >= max(1, SHORT):
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        if codes.max() < _MORE_DIGITS:
+            classes = _CLASS[np.minimum(codes, 128)]
+            vin = _stretches(classes > 0)
+            return _stretches(classes == 1).tolist(), bool((vin[:, 1] - vin[:, 0] >= 17).any())
+    return [m.span() for m in _RUNS.finditer(text)], _VIN_LIKE.search(text) is not None
+
+
 def _addresses(pattern: re.Pattern, text: str) -> Iterator[Span]:
     """An address has one "@": its first possible start decides, for what follows the "@" is the same for all."""
     done, at = 0, text.find("@")
@@ -77,27 +101,26 @@ class Scanner:
         self.rank = {n: k for k, n in enumerate(patterns)}
         self.compiled = {n: re.compile(patterns[n]) for n in self.names}
         fixed = {n for n in self.names if patterns[n] == PATTERNS.get(n)}
-        self.digits = bool(fixed & {"cccd", "license_plate", "tax_id", "bank_account"})
-        self.find: dict[str, Callable[[str, list[Span]], Iterable[Span]]] = {n: self._finder(n, n in fixed) for n in self.names}
+        self.find: dict[str, Callable[[str, tuple[list[Span], bool]], Iterable[Span]]] = {n: self._finder(n, n in fixed) for n in self.names}
 
-    def _finder(self, name: str, fixed: bool) -> Callable[[str, list[Span]], Iterable[Span]]:
+    def _finder(self, name: str, fixed: bool) -> Callable[[str, tuple[list[Span], bool]], Iterable[Span]]:
         rx = self.compiled[name]
         every = lambda text: (m.span() for m in rx.finditer(text))
         special = {
-            "cccd": lambda text, runs: _at(rx, text, (a for a, b in runs if b - a in (9, 12))),
-            "license_plate": lambda text, runs: _at(rx, text, (a for a, b in runs if b - a == 2)),
-            "tax_id": lambda text, runs: every(text) if any(b - a >= 10 for a, b in runs) else (),
-            "bank_account": lambda text, runs: every(text) if runs else (),
-            "vin": lambda text, runs: every(text) if _VIN_LIKE.search(text) else (),
-            "email": lambda text, runs: _addresses(rx, text),
-            "person_name": lambda text, runs: _at(rx, text, sorted(end - n + 1 for end, n in _automaton().iter(text))),
+            "cccd": lambda text, marks: _at(rx, text, (a for a, b in marks[0] if b - a in (9, 12))),
+            "license_plate": lambda text, marks: _at(rx, text, (a for a, b in marks[0] if b - a == 2)),
+            "tax_id": lambda text, marks: every(text) if any(b - a >= 10 for a, b in marks[0]) else (),
+            "bank_account": lambda text, marks: every(text) if marks[0] else (),
+            "vin": lambda text, marks: every(text) if marks[1] else (),
+            "email": lambda text, marks: _addresses(rx, text),
+            "person_name": lambda text, marks: _at(rx, text, sorted(end - n + 1 for end, n in _automaton().iter(text))),
         }
-        return special[name] if fixed and name in special else lambda text, runs: every(text)
+        return special[name] if fixed and name in special else lambda text, marks: every(text)
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, category) of the accepted spans, by start."""
-        runs = [m.span() for m in _RUNS.finditer(text)] if self.digits else []
-        found = [(a - b, a, self.rank[n], b, n) for n in self.names for a, b in self.find[n](text, runs)]
+        marks = _landmarks(text)
+        found = [(a - b, a, self.rank[n], b, n) for n in self.names for a, b in self.find[n](text, marks)]
         if not found:
             return []
         taken, out = bytearray(len(text)), []

@@ -30,15 +30,17 @@ def plain_spans(text, policy, patterns):
 
 
 @pytest.mark.parametrize("patterns", [redaction.PATTERNS, redaction.STRICT_PATTERNS])
-def test_scanner_finds_what_all_patterns_find(patterns):
+@pytest.mark.parametrize("short", [0, 400])
+def test_scanner_finds_what_all_patterns_find(patterns, short, monkeypatch):
+    monkeypatch.setattr(redacting, "SHORT", short)
     rng, scanner = random.Random(4), redacting.Scanner(redaction.DEFAULT, patterns)
     found = 0
-    for _ in range(6000):
+    for _ in range(4000):
         t = "".join(rng.choice(PARTS) + rng.choice(["", "", " "]) for _ in range(rng.randint(0, 9)))
         want = plain_spans(t, redaction.DEFAULT, patterns)
         assert scanner.spans(t) == want, t
         found += len(want)
-    assert found > 3000
+    assert found > 2000
 
 
 def test_each_category_is_found_alone():
