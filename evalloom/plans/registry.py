@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions import prompts, redaction, routing, scores, text
-from evalloom.operators import chunking, logs, models, pareto, redacting, retrieval, sampling, stats, windows
+from evalloom.operators import alignment, chunking, logs, models, pareto, redacting, retrieval, sampling, stats, stopping, windows
 from evalloom.plans import tracks
 from evalloom.session import new_path, numbered
 from evalloom.sources import documents as scans
-from evalloom.sources import ordered, sinks, versioned
+from evalloom.sources import collections, ordered, sinks, versioned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -320,7 +320,8 @@ def cer_ascii(spark, sf):  # noqa: ANN001, ANN201
     # the next item is an equi-join of places, which have no gaps; no global window is needed
     b = numbered(b, F.col("item_id").asc_nulls_last())
     nxt = b.select((F.col("place") - 1).alias("place"), F.col("a").alias("b"))
-    return b.join(nxt, "place").filter("length(a) > 0 and length(b) > 0").select("item_id", F.round(text.error_rate("a", "b"), 6).alias("cer"))
+    pairs = b.join(nxt, "place").filter("length(a) > 0 and length(b) > 0")
+    return alignment.with_error_rates(pairs, "a", "b").select("item_id", F.round("cer", 6).alias("cer"))
 
 
 PART_MAPS = "p_partkey, p_brand, p_type, p_size"
@@ -358,7 +359,8 @@ def search(spark, sf, same=None, k=8):  # noqa: ANN001, ANN201
     e = table(spark, sf, "embeddings")
     more = ["label"] if same else []
     q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), *more)
-    return retrieval.vector_top_k_in_blocks(q, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), *more), k, same)
+    stored = collections.Collection.write(e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"), *more), new_path(spark, "collection"))
+    return stored.nearest(q, k, same=same)[0]
 
 
 @query(TOP_SQL.format(on="true") + "SELECT query_id, item_id, round(distance, 5) AS distance, rank FROM r WHERE rank <= 8")
@@ -524,6 +526,38 @@ def table_teds(spark, sf):  # noqa: ANN001, ANN201
     return models.table_teds(turn_pairs(spark, sf).select("conv_id", "turn", F.split("text", " ").alias("a"), F.split("next", " ").alias("b")), "a", "b").select("conv_id", "turn", "teds.*")
 
 
+STOP_RUNS_SQL = "SELECT l_orderkey AS case_id, l_linenumber::VARCHAR AS config, l_discount::DOUBLE AS quality, l_extendedprice::DOUBLE AS cost, l_quantity::DOUBLE AS latency_ms, CASE WHEN l_returnflag <> 'N' THEN l_returnflag = 'A' END AS refusal_ok FROM lineitem"
+
+
+def _stop_sql(steps: int = 8, rounds: int = 200, seed: int = 7) -> str:
+    first = lambda key, salt: f"((({key}) % {stopping.PRIME} * 48271 + ({salt}) * 69621 + 12345) % {stopping.PRIME})"
+    batch = " + ".join(f"(lot >= {stopping.PRIME >> j})::INT" for j in range(1, steps))
+    weight = " + ".join(f"(u > {e * stopping.PRIME!r})::INT" for e in stopping.POISSON)
+    return f"""WITH r AS ({STOP_RUNS_SQL}), t AS (SELECT config, row_number() OVER (ORDER BY round(avg(quality), 9) DESC, round(avg(cost), 9), config) AS k FROM r GROUP BY 1),
+    d AS (SELECT case_id, max(quality) FILTER (k = 1) - max(quality) FILTER (k = 2) AS quality, max(cost) FILTER (k = 1) - max(cost) FILTER (k = 2) AS cost FROM r JOIN t USING (config) WHERE k <= 2 GROUP BY 1),
+    a AS (SELECT *, {first('case_id', str(seed))} AS x FROM d WHERE quality IS NOT NULL AND cost IS NOT NULL), a2 AS (SELECT *, (x * x + {seed}) % {stopping.PRIME} AS y FROM a), a3 AS (SELECT *, (y * y + case_id % {stopping.PRIME}) % {stopping.PRIME} AS lot FROM a2),
+    g AS (SELECT case_id, quality, cost, {batch} AS step FROM a3), b AS (SELECT *, unnest(range(-1, {rounds})) AS b FROM g),
+    u1 AS (SELECT *, {first('case_id + 1', f'b + {seed * 1000}')} AS x FROM b), u2 AS (SELECT *, (x * x + b + {seed * 1000}) % {stopping.PRIME} AS y FROM u1), u3 AS (SELECT *, (y * y + (case_id + 1) % {stopping.PRIME}) % {stopping.PRIME} AS u FROM u2),
+    w AS (SELECT *, CASE WHEN b < 0 THEN 1 ELSE {weight} END AS w FROM u3), s AS (SELECT step, b, sum((b < 0)::INT) AS n, sum(quality * w) AS q, sum(cost * w) AS c, sum(w) AS w FROM w GROUP BY 1, 2),
+    e AS (SELECT st.step, ro.b FROM range({steps}) st(step), range(-1, {rounds}) ro(b)), z AS (SELECT step, b, sum(n) OVER o AS n, sum(q) OVER o / nullif(sum(w) OVER o, 0) AS quality, sum(c) OVER o / nullif(sum(w) OVER o, 0) AS cost FROM e LEFT JOIN s USING (step, b) WINDOW o AS (PARTITION BY b ORDER BY step)),
+    v AS (UNPIVOT z ON quality, cost INTO NAME delta VALUE m), i AS (SELECT delta, step, max(n) FILTER (b < 0) AS n, max(m) FILTER (b < 0) AS mean, quantile_cont(m, 0.025) FILTER (b >= 0) AS lo, quantile_cont(m, 0.975) FILTER (b >= 0) AS hi FROM v GROUP BY 1, 2),
+    f AS (SELECT delta, first(struct_pack(met := ap, mean := mean, n := n) ORDER BY NOT ap, CASE WHEN ap THEN step ELSE -step END) AS f FROM (SELECT *, coalesce(n >= 2 AND (lo > 0 OR hi < 0), false) AS ap FROM i) GROUP BY 1),
+    ap AS (SELECT bool_and(f.met) AS met, max(f.mean) FILTER (delta = 'quality') AS value, max(f.n) AS n FROM f),
+    p AS (SELECT quantile_cont(latency_ms, 0.95) AS p FROM r WHERE config = '1'), sl AS (SELECT count(*) FILTER (latency_ms > 2 * p) / count(*) AS value, count(*) AS n FROM r JOIN t USING (config), p WHERE k = 1),
+    ri AS (SELECT avg(refusal_ok::INT) AS value, count(refusal_ok) AS n FROM r), fu AS (SELECT count(*) FILTER (own = al) AS value, sum(own) AS n FROM (SELECT config, count(DISTINCT case_id) AS own FROM r GROUP BY 1), (SELECT count(DISTINCT case_id) AS al FROM r)),
+    o AS (SELECT 'S1' AS rule, NOT met AS met, value, n FROM ap UNION ALL SELECT 'C1', met, value, n FROM ap UNION ALL SELECT 'S2', value >= 0.1, value, n FROM sl UNION ALL SELECT 'C2', value < 0.1, value, n FROM sl
+    UNION ALL SELECT 'S3', value < 0.85, value, n FROM ri UNION ALL SELECT 'C3', value >= 0.85, value, n FROM ri UNION ALL SELECT 'C4', value = 7, value, n FROM fu) SELECT rule, met, round(value, 6) AS value, n::BIGINT AS n FROM o"""
+
+
+@query(_stop_sql())
+def stop_rules(spark, sf):  # noqa: ANN001, ANN201
+    """Orders as cases, their line numbers as seven configurations."""
+    i = table(spark, sf, "lineitem")
+    ok = F.when(F.col("l_returnflag") != "N", F.col("l_returnflag") == "A")
+    runs = i.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("config"), F.col("l_discount").cast("double").alias("quality"), F.col("l_extendedprice").cast("double").alias("cost"), F.col("l_quantity").cast("double").alias("latency_ms"), ok.alias("refusal_ok"))
+    return stopping.stop_rules(runs, [str(k) for k in range(1, 8)], "1").select("rule", "met", F.round("value", 6).alias("value"), "n")
+
+
 @query()
 def bootstrap_ci(spark, sf):  # noqa: ANN001, ANN201
     return stats.bootstrap_interval(table(spark, sf, "labels").select(F.col("doc_id").alias("key"), (F.col("quality") - F.col("toxic")).alias("d")), "d")

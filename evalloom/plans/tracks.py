@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalloom.functions import prompts, redaction, routing, scores
 from evalloom.functions.text import estimated_tokens, field_text, redaction_tokens
-from evalloom.operators import chunking, logs, models, retrieval, stats
+from evalloom.operators import alignment, chunking, logs, models, retrieval, stats
 from evalloom.session import materialize
 
 # Configurations, field lists, tables without cells.
@@ -166,10 +166,12 @@ def bake_off(results: DataFrame, references: DataFrame) -> DataFrame:
     """Per provider: cases, means of valid results, text F1 and error rate against the references (case_id, text)."""
     text = F.array_join(F.transform("text_blocks", lambda b: b["text"]), "\n")
     confidence = F.try_divide(F.aggregate("text_blocks", F.lit(0.0), lambda s, b: s + F.coalesce(b["confidence"], F.lit(0.0))), F.size("text_blocks"))
-    rows = results.join(references.select("case_id", F.col("text").alias("ref_text")), "case_id", "left").select("*", F.size("text_blocks").cast("double").alias("n_blocks"), confidence.alias("confidence"), scores.ocr_text(text, F.col("ref_text")).alias("o"))
+    rows = results.join(references.select("case_id", F.col("text").alias("ref_text")), "case_id", "left").select("*", F.size("text_blocks").cast("double").alias("n_blocks"), confidence.alias("confidence"), text.alias("said"), scores.ocr_text(text, F.col("ref_text"))["text_f1"].alias("text_f1"))
+    rows = alignment.with_error_rates(rows, "said", "ref_text", "rate")
+    cer = F.when(F.coalesce(F.col("said"), F.lit("")) == "", 1.0).otherwise(F.bround("rate", 4))
     per = stats.provider_summary(rows, "ocr_provider", "n_blocks", "confidence", "latency_ms", "error")
-    valid = F.col("o.text_f1") > 0
-    quality = rows.groupBy("ocr_provider").agg(F.round(stats.mean_where(F.col("o.text_f1"), valid), 4).alias("avg_f1"), F.round(stats.mean_where(F.col("o.cer"), valid), 4).alias("avg_cer"))
+    valid = F.col("text_f1") > 0
+    quality = rows.groupBy("ocr_provider").agg(F.round(stats.mean_where(F.col("text_f1"), valid), 4).alias("avg_f1"), F.round(stats.mean_where(cer, valid), 4).alias("avg_cer"))
     return per.join(quality, "ocr_provider")
 
 
