@@ -82,9 +82,11 @@ def key_values(text: Column | str) -> Column:
     """``key: value`` lines as a map; of repeated keys the last counts."""
     lines = F.split(F.coalesce(_col(text), F.lit("")), r"\r?\n")
     line = r"^\s*([A-Za-z_]+)\s*:\s*(.+)$"
-    pairs = F.transform(F.filter(lines, lambda x: x.rlike(line)), lambda x: F.struct(F.regexp_extract(x, line, 1).alias("key"), strip(F.regexp_extract(x, line, 2)).alias("value")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+    found = F.filter(lines, lambda x: x.rlike(line))
+    pairs = F.transform(found, lambda x, i: F.struct(F.regexp_extract(x, line, 1).alias("key"), i.alias("at"), strip(F.regexp_extract(x, line, 2)).alias("value")))
+    # sorted by key and place once: the last of each key is followed by another key
+    last = F.transform(F.array(F.array_sort(pairs)), lambda p: F.filter(p, lambda x, i: ~F.coalesce(F.get(p, i + 1)["key"] == x["key"], F.lit(False))))[0]
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["key"], x["value"])))
 
 
 def bracketed_chunks(prompt: Column | str) -> Column:

@@ -118,9 +118,11 @@ def first_rows(rows: DataFrame, line: str, n: int) -> DataFrame:
     return rows.orderBy(line).limit(n)
 
 
-def with_question(rows: DataFrame, question: str = "question") -> DataFrame:
-    """Rows that ask something: null, empty and blank questions go."""
-    return rows.filter(F.trim(F.coalesce(F.col(question), F.lit(""))) != "")
+def with_question(rows: DataFrame, question: str = "question", context: str | None = "context") -> DataFrame:
+    """Rows that ask something about something: null, empty and blank questions go, and, where the table has that column,
+    rows without a context (null or empty)."""
+    rows = rows.filter(F.trim(F.coalesce(F.col(question), F.lit(""))) != "")
+    return rows.filter(F.coalesce(F.col(context), F.lit("")) != "") if context in rows.columns else rows
 
 
 def known_configurations(rows: DataFrame, known: list[str], config: str = "config") -> DataFrame:

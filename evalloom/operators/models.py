@@ -14,15 +14,17 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalloom.functions.scores import multiset_overlap
-from evalloom.functions.text import bracketed_chunks, key_values, normal_text, tokens
+from evalloom.functions.text import bracketed_chunks, key_values, normal_text, tokens, words
 from evalloom.operators.alignment import block_similarity as table_similarity
-from evalloom.operators.retrieval import tfidf_sentences
+from evalloom.operators.retrieval import sentence_ranks, sentences
 from evalloom.session import ship
 
 # Dollars per million tokens (in, out), and the default model.
@@ -281,12 +283,31 @@ def embed(rows: DataFrame, text: str, make: Callable[[], Callable[[list[str]], l
 
 def compress_offline(docs: DataFrame, doc_id: str, text: str, rate: float) -> DataFrame:
     """A stand-in for prompt compression: the sentences of the largest tf-idf (see ``retrieval.tfidf_sentences``) until they
-    hold ``rate`` of the words, in the order of the text: (doc_id, text, origin_tokens, compressed_tokens, compress_ratio)."""
-    n = F.size(F.filter(F.split("sentence", r"\s+"), lambda x: x != ""))
-    ranked = tfidf_sentences(docs, doc_id, text, None).withColumn("words_", n)
-    own = Window.partitionBy(doc_id)
-    before = F.coalesce(F.sum("words_").over(own.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = ranked.withColumns({"before_": before, "all_": F.sum("words_").over(own)}).filter(F.col("before_") < rate * F.col("all_"))
-    parts = F.array_sort(F.collect_list(F.struct("sentence_no", "sentence")))
-    done = kept.groupBy(doc_id).agg(F.array_join(F.transform(parts, lambda x: x["sentence"]), " ").alias("text"), F.first("all_").alias("origin_tokens"), F.sum("words_").alias("compressed_tokens"))
+    hold ``rate`` of the words, in the order of the text: (doc_id, text, origin_tokens, compressed_tokens, compress_ratio).
+
+    One row out for each document that has words; nothing is shuffled, and rows that share an id are documents apart.
+    """
+    ship(docs.sparkSession)
+    cut = docs.select(doc_id, sentences(F.col(text)).alias("sentences"))
+    n = F.transform("sentences", lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda x: x != "")))
+    cut = cut.select(doc_id, "sentences", F.transform("sentences", words).alias("words"), n.alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, no, _, rank = sentence_ranks(batch.column(1), batch.column(2))
+            n, said = batch.column(3).flatten().to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).flatten()
+            size = batch.num_rows
+            every = np.bincount(doc, n, size).astype(np.int64)
+            order = np.lexsort((rank, doc))
+            ahead = np.cumsum(n[order]) - n[order]
+            ahead -= (np.cumsum(every) - every)[doc[order]]
+            kept = np.sort(order[ahead < rate * every[doc[order]]])
+            left = np.bincount(doc[kept], n[kept], size).astype(np.int64)
+            out = np.flatnonzero(np.bincount(doc[kept], minlength=size))
+            offsets = np.searchsorted(doc[kept], np.append(out, size))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), said.take(pa.array(kept))), " ")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out)), texts, pa.array(every[out]), pa.array(left[out])], names=[doc_id, "text", "origin_tokens", "compressed_tokens"])
+
+    more = (("text", T.StringType()), ("origin_tokens", T.LongType()), ("compressed_tokens", T.LongType()))
+    done = cut.mapInArrow(run, T.StructType([cut.schema[0], *(T.StructField(name, t) for name, t in more)]))
     return done.withColumn("compress_ratio", F.round(F.try_divide("origin_tokens", "compressed_tokens"), 4))

@@ -110,20 +110,27 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda x: x != "")
 
 
+def _numbered_sentences(docs: DataFrame, doc_id: str, question: str, text: str) -> DataFrame:
+    """(row_, doc_id, asked_, sentence_no, sentence): rows that share an id stay apart by a number of their own."""
+    rows = docs.select(doc_id, F.col(question).alias("asked_"), sentences(F.col(text)).alias("sentences_"), F.monotonically_increasing_id().alias("row_"))
+    return materialize(rows, "rows").select("row_", doc_id, "asked_", F.posexplode("sentences_").alias("sentence_no", "sentence"))
+
+
 def bm25_sentences(docs: DataFrame, doc_id: str, question: str, text: str, k: int) -> DataFrame:
     """The ``k`` sentences of each document that answer its question best by BM25, the document being the corpus:
-    (doc_id, sentence_no, sentence, score, rank). Ties keep the order of the text."""
-    cut = docs.select(doc_id, F.col(question).alias("asked_"), F.posexplode(sentences(F.col(text))).alias("sentence_no", "sentence"))
-    best = bm25(cut.withColumn("prior_no", F.col("sentence_no")), doc_id, "asked_", "sentence_no", "sentence", "prior_no").filter(F.col("rank") <= k)
-    return cut.drop("asked_").join(best, [doc_id, "sentence_no"])
+    (doc_id, sentence_no, sentence, score, rank). Ties keep the order of the text; rows that share an id are documents apart."""
+    cut = _numbered_sentences(docs, doc_id, question, text)
+    best = bm25(cut.withColumn("prior_no", F.col("sentence_no")), "row_", "asked_", "sentence_no", "sentence", "prior_no").filter(F.col("rank") <= k)
+    return cut.drop("asked_").join(best, ["row_", "sentence_no"]).select(doc_id, "sentence_no", "sentence", "score", "rank")
 
 
 def vector_sentences(docs: DataFrame, doc_id: str, question: str, text: str, k: int) -> DataFrame:
     """As ``bm25_sentences``, by the distance of the (stand-in) embeddings: (doc_id, sentence_no, sentence, distance, rank)."""
-    cut = docs.select(doc_id, F.col(question).alias("asked_"), F.posexplode(sentences(F.col(text))).alias("sentence_no", "sentence"))
+    cut = _numbered_sentences(docs, doc_id, question, text)
     far = squared_distance(pseudo_embedding(F.col("sentence")), pseudo_embedding(F.concat(F.lit("query: "), F.col("asked_"))))
-    near = Window.partitionBy(doc_id).orderBy("distance", "sentence_no")
-    return cut.select(doc_id, "sentence_no", "sentence", far.alias("distance")).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+    near = Window.partitionBy("row_").orderBy("distance", "sentence_no")
+    ranked = cut.withColumn("distance", far).withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= k)
+    return ranked.select(doc_id, "sentence_no", "sentence", "distance", "rank")
 
 
 def tfidf_sentences(docs: DataFrame, doc_id: str, text: str, k: int | None) -> DataFrame:
@@ -138,7 +145,7 @@ def tfidf_sentences(docs: DataFrame, doc_id: str, text: str, k: int | None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, no, score, rank = _sentence_ranks(batch.column(1), batch.column(2))
+            doc, no, score, rank = sentence_ranks(batch.column(1), batch.column(2))
             best = np.arange(len(doc)) if k is None else np.flatnonzero(rank <= k)
             said = pa.array(best)
             yield pa.RecordBatch.from_arrays(
@@ -151,7 +158,7 @@ def tfidf_sentences(docs: DataFrame, doc_id: str, text: str, k: int | None) -> D
     return ranked.withColumn("score", F.round("score", 6))
 
 
-def _sentence_ranks(sentences: pa.ListArray, said: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sentence_ranks(sentences: pa.ListArray, said: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document, number, score and rank (from 1) of each sentence of a batch; equal scores rank by number."""
     sizes = pc.list_value_length(sentences).to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(sizes)), sizes)

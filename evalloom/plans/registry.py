@@ -228,6 +228,23 @@ def route_track2(spark, sf):  # noqa: ANN001, ANN201
     return d.select("doc_id", est.alias("est_tokens"), routing.tier_question(est, synth).alias("tier"))
 
 
+@query(
+    f"""WITH t AS (SELECT doc_id, 6 + {WORDS_SQL} AS est_tokens, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), 'điều khoản|khoản|mục|điều|section|clause'))) >= 2 AS synth FROM documents)
+    SELECT doc_id, est_tokens, synth, CASE WHEN est_tokens < 2000 AND NOT synth THEN 'cheap' WHEN est_tokens < 8000 AND NOT synth THEN 'mid' ELSE 'strong' END AS tier FROM t"""
+)
+def route_by_features(spark, sf):  # noqa: ANN001, ANN201
+    f = routing.features_question(F.lit("What does this document tell us?"), F.split("text", "\n"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array(f)).alias("f")).select("doc_id", "f.*")
+    synth = F.col("requires_multi_clause_synthesis")
+    return d.select("doc_id", "est_tokens", synth.alias("synth"), routing.tier_question(F.col("est_tokens"), synth).alias("tier"))
+
+
+@query("SELECT source, lang, round(avg(quality), 4) AS accuracy, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2")
+def per_task_accuracy(spark, sf):  # noqa: ANN001, ANN201
+    """The accuracy matrix in rows, for tasks that nobody has listed; rows without a task are one of their own."""
+    return judged(spark, sf).groupBy("source", "lang").agg(F.round(F.avg(F.col("quality").cast("double")), 4).alias("accuracy"), F.count("*").alias("n"))
+
+
 EMAIL_SQL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 EMAIL_ONLY = redaction.Policy(categories={"email": redaction.DEFAULT.categories["email"]})
 
@@ -599,8 +616,15 @@ def first_rows(spark, sf):  # noqa: ANN001, ANN201
 
 
 def contracts(spark, sf):  # noqa: ANN001, ANN201
-    """One synthetic contract for each hundred orders."""
-    return scans.synthetic_contracts(spark, max(15, table(spark, sf, "orders").count() // 100))
+    """A contract for each supplier: its name, place, number and balance, the rest drawn by hashes of its key."""
+    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    known = {
+        "contract_no": F.concat(F.lit("SYNTH-CTR-"), F.col("s_suppkey").cast("string")),
+        "seller_name": F.col("s_name"),
+        "seller_address": F.concat(F.lit("SYNTH street, "), F.coalesce("n_name", F.lit("?"))),
+        "unit_price_vnd": F.greatest(F.lit(1), F.round(F.abs("s_acctbal") * 100_000)).cast("long"),
+    }
+    return scans.contracts_of(s, "s_suppkey", known)
 
 
 @query()

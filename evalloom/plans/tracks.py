@@ -21,6 +21,7 @@ ASK_CONFIGS = (("A", "A", False, False, "cheap"), ("B", "B", False, False, "chea
 EXPECTED = ["contract_no", "sign_date", "seller_name", "seller_tax_id", "buyer_name", "buyer_phone", "buyer_email", "model", "version", "color", "vin", "unit_price_vnd", "total_price_words_vi"]
 EXTRACT_ORDER = ["contract_no", "sign_date", "seller_name", "seller_address", "seller_tax_id", "seller_rep", "seller_rep_title", "buyer_name", "buyer_address", "buyer_phone", "buyer_email", "model", "version", "color", "vin", "includes_battery", "unit_price_vnd", "total_price_words_vi"]
 ASK_ORDER = ["contract_no", "sign_date", "seller_name", "seller_address", "seller_tax_id", "buyer_name", "buyer_phone", "buyer_email", "buyer_id", "model", "version", "color", "vin", "unit_price_vnd", "delivery_date", "delivery_place", "special_offer_a", "special_offer_b", "special_offer_c", "special_offer_d", "payment_stage_1_vnd", "payment_method"]
+API_ORDER = ["contract_no", "sign_date", "seller_name", "seller_address", "seller_tax_id", "seller_rep", "seller_rep_title", "buyer_name", "buyer_address", "buyer_phone", "buyer_email", "model", "version", "color", "vin", "unit_price_vnd", "total_price_words_vi", "delivery_date", "delivery_place", "special_offer_a", "special_offer_b", "special_offer_c", "special_offer_d"]
 QUESTIONS = (("Hop dong co hieu luc tu ngay nao?", "sign_date", False), ("Toi co the mua bao hiem o dau?", None, True))
 STUB_COST = 0.0001
 
@@ -88,6 +89,11 @@ def summary_track1(scored: DataFrame) -> DataFrame:
     return stats.config_summary(scored, ["config"], {"cost_usd": 6, "latency_ms": 1, "total_tokens": 1, "field_f1": 4, "table_teds": 4, "schema_conformance": 4, "pii_precision": 4, "pii_recall": 4, "pii_f1": 4})
 
 
+def case_texts(contracts: DataFrame, order: list[str] = API_ORDER) -> DataFrame:
+    """(case_id, text): the ``key: value`` lines of each contract that questions about one case are answered from."""
+    return contracts.select("case_id", field_text(F.col("ground_truth_fields"), order).alias("text"))
+
+
 def questions(contracts: DataFrame) -> DataFrame:
     """Two questions a contract: one that it answers, one to refuse."""
     g = F.col("ground_truth_fields")

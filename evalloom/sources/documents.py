@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evalloom.functions.text import case_key, money_words
@@ -62,11 +62,16 @@ SELLER = "Công ty TNHH Kinh doanh Ô tô Điện SYNTH Việt Nam"
 
 
 def synthetic_contracts(spark: SparkSession, n: int, seed: int = 42, anchor: str = "2026-01-01") -> DataFrame:
-    """case_id, source_pdf, schema_version, language, ground_truth_fields of ``n`` contracts.
+    """case_id, source_pdf, schema_version, language, ground_truth_fields of ``n`` contracts."""
+    return contracts_of(spark.range(n), "id", {}, seed, anchor)
 
-    Every field follows from a hash of (row, field, seed) and dates from ``anchor``, so a run can be repeated and split.
+
+def contracts_of(parties: DataFrame, key: str, known: dict[str, Column], seed: int = 42, anchor: str = "2026-01-01") -> DataFrame:
+    """One contract for each row of a table. ``known`` names the fields that the table has values for.
+
+    Every other field follows from a hash of (key, field, seed) and dates from ``anchor``, so a run can be repeated and split.
     """
-    i = F.col("id") + 1
+    i = F.col(key).cast("long") + 1
     draw = lambda name, m: F.pmod(F.xxhash64(F.lit(name), i, F.lit(seed)), F.lit(m))
     digits = lambda name, k: F.lpad(draw(name, 10**k).cast("string"), k, "0")
     letter = lambda name: F.chr(65 + draw(name, 26))
@@ -114,7 +119,10 @@ def synthetic_contracts(spark: SparkSession, n: int, seed: int = 42, anchor: str
         "special_offer_d": F.lit("Vinclub hạng Gold — tích điểm 1,2x"),
         "page2_notes": F.array(F.lit("Khách Hàng cần duy trì eSIM để sử dụng các tính năng thông minh."), F.lit("Bên Bán sẽ xử lý dữ liệu cá nhân theo Chính sách Bảo vệ Dữ liệu Cá nhân SYNTH.")),
     }
-    rows = spark.range(n).select(*[c.alias(k) for k, c in fields.items()])
+    unknown = sorted(set(known) - set(fields))
+    if unknown:
+        raise ValueError(f"no such fields: {unknown}")
+    rows = parties.select(*[c.alias(k) for k, c in (fields | known).items()])
     return rows.select("case_id", "source_pdf", F.lit("phase03.v1").alias("schema_version"), F.lit("vi").alias("language"), F.concat(F.lit("scans/"), "source_pdf").alias("source_scan_pdf"), F.struct(*fields).alias("ground_truth_fields"))
 
 
@@ -124,3 +132,34 @@ def contract_problems(contracts: DataFrame, pages: DataFrame | None = None) -> D
     checks = (("vin without mark", ~F.startswith(f["vin"], F.lit("SYNTH"))), ("tax id without mark", ~F.startswith(f["seller_tax_id"], F.lit("SYNTH"))), ("e-mail outside the test domain", ~F.endswith(f["buyer_email"], F.lit("@example.test"))), ("no price", ~(f["unit_price_vnd"] > 0)))
     found = contracts.select("case_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(what)) for what, bad in checks]))).alias("problem"))
     return found if pages is None else found.unionByName(pages.filter("page_count <> 3").select("case_id", F.lit("not three pages").alias("problem")))
+
+
+def contract_checks(contracts: DataFrame, pages: DataFrame, expected: int, marks: tuple[str, ...] = (), n_pages: int = 3) -> DataFrame:
+    """(check, passed, detail) of a set of contracts against its scans: pages (case_id, page_count, text).
+
+    Counts of records and scans, pages and marks of every scan, and the contract number of every record in its scan's text.
+    ``detail`` names up to ten cases that fail.
+    """
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")
+    said = plain(F.col("text"))
+    both = contracts.select("case_id", F.col("ground_truth_fields")["contract_no"].alias("number")).join(pages.select("case_id", "page_count", "text", F.lit(True).alias("scanned")), "case_id", "full")
+    each = {
+        "scan missing": F.col("scanned").isNull(),
+        "record missing": F.col("number").isNull(),
+        f"not {n_pages} pages": F.col("scanned") & (F.coalesce("page_count", F.lit(0)) != n_pages),
+        "contract number not in the scan": F.col("scanned") & F.col("number").isNotNull() & ~F.contains(said, plain(F.col("number"))),
+    } | {f"mark {m!r} not in the scan": F.col("scanned") & ~F.contains(said, F.lit(m)) for m in marks}
+    failed = both.select("case_id", F.explode(F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in each.items()]))).alias("check"))
+    few = failed.withColumn("k", F.row_number().over(Window.partitionBy("check").orderBy("case_id"))).filter("k <= 10").groupBy("check").agg(F.array_join(F.array_sort(F.collect_list("case_id")), ", ").alias("cases"))
+    names = contracts.sparkSession.createDataFrame([(n,) for n in each], "check string").join(few, "check", "left")
+    counts = contracts.agg(F.count("*").alias("n")).select(F.lit("records").alias("check"), "n").unionByName(pages.agg(F.count("*").alias("n")).select(F.lit("scans").alias("check"), "n"))
+    counted = counts.select("check", (F.col("n") == expected).alias("passed"), F.format_string("%d of %d", "n", F.lit(expected)).alias("detail"))
+    return counted.unionByName(names.select("check", F.col("cases").isNull().alias("passed"), F.coalesce("cases", F.lit("")).alias("detail")))
+
+
+def with_reruns(stored: DataFrame, files: DataFrame, provider: str, make: Callable[[], Engine], version: str = "1") -> DataFrame:
+    """The stored OCR results of a provider, and where a file has none, those of running the engine on it."""
+    own = stored.filter(F.col("ocr_provider") == provider)
+    missing = files.withColumn("case_", case_key("path")).join(own.select(F.col("case_id").alias("case_")).distinct(), "case_", "left_anti").drop("case_")
+    again = ocr(missing, provider, make, version)
+    return own.select(*again.columns).unionByName(again)

@@ -83,3 +83,23 @@ def first_path(*candidates: str | None) -> str:
         if c and os.path.exists(c):
             return c
     raise FileNotFoundError(f"none of {candidates}")
+
+
+def profile_path(name: str, folder: str) -> str:
+    """The file of a named profile: an absolute path, one below the working folder, ``folder/name.yaml``, ``folder/name``."""
+    tried = [name] if os.path.isabs(name) else []
+    tried += [os.path.join(os.getcwd(), name), os.path.join(folder, f"{name}.yaml"), os.path.join(folder, name)]
+    found = next((t for t in tried if os.path.isfile(t)), None)
+    if found is None:
+        raise FileNotFoundError(f"no profile {name!r}: looked for {tried}")
+    return found
+
+
+def profile(name: str, folder: str, env: dict[str, str] | None = None) -> dict:
+    return settings(profile_path(name, folder), env)
+
+
+def profile_chain(folder: str, config: str | None = None, env: dict[str, str] | None = None) -> list[dict]:
+    """The profiles that a list file names, in order; ``folder/config.yaml`` by default."""
+    names = settings(config or os.path.join(folder, "config.yaml"), env)
+    return [profile(n, folder, env) for n in names or []]
