@@ -3,7 +3,8 @@
 A page becomes a tree; paragraphs pass points for their length and commas to parent (whole), grandparent (half) and further
 ancestors (less), a container's score is discounted by its link density, and the best container is kept with those of its
 siblings that score or read like it. Subtrees that can only be furniture (navigation, headers, footers, asides, forms,
-scripts, comment sections, adverts, notices) neither score nor show.
+scripts, comment sections, adverts, notices) neither score nor show. Elements are furniture by what they are, or by words in
+their class and id; the latter are kept all the same where they hold the page's article or most of its text.
 
 Each page is one row: it is parsed and scored where it is read, without a shuffle, and tree and text are bounded by the page.
 
@@ -47,11 +48,15 @@ FURNITURE = frozenset(
     sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription syndication tagcloud tags teaser toc toolbar topbar tracking
     trending widget widgets warning alert dialog disclaimer""".split()
 )
-#: Of these, those that make furniture of a paragraph inside an article, too.
-ADVERT = frozenset("ad ads advert adverts advertisement advertising adsense adslot comment comments cookie cookies consent gdpr hidden newsletter promo promos promoted share sharing social sponsor sponsored sponsors subscribe subscription".split())
+#: Of these, those that make furniture of a paragraph inside an article, too, where one is a whole class of it.
+ADVERT = frozenset("ad ads advert adverts advertisement advertising adsense adslot comment comments cookie cookies consent gdpr hidden newsletter promo promos promoted sponsor sponsored sponsors".split())
 CONTENT = frozenset("article articlebody body content entry hentry main maincontent page post postbody story text blog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
 
+#: Inline elements end inside these; the search for an open paragraph ends at those.
+FENCES = frozenset(("td", "th", "table", "article"))
+P_STOPS = frozenset("td th table div article section button body li blockquote".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|--!>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _REST = re.compile(r"<!--.*\Z|<!\[CDATA\[.*\Z|<[!?][^>]*\Z()()()()()()", re.S)
 #: The end tag of a raw element, in ASCII case: lower-casing a page may change its length.
@@ -62,13 +67,19 @@ _SPACE = re.compile(r"\s+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+HARD, NAMED = 2, 1
+
+
 class Node:
-    __slots__ = ("tag", "names", "parent", "children", "dropped", "score", "scored", "order", "sizes", "story")
+    __slots__ = ("tag", "names", "parent", "children", "own", "dropped", "score", "scored", "order", "sizes", "story")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset[str], dropped: bool, order: int):
+    def __init__(self, tag: str, parent: Node | None, names: frozenset[str], own: int, order: int):
         #: 2 in an article or main, 1 in a container that its names call content, 0 elsewhere
         self.story = 2 if tag in ("article", "main") else max(parent.story if parent else 0, int(tag in ("div", "section") and bool(names & CONTENT)))
-        self.tag, self.parent, self.names, self.dropped, self.order = tag, parent, names, dropped, order
+        self.tag, self.parent, self.names, self.order = tag, parent, names, order
+        #: Furniture of its own: HARD by what it is, NAMED by its class and id only.
+        self.own = own
+        self.dropped = bool(own) or parent is not None and parent.dropped
         self.children: list[Node | str] = []
         self.score, self.scored, self.sizes = 0.0, False, None
 
@@ -84,19 +95,52 @@ def _names(attributes: dict[str, str]) -> frozenset[str]:
     return frozenset(w.lower() for w in re.split(r"[\s_-]+", said) if w) | frozenset(w.lower() for w in _PARTS.findall(said))
 
 
-def _is_dropped(tag: str, attributes: dict[str, str], names: frozenset[str], parent: Node) -> bool:
+def _furniture(tag: str, attributes: dict[str, str], names: frozenset[str], parent: Node) -> int:
     if tag in DROP or "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in ROLES or _HIDDEN.search(attributes.get("style", "")):
-        return True
+        return HARD
     if tag == "header":  # an article's own header holds its headline
-        return parent.story < 2
+        return HARD * (parent.story < 2)
     if parent.story and (tag in PARAGRAPH or tag not in BLOCK):  # such words on a paragraph of the story, or on a part of one
-        return bool(names & ADVERT)
-    return bool(names & FURNITURE) and not names & CONTENT and tag not in ("body", "html", "article", "main")
+        return HARD * (bool(names & ADVERT) and not ADVERT.isdisjoint(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()))
+    return NAMED * (bool(names & FURNITURE) and not names & CONTENT and tag not in ("body", "html", "article", "main"))
+
+
+class _Open:
+    """Open elements by name, so that no tag looks for a partner that is not there: in all, and inside the innermost cell,
+    table or article; and open paragraphs inside the innermost element that ends the search for one."""
+
+    def __init__(self) -> None:
+        self.all: dict[str, int] = {}
+        self.near: list[dict[str, int]] = [{}]
+        self.paragraphs = [0]
+
+    def enter(self, tag: str) -> None:
+        self.all[tag] = self.all.get(tag, 0) + 1
+        self.near[-1][tag] = self.near[-1].get(tag, 0) + 1
+        if tag in FENCES:
+            self.near.append({})
+        if tag in P_STOPS:
+            self.paragraphs.append(0)
+        self.paragraphs[-1] += tag == "p"
+
+    def leave(self, here: Node, to: Node) -> Node:
+        """Close all elements from ``here`` up to below ``to``."""
+        while here is not to:
+            tag = here.tag
+            self.paragraphs[-1] -= tag == "p"
+            if tag in P_STOPS:
+                self.paragraphs.pop()
+            if tag in FENCES:
+                self.near.pop()
+            self.near[-1][tag] -= 1
+            self.all[tag] -= 1
+            here = here.parent
+        return here
 
 
 def parse(page: str) -> Node:
     """The tree of a page; unclosed and crossed tags are closed as browsers close them, as far as blocks are concerned."""
-    root = Node("#root", None, frozenset(), False, 0)
+    root, opened = Node("#root", None, frozenset(), 0, 0), _Open()
     at, here, order, n = 0, root, 0, len(page)
     closed = page.rfind(">")  # beyond it no tag ends; looked for at every "<", that would take the square of the page
     while at < n:
@@ -114,37 +158,34 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            up = here
-            while up is not root and up.tag != tag:
-                if up.tag in ("td", "th", "table", "article") and tag not in BLOCK:
-                    up = root
-                    break
-                up = up.parent
-            if up is not root:
-                here = up.parent
+            there = (opened.all if tag in BLOCK or tag in FENCES else opened.near[-1]).get(tag, 0)
+            if there:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = opened.leave(here, up.parent)
             elif tag == "p":
-                here.children.append(Node("p", here, frozenset(), False, order))
+                here.children.append(Node("p", here, frozenset(), 0, order))
             continue
         raw = m[3] or m[6] or ""
-        if tag in CLOSES_P:  # a block ends an open paragraph
+        if tag in CLOSES_P and opened.paragraphs[-1]:  # a block ends an open paragraph
             up = here
-            while up is not root and up.tag not in ("td", "th", "table", "div", "article", "section", "button", "body", "li", "blockquote"):
-                if up.tag == "p":
-                    here = up.parent
-                    break
+            while up.tag != "p":
                 up = up.parent
+            here = opened.leave(here, up.parent)
         if tag in SELF_NESTING:
             up, stop = here, SELF_NESTING[tag]
             same = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            while up is not root and up.tag not in stop:
-                if up.tag in same:
-                    here = up.parent
-                    break
-                up = up.parent
+            if any(opened.all.get(x) for x in same):
+                while up is not root and up.tag not in stop:
+                    if up.tag in same:
+                        here = opened.leave(here, up.parent)
+                        break
+                    up = up.parent
         attributes = _attributes(raw)
         names = _names(attributes)
         order += 1
-        node = Node(tag, here, names, here.dropped or _is_dropped(tag, attributes, names, here), order)
+        node = Node(tag, here, names, _furniture(tag, attributes, names, here), order)
         here.children.append(node)
         if tag in VOID or raw.endswith("/") and tag not in BLOCK:
             continue
@@ -153,10 +194,43 @@ def parse(page: str) -> Node:
             close = page.find(">", end.end()) if end else -1
             at = close + 1 if close >= 0 else n
             continue
+        opened.enter(tag)
         here = node
+    _keep_stories(root)
     return root
 
 
+def _keep_stories(root: Node) -> None:
+    """Names alone never cost a page its story: containers that are furniture by their names only are kept after all where
+    they hold the page's article, or most of its text."""
+    nodes, stack = [], [root]
+    while stack:
+        here = stack.pop()
+        nodes.append(here)
+        stack += [c for c in reversed(here.children) if isinstance(c, Node) and c.own != HARD]
+    if not any(n.own == NAMED for n in nodes):
+        return
+    story = lambda n: n.tag in ("article", "main") and (not n.names & FURNITURE or bool(n.names & CONTENT))
+    size: dict[int, int] = {}
+    holds: dict[int, bool] = {}
+    for here in reversed(nodes):
+        inner = [c for c in here.children if isinstance(c, Node) and c.own != HARD]
+        size[id(here)] = sum(len(c.strip()) for c in here.children if isinstance(c, str)) + sum(size[id(c)] for c in inner)
+        holds[id(here)] = story(here) or any(holds[id(c)] and c.own == 0 for c in inner)
+    every = size[id(root)]
+    # An article, or a container that its names call content, with a paragraph at least, stands outside of all of them.
+    told = any(not n.dropped and (story(n) or n.story and size[id(n)] >= 140) for n in nodes)
+    for here in nodes:  # parents first
+        if here is root:
+            continue
+        if here.own == NAMED and not here.parent.dropped:
+            # what may be a list of comments or an advert counts as the story only where next to nothing else is there
+            share = 0.9 if here.names & ADVERT else 0.5
+            if not told and (holds[id(here)] or size[id(here)] > share * every):
+                here.own = 0
+        here.dropped = bool(here.own) or here.parent.dropped
+
+
 def _blocks(node: Node, out: list[list[str]]) -> None:
     """Text of ``node`` in blocks: inline elements stay in the block they are in."""
     stack: list[tuple[Node, int]] = [(node, 0)]
@@ -280,6 +354,8 @@ def best(root: Node) -> list[Node]:
             keep.append(c)
         elif c.tag in INLINE_HEADING and top.tag not in ("article", "main"):
             keep.append(c)
+        elif c.tag == top.tag and c.tag not in ("article", "main") and density(c) < 0.3 and (c.names == top.names if c.names or c.tag != "section" else not top.names):
+            keep.append(c)  # another part of the same kind
         elif c.scored and c.score >= limit and density(c) < 0.3 and (top.tag not in ("article", "main") or c.tag == top.tag):
             keep.append(c)
         elif c.tag == "p" and top.tag not in ("article", "main"):
