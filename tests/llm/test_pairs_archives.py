@@ -176,20 +176,45 @@ def test_embeddings_are_brute_force(spark, seed, block):
     assert embedding_dedup.near_duplicates(df.filter("vec_id = 5000")).count() == 1
 
 
-@pytest.mark.parametrize("way", ["small", "few partners", "many visits", "no cap"])
-def test_rare_and_loose_links_are_found(spark, way):
+@pytest.mark.parametrize("pairs", [0, 60, 1500])
+def test_rare_and_loose_links_are_found(spark, monkeypatch, pairs):
     rng = np.random.default_rng(4)
     x = embedding_dedup.unit(rng.normal(size=(4000, 64)))
-    pairs = 60 if way in {"small", "few partners"} else 1500
-    side = rng.normal(size=(pairs, 64))
-    side = embedding_dedup.unit(side - (side * x[:pairs]).sum(axis=1)[:, None] * x[:pairs])
-    x[-pairs:] = 0.953 * x[:pairs] + np.sqrt(1 - 0.953**2) * side  # cosines just above the threshold
+    if pairs:
+        side = rng.normal(size=(pairs, 64))
+        side = embedding_dedup.unit(side - (side * x[:pairs]).sum(axis=1)[:, None] * x[:pairs])
+        x[-pairs:] = 0.953 * x[:pairs] + np.sqrt(1 - 0.953**2) * side  # cosines just above the threshold
     df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
-    visiting = {"exact_rows": 0, "queries": 1000, "least_found": 100}
-    options = {"small": {}, "few partners": visiting, "many visits": {**visiting, "most_cells": 8}, "no cap": {**visiting, "most_cells": 10**9}}[way]
-    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, sample_rows=200, cell_rows=1, **options).collect()}
-    found = sum(got[i] == 1 and got[4000 - pairs + i] == 1 for i in range(pairs)) / pairs
-    assert found >= 0.999 if way == "no cap" else found == 1
+    visited, own = [], embedding_dedup._visited_pairs
+    monkeypatch.setattr(embedding_dedup, "_visited_pairs", lambda nodes, shared, bands, visits, *more: visited.append((visits, len(shared.value.first) ** 2)) or own(nodes, shared, bands, visits, *more))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, queries=1000, sample_rows=1000, block=300).collect()}
+    assert sum(got.values()) <= 2 * pairs
+    found = sum(got[i] == 1 and got[4000 - pairs + i] == 1 for i in range(pairs))
+    assert found >= 0.999 * pairs
+    (visits, cells), = visited
+    assert visits < cells / 2  # planted partners, at the threshold itself, say how far to go where nothing has a partner
+
+
+def test_planted_partners():
+    rng = np.random.default_rng(2)
+    x = embedding_dedup.unit(rng.normal(size=(50, 12)))
+    y = embedding_dedup.planted_partners(x, 0.95, rng)
+    assert np.allclose((x * y).sum(axis=1), 0.95) and np.allclose((y * y).sum(axis=1), 1)
+    index = embedding_dedup.MultiIndex.fit(x, 4, 1)
+    a, b = index.halves(x)
+    visits, cells = embedding_dedup.visits_to(index, a, b, index.cell(y)), index.cell(y)
+    for row, (n, cell) in enumerate(zip(visits, cells)):  # what it needs is where its partner is
+        assert index.visits(x[row : row + 1], int(n))[0][-1] == cell
+
+
+def test_each_pair_is_looked_at_from_one_side():
+    rng = np.random.default_rng(3)
+    bands = np.array([0, 0, 1, 1, 1, 2])
+    a, b = rng.integers(0, 24, (2, 500))  # cells of a grid of six rows and four columns
+    one = embedding_dedup.side_of(a, b, bands[a // 4], bands[b // 4])
+    other = embedding_dedup.side_of(b, a, bands[b // 4], bands[a // 4])
+    assert (one[a == b] & other[a == b]).all() and (one != other)[a != b].all()
+    assert 0.4 < one[a != b].mean() < 0.6
 
 
 def test_multi_sequence_order():
