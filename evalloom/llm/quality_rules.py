@@ -6,17 +6,23 @@ derived from them are joined back and filter. No cutoff of a measure is written
 
 1. Sketches of word length among the documents that pass the base rules give quartiles. Documents within Tukey's fences of
    their group (1.5 interquartile ranges beyond the quartiles) are its usual ones, so junk does not shape the tails.
-2. Sketches of all four ratios among the usual documents give the median and a tail quantile of each. A fence lies beyond the
-   tail by ``spread`` times the distance of tail and median, that of the level above where the group has none. One occurrence
-   of a thing that is counted (a symbol, a repeated window or line) rejects no document.
+2. Sketches of all four ratios, and of the number of words, among the usual documents give the median and tail quantiles. A
+   fence lies beyond the tail by ``spread`` times the distance of tail and median. Ratios of counted things (symbols, repeated
+   words and lines) come in steps: the distance is at least one occurrence in a short document, as the lower tail of the same
+   group's numbers of words has it, so a tail that coincides with the median leaves room for as much as can be told apart.
+
+Every quantile is a blend of all three levels: a group of n documents has the weight n / (n + prior), its language shares the
+rest with everything in the same way. So the sketch of every (lang, source) moves its own fences, however small it is, and a
+small group's few odd documents move them little. Word length was trimmed by step 1, so few documents tell where it lies
+(``length_prior``); the tail of counted things was not, and takes several times 1 / ``tail`` of them (``prior``).
 
 The sketches are exact while a group has at most about ``accuracy`` documents; beyond, ranks are off by n / ``accuracy``.
 
 Defined results
 * null or empty text: no words, all measures 0, base rules fail (fewer words than ``min_words``).
 * null lang or source: a group of its own (null-safe join).
-* a group with fewer than ``min_group`` documents uses its language's quantiles, a language with fewer those of all rows. Where
-  nothing passes the base rules there are no fences, and nothing is kept.
+* a group none of whose documents passes the base rules has no fences, and nothing of it is kept: all of them fail already. A
+  group or a language without usual documents is judged by the levels above.
 * ties and repeated rows: every row is judged on its own; equal rows get equal verdicts.
 * an empty table gives an empty result; extra columns pass through, clashing names are avoided.
 """
@@ -41,7 +47,8 @@ class Rules:
     max_repeat_percent: int = 50
     tail: float = 1 / 64
     spread: float = 2.0
-    min_group: int = 100
+    prior: int = 256
+    length_prior: int = 8
     accuracy: int = 10_000
 
 
@@ -78,13 +85,13 @@ def with_measures(df: DataFrame, text: str = "text", names: dict[str, str] | Non
     return df.select(*keep, *[v.cast("long").alias((names or {}).get(k, k)) for k, v in values.items()])
 
 
-#: Ratios that get fences: name, expression over the measures, what one occurrence is (no more than that is no fault),
-#: whether low values are rejected too.
+#: Ratios that get fences: name, expression over the measures, what one occurrence is in a document of ``short`` words (of
+#: repeats: a window of three words, twice), whether low values are rejected too.
 RATIOS = (
-    ("symbols", "n_symbols / n_words", "n_symbols <= 1", False),
-    ("repeats", "n_repeat_words / n_words", "n_repeat_words <= 6", False),
-    ("lines", "n_dup_lines / greatest(n_words / 10, 1)", "n_dup_lines <= 1", False),
-    ("length", "word_chars / n_words", "false", True),
+    ("symbols", "n_symbols / n_words", "1 / short", False),
+    ("repeats", "n_repeat_words / n_words", "6 / short", False),
+    ("lines", "n_dup_lines / greatest(n_words / 10, 1)", "1 / greatest(short / 10, 1)", False),
+    ("length", "word_chars / n_words", "0.0D", True),
 )
 
 
@@ -92,19 +99,21 @@ def base_failed(rules: Rules) -> Column:
     return (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
 
 
-def _levels(usual: DataFrame, names: list[str], at: list[float], rules: Rules) -> DataFrame:
-    """One row for each (lang, source): ``names`` with the quantiles ``at`` of its group, and under name_above those of the
-    level above; the group itself is its language, or everything, where it is too small."""
+def _levels(some: DataFrame, names: list[str], at: list[float], rules: Rules, groups: DataFrame | None = None) -> DataFrame:
+    """One row for each (lang, source) of ``groups``, or of ``some`` itself: ``names`` with the quantiles ``at``, blended of
+    those of the group, of its language and of everything. A group or language that has no rows has no weight."""
     sketches = [F.percentile_approx(name, at, rules.accuracy).alias(name) for name in names]
-    levels = materialize(usual.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketches), "sketches")
-    side = lambda level, mark: levels.filter(F.col("level") == level).select(*[F.col(c).alias(f"{c}_{mark}") for c in ("lang", "n", *names)])
-    pairs = levels.filter("level = 0").join(side(1, "lang"), F.col("lang").eqNullSafe(F.col("lang_lang"))).crossJoin(F.broadcast(side(3, "all")))  # one row
-    out = []
-    for name in names:
-        own, wide, all_ = F.col(name), F.col(f"{name}_lang"), F.col(f"{name}_all")
-        many, known = F.col("n") >= rules.min_group, F.col("n_lang") >= rules.min_group
-        out += [F.when(many, own).when(known, wide).otherwise(all_).alias(name), F.when(many & known, wide).otherwise(all_).alias(f"{name}_above")]
-    return pairs.select("lang", "source", *out)
+    levels = materialize(some.rollup("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("n"), *sketches), "sketches")
+    side = lambda level, mark: levels.filter(F.col("level") == level).select(*[F.col(c).alias(f"{c}_{mark}") for c in ("lang", "source", "n", *names)])
+    wanted = (levels.filter("level = 0") if groups is None else groups).select("lang", "source")
+    same = lambda key, mark: F.col(key).eqNullSafe(F.col(f"{key}_{mark}"))
+    pairs = wanted.join(side(0, "own"), same("lang", "own") & same("source", "own"), "left").join(side(1, "wide"), same("lang", "wide"), "left")
+    pairs = pairs.crossJoin(F.broadcast(side(3, "all")))  # one row
+    some_of = lambda c: F.coalesce(c, F.lit(0))
+    prior = lambda name: rules.length_prior if name == "length" else rules.prior
+    blend = lambda name, k, mark, above: (some_of(F.col(f"n_{mark}")) * some_of(F.col(f"{name}_{mark}")[k]) + prior(name) * above) / (some_of(F.col(f"n_{mark}")) + prior(name))
+    of = lambda name, k: blend(name, k, "own", blend(name, k, "wide", F.col(f"{name}_all")[k]))
+    return pairs.select("lang", "source", *[F.array(*[of(name, k) for k in range(len(at))]).alias(name) for name in names])
 
 
 def _with_group(rows: DataFrame, groups: DataFrame, lang: str, source: str) -> tuple[DataFrame, list[str]]:
@@ -122,17 +131,17 @@ def fences(measured: DataFrame, rules: Rules = Rules(), lang: str = "lang", sour
     """
     names = [name for name, *_ in RATIOS]
     ratios = [F.expr(e).cast("double").alias(name) for name, e, _, _ in RATIOS]
-    passed = measured.filter(~base_failed(rules) & (F.col("n_words") > 0)).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), *ratios)
-    quartiles = _levels(passed, ["length"], [0.25, 0.75], rules)
-    joined, (_, _, q, _) = _with_group(passed, quartiles, "lang", "source")
+    passed = measured.filter(~base_failed(rules) & (F.col("n_words") > 0)).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"), F.col("n_words").cast("double").alias("size"), *ratios)
+    quartiles = materialize(_levels(passed, ["length"], [0.25, 0.75], rules), "quartiles")
+    joined, (_, _, q) = _with_group(passed, quartiles, "lang", "source")
     beyond = 1.5 * (F.col(q)[1] - F.col(q)[0])  # Tukey's fences
-    usual = joined.filter(F.col("length").between(F.col(q)[0] - beyond, F.col(q)[1] + beyond)).select("lang", "source", *names)
-    tails = _levels(usual, names, [rules.tail, 0.5, 1 - rules.tail], rules)
+    usual = joined.filter(F.col("length").between(F.col(q)[0] - beyond, F.col(q)[1] + beyond)).select("lang", "source", "size", *names)
+    tails = _levels(usual, ["size", *names], [rules.tail, 0.5, 1 - rules.tail], rules, quartiles).withColumn("short", F.col("size")[0])
     lo, hi = [], []
-    for name, _, _, both in RATIOS:
-        x, above = F.col(name), F.col(f"{name}_above")
-        lo.append(x[0] - rules.spread * F.when(x[1] > x[0], x[1] - x[0]).otherwise(above[1] - above[0]) if both else F.lit(-1.0))
-        hi.append(x[2] + rules.spread * F.when(x[2] > x[1], x[2] - x[1]).otherwise(above[2] - above[1]))
+    for name, _, one, both in RATIOS:
+        x = F.col(name)
+        lo.append(x[0] - rules.spread * (x[1] - x[0]) if both else F.lit(-1.0))
+        hi.append(x[2] + rules.spread * F.greatest(x[2] - x[1], F.expr(one)))
     return tails.select("lang", "source", F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
 
 
@@ -141,9 +150,8 @@ def judge(measured: DataFrame, limits: DataFrame, rules: Rules = Rules(), lang:
     joined, (lang_, source_, lo, hi) = _with_group(measured, limits.select("lang", "source", "lo", "hi"), lang, source)
     failed, kept = private(joined, "base_failed", "kept")
     inside = F.lit(True)
-    for k, (_, e, one, _) in enumerate(RATIOS):
-        value = F.expr(e).cast("double")
-        inside = inside & (value.between(F.col(lo)[k], F.col(hi)[k]) | F.expr(one))
+    for k, (_, e, _, _) in enumerate(RATIOS):
+        inside = inside & F.expr(e).cast("double").between(F.col(lo)[k], F.col(hi)[k])
     fail = base_failed(rules) | (F.col("n_words") == 0)
     return joined.withColumns({failed: base_failed(rules), kept: F.when(fail, False).otherwise(F.coalesce(inside, F.lit(False)))}).drop(lang_, source_, lo, hi)
 

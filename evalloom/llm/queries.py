@@ -162,22 +162,20 @@ b AS (SELECT doc_id, lang, source, len(w) AS n_words, length(regexp_replace(t, '
   len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / n_words AS x1, n_repeat_words / n_words AS x2, n_dup_lines / greatest(n_words / 10, 1) AS x3, word_chars / n_words AS x4 FROM b),
 q AS (SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, quantile_disc(x4, [0.25, 0.75]) AS q FROM m WHERE NOT base_failed AND n_words > 0 GROUP BY ROLLUP (lang, source)),
-c AS (SELECT p.lang, p.source, CASE WHEN p.n >= 100 THEN p.q WHEN l.n >= 100 THEN l.q ELSE e.q END AS q
+c AS (SELECT p.lang, p.source, list_transform([1, 2], lambda i: (p.n * p.q[i] + 8 * ((l.n * l.q[i] + 8 * e.q[i]) / (l.n + 8))) / (p.n + 8)) AS q
   FROM q p JOIN q l ON p.level = 0 AND l.level = 1 AND p.lang IS NOT DISTINCT FROM l.lang JOIN q e ON e.level = 3),
 u AS (SELECT m.* FROM m JOIN c ON m.lang IS NOT DISTINCT FROM c.lang AND m.source IS NOT DISTINCT FROM c.source
   WHERE NOT base_failed AND n_words > 0 AND x4 BETWEEN q[1] - 1.5 * (q[2] - q[1]) AND q[2] + 1.5 * (q[2] - q[1])),
-t AS (SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, quantile_disc(x1, [1 / 64, 0.5, 63 / 64]) AS q1, quantile_disc(x2, [1 / 64, 0.5, 63 / 64]) AS q2,
-  quantile_disc(x3, [1 / 64, 0.5, 63 / 64]) AS q3, quantile_disc(x4, [1 / 64, 0.5, 63 / 64]) AS q4 FROM u GROUP BY ROLLUP (lang, source)),
-d AS (SELECT lang, source, level, n, struct_pack(q1, q2, q3, q4) AS s FROM t),
-g2 AS (SELECT p.lang, p.source, CASE WHEN p.n >= 100 THEN p.s WHEN l.n >= 100 THEN l.s ELSE e.s END AS s, CASE WHEN p.n >= 100 AND l.n >= 100 THEN l.s ELSE e.s END AS a
-  FROM d p JOIN d l ON p.level = 0 AND l.level = 1 AND p.lang IS NOT DISTINCT FROM l.lang JOIN d e ON e.level = 3),
-f AS (SELECT lang, source, s.q1[3] + 2 * CASE WHEN s.q1[3] > s.q1[2] THEN s.q1[3] - s.q1[2] ELSE a.q1[3] - a.q1[2] END AS h1,
-  s.q2[3] + 2 * CASE WHEN s.q2[3] > s.q2[2] THEN s.q2[3] - s.q2[2] ELSE a.q2[3] - a.q2[2] END AS h2,
-  s.q3[3] + 2 * CASE WHEN s.q3[3] > s.q3[2] THEN s.q3[3] - s.q3[2] ELSE a.q3[3] - a.q3[2] END AS h3,
-  s.q4[3] + 2 * CASE WHEN s.q4[3] > s.q4[2] THEN s.q4[3] - s.q4[2] ELSE a.q4[3] - a.q4[2] END AS h4,
-  s.q4[1] - 2 * CASE WHEN s.q4[2] > s.q4[1] THEN s.q4[2] - s.q4[1] ELSE a.q4[2] - a.q4[1] END AS l4 FROM g2)
+t AS (SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, [quantile_disc(n_words::DOUBLE, [1 / 64, 0.5, 63 / 64]), quantile_disc(x1, [1 / 64, 0.5, 63 / 64]),
+  quantile_disc(x2, [1 / 64, 0.5, 63 / 64]), quantile_disc(x3, [1 / 64, 0.5, 63 / 64]), quantile_disc(x4, [1 / 64, 0.5, 63 / 64])] AS q FROM u GROUP BY ROLLUP (lang, source)),
+z AS (SELECT c.lang, c.source, coalesce(p.n, 0) AS pn, p.q AS pq, coalesce(l.n, 0) AS ln, l.q AS lq, e.q AS eq, [256, 256, 256, 256, 8] AS k FROM c LEFT JOIN t p ON p.level = 0 AND p.lang IS NOT DISTINCT FROM c.lang
+  AND p.source IS NOT DISTINCT FROM c.source LEFT JOIN t l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM c.lang JOIN t e ON e.level = 3),
+d AS (SELECT lang, source, list_transform([1, 2, 3, 4, 5], lambda j: list_transform([1, 2, 3],
+  lambda i: (pn * coalesce(pq[j][i], 0) + k[j] * ((ln * coalesce(lq[j][i], 0) + k[j] * eq[j][i]) / (ln + k[j]))) / (pn + k[j]))) AS s FROM z),
+f AS (SELECT lang, source, s[2][3] + 2 * greatest(s[2][3] - s[2][2], 1 / s[1][1]) AS h1, s[3][3] + 2 * greatest(s[3][3] - s[3][2], 6 / s[1][1]) AS h2,
+  s[4][3] + 2 * greatest(s[4][3] - s[4][2], 1 / greatest(s[1][1] / 10, 1)) AS h3, s[5][3] + 2 * (s[5][3] - s[5][2]) AS h4, s[5][1] - 2 * (s[5][2] - s[5][1]) AS l4 FROM d)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n_words > 0
-  AND coalesce((x1 <= h1 OR n_symbols <= 1) AND (x2 <= h2 OR n_repeat_words <= 6) AND (x3 <= h3 OR n_dup_lines <= 1) AND x4 BETWEEN l4 AND h4, false) AS kept
+  AND coalesce(x1 <= h1 AND x2 <= h2 AND x3 <= h3 AND x4 BETWEEN l4 AND h4, false) AS kept
 FROM m LEFT JOIN f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source""",
     "op10_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),

@@ -118,6 +118,21 @@ def test_fences_follow_their_group(spark):
     assert usual["a"][1][0] > 0.2 > base["a"][1][0] and len(all_kept) > 560
 
 
+def test_small_groups_move_their_fences_and_few_signs_are_no_fault(spark):
+    rng = random.Random(6)
+    words = lambda n, length=5: " ".join("".join(rng.choice("abcdef") for _ in range(max(1, round(rng.gauss(length, 1))))) for _ in range(n))
+    rows = [(i, words(rng.randint(55, 300)), "en", f"s{i % 40}") for i in range(400)]  # ten documents a source
+    rows += [(400, words(20_000) + " # %", "en", "s0"), (401, words(60) + " #", "en", "s1"), (402, words(100) + " # #" * 40, "en", "s2"), (403, words(120), "fr", "lone"), (404, words(80, 6), None, None)]
+    rows += [(405 + i, words(100, 9), "en", "long") for i in range(300)]
+    measured = quality_rules.with_measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    fences = quality_rules.fences(measured)
+    limits = {(r.lang, r.source): (tuple(r.lo), tuple(r.hi)) for r in fences.collect()}
+    assert len(set(limits.values())) == len(limits) == 43  # none is another group's
+    assert limits["en", "long"][0][3] > max(v[0][3] for (lang, s), v in limits.items() if lang == "en" and s != "long")
+    kept = {r.doc_id for r in quality_rules.judge(measured, fences).filter("kept").collect()}
+    assert {400, 401, 403} <= kept and 402 not in kept and len(kept & set(range(400))) >= 0.97 * 400
+
+
 def labelled(docs, column, rule):
     return docs.select("doc_id", F.when(rule, 1).otherwise(0).alias(column)).filter("doc_id is not null")
 

@@ -43,24 +43,25 @@ def test_stages_drop_nothing_else(spark, small, stages):
         rows.append((r, ratios, n >= rules.min_words and 100 * repeats <= rules.max_repeat_percent * n))
     rank = lambda values, p: sorted(values)[max(math.ceil(p * len(values)), 1) - 1]
 
-    def levels(d, some):
-        """The group of d and the level above it, by their sizes."""
-        own = [[x for e, x in some if same(e)] for same in (lambda e: (e.lang, e.source) == (d.lang, d.source), lambda e: e.lang == d.lang, lambda e: True)]
-        many = [len(g) >= rules.min_group for g in own]
-        return (own[0] if many[0] else own[1] if many[1] else own[2]), (own[1] if many[0] and many[1] else own[2])
+    def blended(d, some, value, p, prior=rules.prior):
+        """The quantile p of d's group, its language and all, weighed by their numbers."""
+        out = rank([value(e, y) for e, y in some], p)
+        for same in (lambda e: e.lang == d.lang, lambda e: (e.lang, e.source) == (d.lang, d.source)):
+            own = [value(e, y) for e, y in some if same(e)]
+            out = (len(own) * (rank(own, p) if own else 0) + prior * out) / (len(own) + prior)
+        return out
 
     passed = [(d, x) for d, x, ok in rows if ok]
     usual = []
     for d, x in passed:
-        low, high = (rank([y[3] for y in levels(d, passed)[0]], p) for p in (0.25, 0.75))
+        low, high = (blended(d, passed, lambda e, y: y[3], p, rules.length_prior) for p in (0.25, 0.75))
         usual += [(d, x)] if low - 1.5 * (high - low) <= x[3] <= high + 1.5 * (high - low) else []
     keeps = []
     for d, x in passed:
-        inside = True
-        for k, one in enumerate((1, 6, 1, 0)):
-            (lo, mid, hi), (lo2, mid2, hi2) = ([rank([y[k] for y in g], p) for p in (rules.tail, 0.5, 1 - rules.tail)] for g in levels(d, usual))
-            few = one and (x[k] * (len(WORD.findall(d.text)) if k < 2 else max(len(WORD.findall(d.text)) / 10, 1))) <= one + 1e-9
-            inside &= bool(few) or x[k] <= hi + rules.spread * (hi - mid or hi2 - mid2) and (k < 3 or x[k] >= lo - rules.spread * (mid - lo or mid2 - lo2))
+        inside, short = True, blended(d, usual, lambda e, y: len(WORD.findall(e.text)), rules.tail)
+        for k, one in enumerate((1 / short, 6 / short, 1 / max(short / 10, 1), 0)):
+            lo, mid, hi = (blended(d, usual, lambda e, y: y[k], p, rules.length_prior if k == 3 else rules.prior) for p in (rules.tail, 0.5, 1 - rules.tail))  # noqa: B023
+            inside &= x[k] <= hi + rules.spread * max(hi - mid, one) and (k < 3 or x[k] >= lo - rules.spread * (mid - lo))
         keeps += [d.doc_id] if inside else []
     assert Counter(keeps) == Counter(r.doc_id for r in good.collect())
     scores = toxicity.score(good, spark.read.parquet(f"{small}/labels.parquet").select("doc_id", "toxic")).collect()
