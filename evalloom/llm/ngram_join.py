@@ -6,9 +6,10 @@ Documents link when their sets of word shingles have a Jaccard similarity of ``p
    large share of the documents have (a bounded list found in a first pass) are left out of these, so a common passage fills
    no bucket. The number of min-hashes grows with the share of a document that is left out, so that a pair that links
    misses all common buckets with a probability of a few billionths. Documents made of common shingles also use min-hashes
-   of the whole set. With ``keys="prefix"`` buckets are exact instead: a node goes to those of its rarest shingles, as many
-   as a linked partner cannot all lack (a quarter of the set, some ten times the keys). Buckets that hold the same nodes
-   are one.
+   of the whole set. What fills buckets beyond ``bucket_rows`` nodes all the same, passages too rare for the first pass, is
+   looked up there, joins the list, and all keys are taken anew. With ``keys="prefix"`` buckets are exact instead: a node
+   goes to those of its rarest shingles, as many as a linked partner cannot all lack (a quarter of the set, some ten times
+   the keys). Buckets that hold the same nodes are one.
 2. Signature trees in each bucket: leaves are bitmaps of the nodes' shingles, inner nodes OR them and keep the range of set
    sizes; the dual traversal drops a pair of tree nodes whose largest possible overlap cannot reach the similarity. What is
    left connects nodes into groups; a bucket beyond ``bucket_rows`` connects all its nodes without looking.
@@ -50,6 +51,8 @@ STEPS = ((0.02, 14), (0.1, 15), (0.25, 18), (0.5, 28), (1.0, 42))
 #: Beyond this share min-hashes of the whole set serve as well: linked pairs below it miss 42 buckets with 0.625 ** 42.
 MOSTLY = 0.6
 MANY, WHOLE = STEPS[-1][1], 16
+#: Bits of a screen for each wanted text.
+TEXT_BITS = 32
 
 
 def common_shingles(docs: DataFrame, size: int, share: float, least: int, most: int, chunk: int = 16 << 20) -> np.ndarray:
@@ -262,10 +265,32 @@ def _pair_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.int64())})
 
 
+def bucket_sizes(nodes: DataFrame) -> DataFrame:
+    """(key, rows, least): the buckets of several nodes, their numbers of nodes and their smallest nodes."""
+    keyed = nodes.select(F.explode("keys").alias("key"), "node")
+    return materialize(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("least")).filter(F.col("rows") > 1), "buckets")
+
+
+def crowded_shingles(docs: DataFrame, nodes: DataFrame, size: int, bucket_rows: int, most: int, a_task: int = 2_000) -> np.ndarray:
+    """Hashes of the shingles that fill the buckets of more than ``bucket_rows`` nodes, ascending: those that half as many of
+    the nodes of such buckets have. Each of these nodes is looked at beside others of one of its buckets, so a passage that is
+    rare in the table is found here however large the table is."""
+    wide = materialize(bucket_sizes(nodes).filter(F.col("rows") > bucket_rows).select("key", "rows"), "wide-buckets")
+    if wide.isEmpty():
+        return np.zeros(0, np.uint64)
+    keyed = screened(nodes.select(F.explode("keys").alias("key"), "node"), "key", wide.select("key")).join(wide, "key")
+    one = materialize(keyed.groupBy("node").agg(F.min(F.struct("key", "rows")).alias("in_")).select(F.col("node").alias("doc_id"), "in_.*"), "crowded")
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / a_task))
+    texts = screened(docs.filter("doc_id is not null"), "doc_id", one.select("doc_id"), TEXT_BITS).join(one.withColumn("part", part), "doc_id")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    beside = texts.select("key", "part", "text").repartition(parts, "key", "part").sortWithinPartitions("key", "part")
+    return common_shingles(beside, size, 0.0, max(2, bucket_rows // 2), most)
+
+
 def coarse_links(nodes: DataFrame, percent: int, bucket_rows: int) -> DataFrame:
     """(a, b): links enough to connect all nodes that may be similar."""
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    counts = materialize(keyed.groupBy("key").agg(F.count("*").alias("rows"), F.min("node").alias("least")).filter(F.col("rows") > 1), "buckets")
+    counts = bucket_sizes(nodes)
     shared = materialize(screened(keyed, "key", counts.select("key")).join(counts, "key"), "shared")
     wide = shared.filter(F.col("rows") > bucket_rows).select(F.col("node").alias("a"), F.col("least").alias("b")).filter("a <> b")
     # near copies meet in many buckets, which mostly hold the same nodes: one of these is enough
@@ -349,34 +374,36 @@ def _join_blocks(percent: int):
 
 
 def _sets(size: int):
-    schema = pa.schema([("grp", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("values", pa.binary())])
+    schema = pa.schema([("grp", pa.int64()), ("blk", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("values", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, w in slices(batch.column(2)):
+            for at, w in slices(batch.column(3)):
                 values, first = shingles(w, size)
                 raw = [pack48(values[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 k = len(raw)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), batch.column(1).slice(at, k), pa.array(np.diff(first)), pa.array(raw, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, k) for c in range(3)), pa.array(np.diff(first)), pa.array(raw, pa.binary())], schema=schema)
 
     return run
 
 
+def _dealt(nodes: DataFrame, block_rows: int, level: int) -> DataFrame:
+    """``nodes`` with a block ``blk`` of their group each; a group has one for each ``block_rows`` of its nodes."""
+    blocks = nodes.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    return nodes.join(blocks, "grp").withColumn("blk", F.pmod(F.xxhash64("node", F.lit(level)), F.col("blocks"))).drop("blocks")
+
+
 def exact_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int, block_rows: int) -> DataFrame:
     """(id, component): the classes of similar nodes of each group (node, grp)."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wanted = groups.select(F.col("node").alias("doc_id"), "grp")
-    texts = screened(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
-    items = texts.select("grp", F.col("doc_id").alias("node"), "text").mapInArrow(_sets(size), "grp long, node long, n long, values binary")
+    # blocks are dealt before texts are read: sets are written where their texts are, and shuffled only to their blocks
+    wanted = materialize(_dealt(groups, block_rows, 0).select(F.col("node").alias("doc_id"), "grp", "blk"), "wanted")
+    texts = screened(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id"), TEXT_BITS).join(wanted, "doc_id")
+    sets = materialize(texts.select("grp", "blk", F.col("doc_id").alias("node"), "text").mapInArrow(_sets(size), SETS), "sets")
+    dealt = sets
     links, level = [], 0
-    sets = None
     while True:
-        counts = (groups if level == 0 else items).groupBy("grp").agg(F.count("*").alias("rows"))
-        blocks = counts.select("grp", F.ceil(F.col("rows") / block_rows).alias("blocks"))
-        dealt = items.join(blocks, "grp").select("grp", F.pmod(F.xxhash64("node", F.lit(level)), F.col("blocks")).alias("blk"), "node", "n", "values")
-        if level == 0:
-            dealt = sets = materialize(dealt, "sets")
         joined = dealt.repartition(parts, "grp", "blk").sortWithinPartitions("grp", "blk").mapInArrow(_join_blocks(percent), JOINED)
         joined = materialize(joined, "joined")
         links.append(joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -386,6 +413,7 @@ def exact_classes(docs: DataFrame, groups: DataFrame, size: int, percent: int, b
             break
         items = materialize(joined.filter("node = root").join(going, "grp").select("grp", "node", "n", "values"), "roots")
         level += 1
+        dealt = _dealt(items, block_rows, level).select("grp", "blk", "node", "n", "values")
     found = links[0]
     for more in links[1:]:
         found = found.unionByName(more)
@@ -443,8 +471,15 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 75, keys: str = "m
     member = materialize(light.join(same, identity, "left").select("doc_id", "n", "id1", "node"), "members")
     # bitmaps and keys of copies are left where they are: one document stands for all with its set
     copies = materialize(member.filter("n > 0 and doc_id <> node").select(F.xxhash64("doc_id", "id1").alias("copy")).distinct(), "copies")
-    known = known.filter("n > 0 and doc_id is not null").withColumn("copy", F.xxhash64("doc_id", "id1"))
-    nodes = without(known, "copy", copies).select(F.col("doc_id").alias("node"), "n", "keys", "map")
+
+    def nodes_of(known: DataFrame) -> DataFrame:
+        there = known.filter("n > 0 and doc_id is not null").withColumn("copy", F.xxhash64("doc_id", "id1"))
+        return without(there, "copy", copies).select(F.col("doc_id").alias("node"), "n", "keys", "map")
+
+    nodes = nodes_of(known)
+    crowded = crowded_shingles(docs, nodes, size, bucket_rows, most_common)
+    if len(np.setdiff1d(crowded, common)):
+        nodes = nodes_of(materialize(signatures(docs, size, np.union1d(common, crowded), percent, keys), "signatures"))
     near = components(coarse_links(nodes, percent, bucket_rows))
     groups = near.select(F.col("id").alias("node"), F.col("component").alias("grp"))
     found = exact_classes(docs, groups, size, percent, block_rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A screen has eight bits a wanted value, 2 ** SCREEN_BITS at the most (32 MB); with more wanted values there is none, and the
+#: A screen has eight bits a wanted value or more, 2 ** SCREEN_BITS at the most (32 MB); with more wanted values there is none, and the
 #: join shuffles all rows.
 SCREEN_BITS = 28
 
@@ -22,16 +22,18 @@ def with_screen(rows: DataFrame, column: str, wanted: DataFrame, bits: int) -> D
     return found.withColumn("maybe_", hit).drop("p_", "word_", "bits_")
 
 
-def screen_bits(wanted: DataFrame) -> int | None:
-    """Eight bits for each of ``wanted`` (a table that is cheap to count), or None where the bitmap would be too large."""
-    bits = max(10, (8 * wanted.count()).bit_length())
+def screen_bits(wanted: DataFrame, each: int = 8) -> int | None:
+    """``each`` bits for each of ``wanted`` (a table that is cheap to count), down to eight where the bitmap would be too large,
+    or None where it still would be."""
+    n = wanted.count()
+    bits = min(max(10, (each * n).bit_length()), max(SCREEN_BITS, (8 * n).bit_length()))
     return bits if bits <= SCREEN_BITS else None
 
 
-def screened(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose ``column`` may be among ``wanted``: most others stay out of the shuffle of the join that decides. With
-    more wanted values than a screen takes, all rows."""
-    bits = screen_bits(wanted)
+def screened(rows: DataFrame, column: str, wanted: DataFrame, each: int = 8) -> DataFrame:
+    """The rows whose ``column`` may be among ``wanted``: most others stay out of the shuffle of the join that decides, all but
+    one in ``each``, so wide rows ask for more bits. With more wanted values than a screen takes, all rows."""
+    bits = screen_bits(wanted, each)
     return rows if bits is None else with_screen(rows, column, wanted, bits).filter("maybe_").drop("maybe_")
 
 

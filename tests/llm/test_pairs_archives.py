@@ -89,11 +89,35 @@ def test_template_in_all_documents(spark, keys):
     assert got == brute(rows)
 
 
+def test_rare_passages_tie_no_groups(spark, monkeypatch):
+    """Passages too rare for the list of common shingles fill buckets, but do not make their documents one group."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passages = [[word() for _ in range(30)] for _ in range(3)]
+    rows = [(i, " ".join(passages[i % 3] + [word() for _ in range(50)])) for i in range(240)]
+    rows += [(1000 + i, rows[i][1] + " " + word()) for i in range(0, 240, 40)]
+    groups = []
+    exact = ngram_join.exact_classes
+
+    def seen(docs, found, *rest):
+        groups.extend(r["count"] for r in found.groupBy("grp").count().collect())
+        return exact(docs, found, *rest)
+
+    monkeypatch.setattr(ngram_join, "exact_classes", seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.classes(df, bucket_rows=16, block_rows=20).collect()}
+    assert got == brute(rows)
+    assert max(groups) == 2
+
+
 def test_screens(spark, monkeypatch):
     rows, some = spark.range(1000).selectExpr("id", "id % 7 as x"), spark.range(0, 1000, 10).selectExpr("id as k")
     assert {r.id for r in screens.screened(rows, "id", some).collect()} >= set(range(0, 1000, 10))
     expected = sorted(set(range(1000)) - set(range(0, 1000, 10)))
     assert sorted(r.id for r in screens.without(rows, "id", some).collect()) == expected
+    assert screens.screen_bits(some, 32) > screens.screen_bits(some)
+    monkeypatch.setattr(screens, "SCREEN_BITS", 10)  # room for eight bits each, not for 32
+    assert screens.screen_bits(some, 32) == screens.screen_bits(some) == 10
     monkeypatch.setattr(screens, "SCREEN_BITS", 4)  # more values than a screen takes
     assert screens.screened(rows, "id", some).count() == 1000
     assert sorted(r.id for r in screens.without(rows, "id", some).collect()) == expected
