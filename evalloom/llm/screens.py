@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A screen has eight bits a wanted value or more, 2 ** SCREEN_BITS at the most (32 MB); with more wanted values there is none, and the
-#: join shuffles all rows.
+#: A screen has eight bits a wanted value or more, 2 ** SCREEN_BITS at the most (32 MB); with more wanted values there is
+#: none, and the join shuffles all rows.
 SCREEN_BITS = 28
 
 
