@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalloom.session import ship
 
@@ -72,6 +73,19 @@ def chunk_documents(docs: DataFrame, case_id: str, text: str, size: int = 400, o
     return cut.select("case_id", "ordinal", F.format_string("%s-c%03d", "case_id", "ordinal").alias("chunk_id"), "text")
 
 
+def with_chunks(docs: DataFrame, text: str, name: str = "chunks", size: int = 400, overlap: int = 40) -> DataFrame:
+    """``docs`` with the chunks of each row's text as an array; a null or empty text has none. One pass, no shuffle."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = pa.array([split_recursive(t.as_py(), size, overlap) for t in batch.column(at)], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, chunks], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))]))
+
+
 def chunk_fixed(docs: DataFrame, case_id: str, text: str, size: int = 400, overlap: int = 40) -> DataFrame:
     """Windows of ``size`` characters, each ``size - overlap`` after the one before; all in the JVM."""
     step = size - overlap

@@ -105,6 +105,53 @@ def bm25(pairs: DataFrame, query_id: str, query: str, item_id: str, text: str, p
     return out.select(F.col("q_").alias(query_id), F.col("i_").alias(item_id), "score", F.row_number().over(rank).alias("rank"))
 
 
+def bm25_in_rows(rows: DataFrame, query: str, texts: Column, order: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """``rows`` with the places (from 0) of each row's ``texts``, best first by the scores of ``bm25``, the row being the corpus.
+
+    Scores that are equal to nine places keep the order of the texts; no texts, no places. For lists that fit into a row: words
+    never become rows, so nothing is shuffled, joined or broadcast, and numpy counts them for a batch of rows at a time.
+    """
+    ship(rows.sparkSession)
+    n = len(rows.columns)
+    cut = rows.select("*", words(query).alias("asked_"), F.transform(F.coalesce(texts, F.array().cast("array<string>")), words).alias("said_"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = bm25_places(batch.column(n), batch.column(n + 1), k1, b, epsilon)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], places], names=[*batch.schema.names[:n], order])
+
+    return cut.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(order, T.ArrayType(T.IntegerType()))]))
+
+
+def bm25_places(asked: pa.ListArray, said: pa.ListArray, k1: float, b: float, epsilon: float) -> pa.ListArray:
+    """Places of each row's texts, best first: the words of a batch's queries, and those of each row's texts."""
+    sizes = pc.list_value_length(said).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    each = said.flatten()
+    length = pc.list_value_length(each).to_numpy(zero_copy_only=False).astype(np.int64)
+    mean = np.bincount(row, length, len(sizes)) / np.maximum(sizes, 1)
+    coded = pa.concat_arrays([each.flatten(), asked.flatten()]).dictionary_encode()
+    codes, n_words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+    n_said = int(length.sum())
+    pair, tf = np.unique(np.repeat(np.arange(len(row)), length) * n_words + codes[:n_said], return_counts=True)
+    at, word = pair // n_words, pair % n_words
+    term, which, df = np.unique(row[at] * n_words + word, return_inverse=True, return_counts=True)
+    own = term // n_words
+    idf = np.log(sizes[own] - df + 0.5) - np.log(df + 0.5)
+    mean_idf = np.bincount(own, idf, len(sizes)) / np.maximum(np.bincount(own, minlength=len(sizes)), 1)
+    idf = np.where(idf < 0, epsilon * mean_idf[own], idf)
+    by_row = np.repeat(np.arange(len(sizes)), pc.list_value_length(asked).to_numpy(zero_copy_only=False))
+    wanted, times = np.unique(by_row * n_words + codes[n_said:], return_counts=True)
+    repeats = np.zeros(len(term), np.int64)
+    _, here, there = np.intersect1d(term, wanted, assume_unique=True, return_indices=True)
+    repeats[here] = times[there]
+    part = repeats[which] * idf[which] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / mean[row[at]]))
+    score = np.bincount(at, part, len(row))
+    first = np.cumsum(sizes) - sizes
+    best = np.lexsort((np.arange(len(row)), -np.round(score, 9), row))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(best - first[row[best]], pa.int32()))
+
+
 def sentences(text: Column) -> Column:
     """Where white space follows a full stop, exclamation or question mark, a text is cut; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+"), lambda x: x != "")

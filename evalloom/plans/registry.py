@@ -617,7 +617,9 @@ def first_rows(spark, sf):  # noqa: ANN001, ANN201
 
 def contracts(spark, sf):  # noqa: ANN001, ANN201
     """A contract for each supplier: its name, place, number and balance, the rest drawn by hashes of its key."""
-    s = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    # dealt out while rows are short: a file of suppliers is one task, and what a contract costs is not seen in it
+    suppliers = table(spark, sf, "supplier").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    s = suppliers.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     known = {
         "contract_no": F.concat(F.lit("SYNTH-CTR-"), F.col("s_suppkey").cast("string")),
         "seller_name": F.col("s_name"),

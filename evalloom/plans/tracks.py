@@ -94,26 +94,36 @@ def case_texts(contracts: DataFrame, order: list[str] = API_ORDER) -> DataFrame:
     return contracts.select("case_id", field_text(F.col("ground_truth_fields"), order).alias("text"))
 
 
+def asked_of(fields: Column) -> Column:
+    """The questions to a contract of these fields, an array: one that it answers, one to refuse."""
+    return F.array(*[F.struct(F.lit(q).alias("question"), (fields[f] if f else F.lit("")).alias("answer"), F.lit(r).alias("is_refusable")) for q, f, r in QUESTIONS])
+
+
 def questions(contracts: DataFrame) -> DataFrame:
     """Two questions a contract: one that it answers, one to refuse."""
-    g = F.col("ground_truth_fields")
-    ask = F.array(*[F.struct(F.lit(q).alias("question"), (g[f] if f else F.lit("")).alias("answer"), F.lit(r).alias("is_refusable")) for q, f, r in QUESTIONS])
-    return contracts.select("case_id", F.explode(ask).alias("q")).select("case_id", "q.*")
+    return contracts.select("case_id", F.inline(asked_of(F.col("ground_truth_fields"))))
 
 
 def track2(contracts: DataFrame, top_k: int = 8, configs: DataFrame | None = None) -> DataFrame:
-    """EvalLog rows of question answering: one for each question and configuration."""
+    """EvalLog rows of question answering: one for each question and configuration.
+
+    A contract stays one row from its text to the ranked lists of its questions. Chunks or words as rows of their own would be
+    joined back, and from the small files they compress to Spark takes them for tables to broadcast.
+    """
     spark = contracts.sparkSession
-    texts = contracts.select("case_id", redaction.redact(field_text(F.col("ground_truth_fields"), ASK_ORDER))["text"].alias("text"))
-    chunks = chunking.chunk_documents(texts, "case_id", "text").withColumn("vec", retrieval.pseudo_embedding(F.col("text")))
-    asked = questions(contracts).withColumn("query_id", F.xxhash64("case_id", "question")).withColumn("query_vec", retrieval.pseudo_embedding(F.concat(F.lit("query: "), F.col("question"))))
-    pairs = asked.join(chunks.select("case_id", "chunk_id", "ordinal", F.col("text").alias("chunk"), "vec"), "case_id")
-    near = logs.top_matches(pairs.withColumn("distance", retrieval.squared_distance(F.col("vec"), F.col("query_vec"))), ["query_id"], [F.col("distance"), F.col("chunk_id")], top_k).drop("vec", "query_vec")
-    near = materialize(near, "retrieved")  # used by the ranking and by the lists
-    ranked = retrieval.bm25(near.withColumn("prior", F.struct("distance", "chunk_id")), "query_id", "question", "chunk_id", "chunk", "prior").select("query_id", "chunk_id", F.col("rank").alias("bm25_rank"))
-    listed = near.join(ranked, ["query_id", "chunk_id"]).groupBy("query_id", "case_id", "question", "answer", "is_refusable")
-    order = lambda first: F.transform(F.sort_array(F.collect_list(F.struct(*first, F.col("chunk_id"), F.col("chunk").alias("text")))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text")))
-    both = listed.agg(order([F.col("distance")]).alias("by_distance"), order([F.col("bm25_rank")]).alias("by_bm25"))
+    g = F.col("ground_truth_fields")
+    # bound once: each pattern would put the text together again
+    text = F.transform(F.array(field_text(g, ASK_ORDER)), lambda t: redaction.redact(t)["text"])[0]
+    texts = contracts.select("case_id", asked_of(g).alias("asked"), text.alias("text"))
+    cut = chunking.with_chunks(texts, "text").filter(F.size("chunks") > 0)
+    chunk = lambda t, k: F.struct(F.format_string("%s-c%03d", F.col("case_id"), k).alias("chunk_id"), t.alias("text"), retrieval.pseudo_embedding(t).alias("vec"))
+    asked = cut.select("case_id", "asked", F.transform("chunks", chunk).alias("chunks")).select("case_id", "chunks", F.posexplode("asked").alias("place", "q")).select("case_id", "chunks", "place", "q.*")
+    vectors = spark.createDataFrame([(k, f"query: {q}") for k, (q, *_) in enumerate(QUESTIONS)], "place int, query string").select("place", retrieval.pseudo_embedding(F.col("query")).alias("query_vec"))
+    far = F.transform("chunks", lambda c: F.struct(retrieval.squared_distance(c["vec"], F.col("query_vec")).alias("distance"), c["chunk_id"].alias("chunk_id"), c["text"].alias("text")))
+    near = F.transform(F.slice(F.sort_array(far), 1, top_k), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text")))
+    listed = asked.join(F.broadcast(vectors), "place").select("case_id", "question", "answer", "is_refusable", near.alias("by_distance"))
+    ranked = retrieval.bm25_in_rows(listed, "question", F.transform("by_distance", lambda c: c["text"]), "order")
+    both = ranked.withColumn("by_bm25", F.transform("order", lambda k: F.get("by_distance", k))).drop("order")
     rows = logs.across_configs(both, configs if configs is not None else ask_configs(spark)).withColumn("chunks", F.when(F.col("use_rerank"), F.col("by_bm25")).otherwise(F.col("by_distance")))
     rows = rows.withColumn("features", routing.features_question(F.col("question"), F.transform("chunks", lambda c: c["text"])))
     routed = routing.tier_question(F.col("features.est_tokens"), F.col("features.requires_multi_clause_synthesis"))

@@ -1,5 +1,6 @@
 """Faults that once were: repeated ids, long lists of fields, empty contexts, missing scans."""
 
+import random
 import time
 
 import pytest
@@ -78,3 +79,28 @@ def test_profiles_are_found_in_order(tmp_path, monkeypatch):
     assert readers.profile("one", folder)["name"] == "nearer" and readers.profile(str(tmp_path / "p" / "two"), folder)["name"] == "two"
     with pytest.raises(FileNotFoundError):
         readers.profile("absent", folder)
+
+
+def test_question_answering_broadcasts_no_table_that_grows_with_the_contracts(spark):
+    contracts = documents.synthetic_contracts(spark, 1000)
+    # what small files hold may be many words: no size of a file may lead Spark to send them to the driver
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "3m")
+    try:
+        rows = tracks.track2(contracts).groupBy("config").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(rows) == 7 and all(r["count"] == 2000 for r in rows)
+
+
+def test_bm25_in_rows_ranks_as_over_joins(spark):
+    draw = random.Random(4)
+    said = lambda n: " ".join(draw.choice("abcdefghij") for _ in range(n))
+    rows = [(q, said(draw.randrange(6)), [said(draw.randrange(12)) for _ in range(draw.randrange(9))]) for q in range(300)]
+    rows += [(300, None, ["a", "b"]), (301, "a b", None), (302, "b a b", ["a", None, "b", "a", "b b"]), (303, "a", ["", ""])]
+    df = spark.createDataFrame(rows, "q int, question string, texts array<string>")
+    got = {r.q: r.order for r in retrieval.bm25_in_rows(df, "question", F.col("texts"), "order").collect()}
+    pairs = df.select("q", "question", F.posexplode("texts").alias("i", "text")).withColumn("prior", F.col("i"))
+    ranked = {q: [] for q, *_ in rows}
+    for r in retrieval.bm25(pairs, "q", "question", "i", "text", "prior").orderBy("q", F.desc(F.round("score", 9)), "i").collect():
+        ranked[r.q].append(r.i)
+    assert got == ranked and any(k != sorted(k) for k in got.values())
